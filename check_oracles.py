@@ -12,14 +12,13 @@ from pyspark.sql import SparkSession
 
 from veritab.catalog import ORACLES, QUERIES
 from veritab.fixtures import BASE
+from veritab.session import build
 
 
 def session(cores: str = "8") -> SparkSession:
-    return (
-        SparkSession.builder.master(f"local[{cores}]").appName("veritab-check")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.log.level", "ERROR").getOrCreate()
+    return build(
+        "veritab-check", f"local[{cores}]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        spark__driver__memory="8g", spark__ui__showConsoleProgress="false", spark__log__level="ERROR",
     )
 
 

@@ -211,25 +211,23 @@ FROM (SELECT p_partkey AS k, {div('p_partkey', 100)} AS wbno, concat('W', {text(
 HEADINGS = ["#", "검수 항목", "판정주체", "셈법", "대조 축", "증빙 문서", "추출 필드", "엑셀 대조 열",
             "판정 규칙", "O", "X", "확인 불가", "공란", "비고 문구"]
 
-_cell_cols = [(1, "key_cell"), (2, "item"), (3, "judge"), (4, "calc_text"), (7, "extract_text"),
-              (8, "claim_text"), (9, "rule_text")]
-TABLES["rule_cells"] = " UNION ALL ".join(
-    [f"SELECT wb, sheet, row, {c} AS col, {name} AS value FROM {{rule_rows}} WHERE {name} <> ''" for c, name in _cell_cols]
-    + [
-        # one heading is misspelt in every fourth workbook
-        f"SELECT wb, sheet, 3 + wbno % 3 AS row, {c} AS col, "
-        + (f"CASE WHEN wbno % 4 = 1 THEN '방법' ELSE '{h}' END" if c == 9 else f"'{h}'")
-        + " AS value FROM {rule_rows} WHERE i = 0"
-        for c, h in enumerate(HEADINGS, 1)
-    ]
-    + [
-        "SELECT wb, sheet, 1 AS row, 1 AS col, concat('검수 별첨 ', cast(wbno as string)) AS value FROM {rule_rows} WHERE i = 0",
-        "SELECT wb, '메모' AS sheet, 1 AS row, 1 AS col, '적어 둔 것' AS value FROM {rule_rows} WHERE i = 0 AND sheet = '④세미나'",
-        "SELECT wb, '메모' AS sheet, 14 AS row, 1 AS col, '#' AS value FROM {rule_rows} WHERE i = 0 AND sheet = '④세미나'",
-        "SELECT wb, '개요' AS sheet, 2 AS row, 1 AS col, CASE WHEN wbno % 5 = 4 THEN '공통 값 없음' ELSE "
-        "'공통으로 뽑을 값: 문서번호 · 총시간 · 작성일' END AS value FROM {rule_rows} WHERE i = 0 AND sheet = '④세미나'",
-    ]
+_DATA = {1: "key_cell", 2: "item", 3: "judge", 4: "calc_text", 7: "extract_text", 8: "claim_text", 9: "rule_text"}
+# slots 1-14 are the columns of a rule row; 15-28 the headings and 29-32 the other cells,
+# once per sheet or workbook; one heading is misspelt in every fourth workbook
+_slots = " ".join(
+    [f"WHEN {i} THEN {n}" for i, n in _DATA.items()]
+    + [f"WHEN {14 + i} THEN " + ("CASE WHEN wbno % 4 = 1 THEN '방법' ELSE '판정 규칙' END" if i == 9 else f"'{h}'")
+       for i, h in enumerate(HEADINGS, 1)]
+    + ["WHEN 29 THEN concat('검수 별첨 ', cast(wbno as string))", "WHEN 30 THEN '적어 둔 것'", "WHEN 31 THEN '#'",
+       "WHEN 32 THEN CASE WHEN wbno % 5 = 4 THEN '공통 값 없음' ELSE '공통으로 뽑을 값: 문서번호 · 총시간 · 작성일' END"]
 )
+TABLES["rule_cells"] = f"""
+SELECT wb, CASE WHEN slot IN (30, 31) THEN '메모' WHEN slot = 32 THEN '개요' ELSE sheet END AS sheet,
+       CASE WHEN slot <= 14 THEN row WHEN slot <= 28 THEN 3 + wbno % 3 WHEN slot = 31 THEN 14 WHEN slot = 32 THEN 2 ELSE 1 END AS row,
+       CASE WHEN slot <= 14 THEN slot WHEN slot <= 28 THEN slot - 14 ELSE 1 END AS col, value
+FROM (SELECT *, CASE slot {_slots} ELSE '' END AS value FROM (SELECT *, EACH(1, 32) AS slot FROM {{rule_rows}}) x) y
+WHERE value <> '' AND (slot <= 14 OR (i = 0 AND (slot <= 29 OR sheet = '④세미나')))
+"""
 
 TABLES["alias_rows"] = f"""
 SELECT wb, ord, {_pick('ord', ALIAS_ROWS, 0)} AS rep, {_pick('ord', ALIAS_ROWS, 1)} AS alias_text
@@ -262,7 +260,7 @@ def order_of(names: list[str]) -> list[str]:
 def oracle(sql: str) -> str:
     """DuckDB text: every derived table that ``sql`` names in braces becomes a CTE."""
     needed = order_of(re.findall(r"\{([a-z_]+)\}", sql))
-    plain = lambda s: re.sub(r"\{([a-z_]+)\}", r"\1", s)
+    plain = lambda s: re.sub(r"EACH\((.+?), (.+?)\)", r"unnest(generate_series(\1, \2))", re.sub(r"\{([a-z_]+)\}", r"\1", s))
     ctes = [f"{n} AS ({plain(TABLES[n])})" for n in needed]
     body = plain(sql).strip()
     if not ctes:
@@ -274,7 +272,7 @@ def oracle(sql: str) -> str:
 
 @lru_cache(maxsize=None)
 def _sql(name: str) -> str:
-    return TABLES[name]
+    return re.sub(r"EACH\((.+?), (.+?)\)", r"explode(sequence(\1, \2))", TABLES[name])
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

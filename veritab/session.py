@@ -10,9 +10,25 @@ SETTINGS = {
     # Split a skewed join side even where that costs one more shuffle: a sheet or a file
     # may hold a third of all rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows are costly to judge, so even small inputs are worth spreading over all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Static options, for sessions that are built here. Recording the Python call site of
+# every column expression costs seconds for long plans.
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def build(app: str, master: str | None = None, **options: str) -> SparkSession:
+    """A session with the engine's options; ``options`` use ``__`` for dots."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    for key, value in {**STATIC, **SETTINGS, **{k.replace("__", "."): v for k, v in options.items()}}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
