@@ -236,6 +236,84 @@ FROM (SELECT concat('W', {text(div('p_partkey', 100))}) AS wb, {div('p_partkey %
 """
 
 
+# --- answers of the linking model, one per order, with planted faults ---------------------
+
+def _tag(n: str) -> str:
+    return f"concat('file_', lpad({text(n)}, 2, '0'))"
+
+
+TABLES["sheet_rows"] = f"""
+SELECT k, wb, sheet, k AS row, rank, {div('rank', 8)} AS batch, {div('rank', 3)} AS grp,
+       concat('C', {text(div('rank', 3))}) AS company, '40' AS hours,
+       {case('rank % 3', f"concat('P', {text('rank')})", "''", f"concat('Q', {text('rank')})")} AS period,
+       CASE WHEN rank % 3 = 1 THEN CASE WHEN k % 5 = 0 THEN '8' ELSE '' END ELSE '7' END AS heads
+FROM {{claim_base}}
+"""
+
+TABLES["sheet_files"] = """
+SELECT wb, sheet, grp AS ord, concat('doc_', cast(k as string), '.pdf') AS name FROM {sheet_rows} WHERE rank % 3 = 0
+"""
+
+_base = _tag("grp + 1")
+TABLES["answers"] = f"""
+SELECT k, wb, sheet, 2 * k + again AS ord, CASE WHEN k % 31 = 0 THEN k + 1000000000 ELSE k END AS row, batch, rank,
+       CASE WHEN shrug THEN '' WHEN k % 11 = 0 THEN '' WHEN k % 23 = 0 THEN concat({_base}, '|file_9999')
+            WHEN k % 19 = 0 THEN concat({_base}, '|', {_base}) WHEN k % 43 = 0 THEN concat({_base}, '|', {_tag('grp + 2')})
+            WHEN k % 47 = 0 THEN concat('doc_', {text('k - 8 * (rank % 3)')}, '.pdf') ELSE {_base} END AS tags,
+       CASE WHEN shrug THEN '' WHEN k % 22 = 0 THEN '이름이 없어 특정 불가' WHEN k % 11 = 0 THEN '' ELSE '기간 같음' END AS link_reason,
+       {case('(k + again) % 5', "'높음'", "'보통'", "'낮음'", "'못맺음'", "'모름'")} AS confidence,
+       CASE WHEN k % 33 = 0 THEN '따로 확인' ELSE '' END AS memo,
+       {case('k % 4', "'40'", "'32시간'", "''", "'8H×5일'")} AS total_hours,
+       {case('k % 6', "'찾음'", "'찾음'", "'명단없음'", "'글자깨짐'", "'찾음'", "''")} AS roster_status,
+       CASE WHEN k % 3 = 0 THEN '' ELSE '김재걸|이수민' END AS roster_names,
+       CASE WHEN k % 5 < 2 THEN '' ELSE concat('참여학생 ', {text('k % 9')}, '명 (재직자를 포함한 전체 인원)') END AS heads_text,
+       again
+FROM (SELECT *, ({div('k', 64)} + k % 8) % 9 = 4 AS shrug, EACH(0, CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END) AS again
+      FROM {{sheet_rows}} WHERE k % 37 <> 0) t
+"""
+
+TABLES["answer_judgements"] = f"""
+SELECT k, wb, sheet, ord, row, batch, item_no, {case('(k + item_no) % 5', "'O'", "'X'", "'확인 불가'", "'공란'", "''")} AS said,
+       CASE WHEN k % 7 = 0 THEN '없음' WHEN k % 17 = 0 THEN {_tag(div('rank', 3) + ' + 2')}
+            WHEN item_no = 2 AND k % 3 = 0 THEN '' ELSE {_tag(div('rank', 3) + ' + 1')} END AS provenance,
+       CASE WHEN (k + item_no) % 13 = 0 THEN '' WHEN k % 53 = 0 THEN repeat('근거 ', 80)
+            WHEN k % 59 = 0 THEN '「붙임」 표제' ELSE '표제 p.1' END AS rationale,
+       CASE WHEN k % 8 = 0 THEN '' WHEN k % 53 = 1 THEN repeat('비고 ', 80)
+            WHEN k % 10 = 1 THEN concat('[', CASE WHEN item_no = 1 THEN '계획서 제출여부' ELSE '일시' END, '] [일 시] 다시 볼 것')
+            WHEN k % 10 = 2 THEN '[다른 항목] 볼 것' ELSE '볼 것' END AS remark
+FROM (SELECT *, EACH(1, 2) AS item_no FROM {{answers}}) t
+"""
+
+TABLES["unlinked_files"] = f"""
+SELECT wb, sheet, batch, k AS ord, CASE WHEN k % 2 = 0 THEN {_tag('grp + 1')} ELSE concat('doc_', {text('k - 8 * (rank % 3)')}, '.pdf') END AS ref,
+       concat('까닭 ', {text('k % 7')}) AS reason
+FROM {{sheet_rows}} WHERE k % 5 < 2
+"""
+
+_pairs = lambda name, cols: ", ".join(f"'\"{c}\": \"', {v}, '\"'" for c, v in cols)
+_judge = lambda n: (
+    f"'\"v{n}\": {{{{\"판정\": \"', said{n}, '\", \"출처\": \"', prov{n}, '\", \"근거\": \"', why{n}, '\", \"비고\": \"', note{n}, '\"}}}}'"
+)
+_body = (
+    "concat('\"맺은파일\": [', CASE WHEN tags = '' THEN '' ELSE concat('\"', replace(tags, '|', '\", \"'), '\"') END, "
+    "'], \"맺은근거\": \"', link_reason, '\", \"확신\": \"', confidence, '\", \"메모\": \"', memo, "
+    "'\", \"값\": {{\"총시간\": \"', total_hours, '\", \"참여명단\": {{\"상태\": \"', roster_status, '\", \"이름\": [', "
+    "CASE WHEN roster_names = '' THEN '' ELSE concat('\"', replace(roster_names, '|', '\", \"'), '\"') END, ']}}}}, ', "
+    + _judge(1) + ", ', ', " + _judge(2) + ")"
+)
+_side = lambda n: (
+    f"j{n}.said AS said{n}, j{n}.provenance AS prov{n}, j{n}.rationale AS why{n}, j{n}.remark AS note{n}"
+)
+TABLES["answer_json"] = f"""
+SELECT wb, sheet, ord, batch,
+       CASE WHEN k % 10 = 0 THEN concat('{{{{"줄": [{{{{"행": ', cast(row as string), ', ', {_body}, '}}}}]}}}}')
+            ELSE concat('{{{{"줄": {{{{"r', cast(row as string), '": {{{{"행": 7, ', {_body}, '}}}}}}}}}}}}') END AS body
+FROM (SELECT a.*, {_side(1)}, {_side(2)} FROM {{answers}} a
+      JOIN {{answer_judgements}} j1 ON j1.ord = a.ord AND j1.item_no = 1
+      JOIN {{answer_judgements}} j2 ON j2.ord = a.ord AND j2.item_no = 2) t
+"""
+
+
 # --- rendering ---------------------------------------------------------------------------
 
 def _needs(name: str) -> list[str]:
@@ -261,7 +339,7 @@ def oracle(sql: str) -> str:
     """DuckDB text: every derived table that ``sql`` names in braces becomes a CTE."""
     needed = order_of(re.findall(r"\{([a-z_]+)\}", sql))
     plain = lambda s: re.sub(r"EACH\((.+?), (.+?)\)", r"unnest(generate_series(\1, \2))", re.sub(r"\{([a-z_]+)\}", r"\1", s))
-    ctes = [f"{n} AS ({plain(TABLES[n])})" for n in needed]
+    ctes = [f"{n} AS ({plain(TABLES[n]).replace('{{', '{').replace('}}', '}')})" for n in needed]
     body = plain(sql).strip()
     if not ctes:
         return body
