@@ -187,8 +187,10 @@ def g12(t):
 
 @query("g13_shared_files", steps("""
 , used AS (SELECT l.*, f.batch, f.ord FROM links l JOIN firsta f ON f.wb = l.wb AND f.sheet = l.sheet AND f.row = l.row)
-SELECT wb, sheet, batch, name, count(*) AS n_rows, array_to_string(list_slice(list(row ORDER BY ord), 1, 5), ', ') AS rows FROM used GROUP BY ALL HAVING count(*) > 1
-QUALIFY row_number() OVER (PARTITION BY wb, sheet, batch ORDER BY min((ord, place))) <= 6"""))
+SELECT wb, sheet, batch, name, n_rows, rows FROM (
+  SELECT wb, sheet, batch, name, count(*) AS n_rows, array_to_string(list_slice(list(row ORDER BY ord), 1, 5), ', ') AS rows, min((ord, place)) AS seen
+  FROM used GROUP BY wb, sheet, batch, name HAVING count(*) > 1) x
+QUALIFY row_number() OVER (PARTITION BY wb, sheet, batch ORDER BY seen) <= 6"""))
 def g13(t):
     f = Flow(t)
     return G.shared_files(f.links, f.first)

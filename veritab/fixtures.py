@@ -314,6 +314,77 @@ FROM (SELECT a.*, {_side(1)}, {_side(2)} FROM {{answers}} a
 """
 
 
+# --- worksheets, one data row per part, 40 parts a sheet and four sheets a workbook --------
+
+CHECK_RGB = "FFFCE4D6"
+_HEADERS = {1: "순번", 2: "참여기관(기업)", 3: "과제 구분", 4: "기 간", 5: "참여학생명", 9: "총 소요시수", 10: "계획서 제출여부",
+            11: "일시 일치", 12: "비고", 13: "학교 의견", 15: "참여기관(기업)", 16: "자체 확인", 18: "DOI"}
+_CHECKED = (10, 11, 12, 13, 14, 17)
+_known = lambda v: f"CASE WHEN i % 13 = 12 THEN '' ELSE {v} END"
+_VALUES = {
+    1: "''", 2: _known("p_name"), 3: f"CASE WHEN i % 3 = 0 THEN {_known('p_brand')} ELSE '' END", 4: _known("p_type"),
+    5: _known("'김재걸 '"), 6: _known("CASE WHEN i % 4 > 0 THEN '이수민' ELSE '' END"),
+    7: _known("CASE WHEN i % 4 > 1 THEN 'Gokce Nul AYAZ' ELSE '' END"), 8: _known("CASE WHEN i % 4 = 3 THEN '최푸름' ELSE '' END"),
+    9: text("p_size"), 10: "CASE WHEN i % 6 = 0 THEN 'O' ELSE '' END", 11: "''",
+    12: "CASE i % 5 WHEN 0 THEN concat('[일시 일치] 다름', chr(10), '손으로 쓴 글 / [다른 것] 둠') WHEN 1 THEN '[계획서 제출여부] 없음' ELSE '' END",
+    13: "CASE WHEN i % 7 = 0 THEN '의견' ELSE '' END", 15: _known("'뒤'"), 18: "''",
+}
+_title = case("s % 4", "'③프로젝트'", "'⑦ 세미나'", f"CASE WHEN {div('s', 4)} % 2 = 0 THEN '⑤인턴십 현황' ELSE '인턴십' END", "'별첨3 개설교과'")
+
+TABLES["sheet_parts"] = f"""
+SELECT *, {_title} AS sheet, concat('W', {text('wbno')}) AS wb,
+       5 + i + CASE WHEN i >= 10 THEN 5 ELSE 0 END + CASE WHEN i >= 20 THEN 19 ELSE 0 END
+       + CASE WHEN i >= 30 THEN 20 - s % 2 ELSE 0 END + CASE WHEN i >= 35 THEN 25 ELSE 0 END AS row
+FROM (SELECT *, p_partkey % 40 AS i, {div('p_partkey', 40)} AS s, {div('p_partkey', 160)} AS wbno FROM {{part}}) t
+"""
+_slot_value = " ".join(
+    [f"WHEN {k} THEN {v}" for k, v in _VALUES.items()] + [f"WHEN {20 + k} THEN '{v}'" for k, v in _HEADERS.items()]
+    + ["WHEN 39 THEN '작성 안내'", "WHEN 40 THEN '빈칸은 두십시오'"]
+)
+TABLES["cells"] = f"""
+SELECT wb, sheet, CASE WHEN slot <= 20 THEN row WHEN slot < 39 THEN 4 ELSE slot - 38 END AS row,
+       CASE WHEN slot <= 20 THEN slot WHEN slot < 39 THEN slot - 20 ELSE 1 END AS col, value,
+       CASE WHEN slot - 20 IN {_CHECKED} THEN '{CHECK_RGB}' ELSE '' END AS fill_rgb,
+       CASE WHEN slot - 20 IN {_CHECKED} THEN 'solid' ELSE '' END AS pattern
+FROM (SELECT *, CASE slot {_slot_value} ELSE '' END AS value FROM (SELECT *, EACH(1, 40) AS slot FROM {{sheet_parts}}) x) y
+WHERE (slot <= 20 OR i = 0) AND (value <> '' OR slot - 20 IN {_CHECKED})
+"""
+TABLES["merges"] = """
+SELECT wb, sheet, min(row) AS r1, max(row) AS r2, 3 AS c1, 3 AS c2 FROM {sheet_parts} WHERE i < 39
+GROUP BY wb, sheet, cast(floor(i / 3.0) as bigint)
+UNION ALL SELECT wb, sheet, 4, 4, 5, 7 FROM {sheet_parts} WHERE i = 0
+"""
+GRID_ITEMS = [
+    ("계획서 제출여부", "기업명|참여기관|참여기관(기업)"), ("일시 일치", "일시|기간"), ("참여인원 일치", "참여학생명"), ("구분 확인", "구분"),
+    ("모호 항목", "참여"), ("없는 항목", "게재일자|발행일"), ("다시 기업", "기업명|참여기관|참여기관(기업)"), ("의견", ""), ("비고", ""),
+]
+TABLES["grid_items"] = f"""
+SELECT wb, sheet, item_no, {case('item_no - 1', *[f"'{a}'" for a, _ in GRID_ITEMS])} AS item,
+       {case('item_no - 1', *[f"'{b}'" for _, b in GRID_ITEMS])} AS claim_text
+FROM (SELECT wb, sheet, EACH(1, {len(GRID_ITEMS)}) AS item_no FROM {{sheet_parts}} WHERE i = 0) t
+"""
+SHEET_TARGETS = ["③프로젝트", "④세미나", "⑤인턴십", "⑤현장실습", "별첨3 개설교과", "프로젝트 세미나"]
+TABLES["sheet_titles"] = """
+SELECT wb, s % 4 AS ord, sheet AS title FROM {sheet_parts} WHERE i = 0
+UNION ALL SELECT wb, 3 + n, concat('현장실습 ', cast(n as string)) FROM (SELECT wb, EACH(1, 2) AS n FROM {sheet_parts} WHERE i = 0 AND s % 4 = 0) t
+"""
+TABLES["sheet_targets"] = f"""
+SELECT wb, {case('n - 1', *[f"'{x}'" for x in SHEET_TARGETS])} AS name
+FROM (SELECT wb, EACH(1, {len(SHEET_TARGETS)}) AS n FROM {{sheet_parts}} WHERE i = 0 AND s % 4 = 0) t
+"""
+TABLES["roster_cells"] = f"""
+SELECT wb, '별첨1 명단' AS sheet, CASE WHEN slot <= 3 THEN 2 + i ELSE 1 END AS row, CASE WHEN slot <= 3 THEN slot ELSE slot - 3 END AS col, value,
+       '' AS fill_rgb, '' AS pattern
+FROM (SELECT *, CASE slot WHEN 1 THEN {text('i')} WHEN 2 THEN CASE WHEN k % 11 = 0 THEN '7777' WHEN k % 13 = 0 THEN '김'
+                WHEN k % 17 = 0 THEN c_name ELSE concat('학생', {text('k % 90')}) END
+              WHEN 3 THEN CASE WHEN k % 3 = 0 THEN '' ELSE c_mktsegment END
+              WHEN 4 THEN '순번' WHEN 5 THEN '참여 학생명' WHEN 6 THEN CASE WHEN wbno % 3 = 2 THEN '비고' ELSE '재직 구분' END END AS value
+      FROM (SELECT *, EACH(1, 6) AS slot FROM (SELECT *, c_custkey AS k, c_custkey % 150 AS i, {div('c_custkey', 150)} AS wbno,
+            concat('W', {text(div('c_custkey', 150))}) AS wb FROM {{customer}}) c) x) y
+WHERE (slot <= 3 OR i = 0) AND value <> ''
+"""
+
+
 # --- rendering ---------------------------------------------------------------------------
 
 def _needs(name: str) -> list[str]:
