@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from veritab.catalog import duck as D
 from veritab.catalog.judging import rules
 from veritab.catalog.registry import query
 from veritab.operators import guards as G
+from veritab.session import materialize
 from veritab.sources import answers as A
 
 c = F.col
@@ -15,7 +18,8 @@ ROW = G.ROW
 
 
 class Flow:
-    """The validation steps in order, each a lazy DataFrame."""
+    """The validation steps in order, each a lazy DataFrame. What several steps read is
+    written once."""
 
     def __init__(self, t):
         self.t = t
@@ -28,29 +32,29 @@ class Flow:
         self.resolved = G.resolve_links(self.first, self.refs)
         self.own_links = G.links(self.resolved)
 
-    @property
+    @cached_property
     def unfolded(self):
         said = self.t.answer_judgements.join(self.first.select(*ROW, "ord"), [*ROW, "ord"], "left_semi")
         return G.unfold(said, rules(self.t))
 
-    @property
+    @cached_property
     def named(self):
-        return G.name_provenance(self.unfolded, self.refs)
+        return materialize(G.name_provenance(self.unfolded, self.refs))
 
-    @property
+    @cached_property
     def links(self):
-        return G.rescue_links(self.own_links, self.named)[0]
+        return materialize(G.rescue_links(self.own_links, self.named)[0])
 
-    @property
+    @cached_property
     def lowered(self):
         return G.downgrade(G.with_link_facts(self.named, self.first, self.links))
 
-    @property
+    @cached_property
     def values(self):
         v = F.create_map(*[x for n in ("company", "hours", "period", "heads") for x in (F.lit(n), c(n))])
         return self.rows.select(*ROW, v.alias("vals"))
 
-    @property
+    @cached_property
     def final(self):
         return G.lower_borrowed(G.prefix_provenance(self.lowered), G.borrowed_rows(self.links, self.values))
 

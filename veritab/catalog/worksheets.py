@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritab.catalog.registry import query
-from veritab.fixtures import ITEMS  # noqa: F401
 from veritab.functions.text import name_key, unnumbered_key
 from veritab.operators import grid as H
+from veritab.session import materialize
 
 c = F.col
 SHEET = H.SHEET
@@ -90,11 +90,11 @@ def colmap(t):
 
 
 def all_values(t):
-    return H.read_values(t.cells, t.merges, colmap(t))
+    return H.read_values(t.cells, t.merges, materialize(colmap(t)))
 
 
 def claims_long(t):
-    values = all_values(t)
+    values = materialize(all_values(t))
     return H.claim_values(values, H.end_rows(values, H.header_rows(t.cells)))
 
 
@@ -173,7 +173,8 @@ def h12(t):
 @query("h13_orphan_headers", steps("""SELECT wb, sheet, header FROM headers h WHERE NOT EXISTS (SELECT 1 FROM covered v JOIN mapped m ON m.wb = v.wb AND m.sheet = v.sheet AND m.col = v.col
     WHERE v.wb = h.wb AND v.sheet = h.sheet AND v.key = h.key) AND NOT regexp_matches(key, '^(번호|연번|순번|no|차년도|분야|학교|비고|차수|구분)')"""))
 def h13(t):
-    return H.orphan_headers(headers(t), colmap(t))
+    found = materialize(headers(t))
+    return H.orphan_headers(found, H.column_map(H.resolve_columns(items(t), found)))
 
 
 @query("h14_row_values", steps("SELECT wb, sheet, row, rep, txt AS text FROM vals"))
@@ -188,7 +189,7 @@ def h15(t):
 
 @query("h16_blank_run_stop", steps("SELECT wb, sheet, cast(last_row as bigint) AS last_row FROM ends"))
 def h16(t):
-    return H.end_rows(all_values(t), H.header_rows(t.cells))
+    return H.end_rows(materialize(all_values(t)), H.header_rows(t.cells))
 
 
 @query("h17_dropped_rows", steps("""SELECT DISTINCT c.wb, c.sheet, c.row FROM {cells} c JOIN heads h USING (wb, sheet) JOIN ends e USING (wb, sheet)
@@ -196,7 +197,7 @@ WHERE c.value <> '' AND c.row > h.head_row AND c.row <= e.last_row + 20
   AND NOT EXISTS (SELECT 1 FROM head s WHERE s.wb = c.wb AND s.sheet = c.sheet AND s.col = c.col AND s.painted)
   AND NOT EXISTS (SELECT 1 FROM allvals v WHERE v.wb = c.wb AND v.sheet = c.sheet AND v.row = c.row)"""))
 def h17(t):
-    values, heads = all_values(t), H.header_rows(t.cells)
+    values, heads = materialize(all_values(t)), H.header_rows(t.cells)
     return H.dropped_rows(t.cells, values, heads, H.end_rows(values, heads))
 
 

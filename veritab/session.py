@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -34,3 +36,16 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, and cut its lineage.
+
+    It goes to the cluster's shared checkpoint folder, so a lost executor costs nothing
+    but a re-read. Only where no folder is configured (tests) a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veritab-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
