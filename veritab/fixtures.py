@@ -385,6 +385,38 @@ WHERE (slot <= 3 OR i = 0) AND value <> ''
 """
 
 
+# --- evidence documents, files and pages ---------------------------------------------------
+
+_nfd = "\u1112\u1161\u11ab\u1100\u1173\u11af"  # decomposed Hangul
+_ext = case("doc_id % 8", "'.docx'", "'.hwpx'", "'.hwp'", "'.pdf'", "'.png'", "'.TXT'", "'.PDF'", "''")
+TABLES["docs"] = f"""
+SELECT doc_id, source, lang, doc_id AS ord,
+       concat(CASE WHEN doc_id % 37 = 0 THEN '~$' WHEN doc_id % 41 = 0 THEN '.' ELSE '' END, '보고서 ', {text('doc_id % 120')},
+              CASE doc_id % 9 WHEN 0 THEN ': 최종*본' WHEN 1 THEN concat(' ', repeat('긴 이름 ', 15)) WHEN 2 THEN concat('-', {text('doc_id % 7')}, '차') ELSE '' END, {_ext}) AS name,
+       CASE doc_id % 97 WHEN 0 THEN concat('{_nfd} {_nfd}', substr(text, 1, 50)) WHEN 1 THEN concat('ㄱㄴㄷ 한글 ㅏㅑ ', substr(text, 1, 9))
+            WHEN 2 THEN concat('줄 하나  ', chr(13), chr(10), chr(10), chr(10), chr(10), '줄 둘', chr(9), chr(10), substr(text, 1, 99))
+            WHEN 3 THEN '' WHEN 4 THEN '   ' WHEN 5 THEN 'key sk-ABCDEFGHIJKLMNOPQRSTUVWX end' WHEN 6 THEN concat('AIza', repeat('x', 35))
+            WHEN 7 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 8 THEN concat('"private_key" : "', repeat('a', 45))
+            WHEN 9 THEN '-----BEGIN PRIVATE KEY----- sk-ABCDEFGHIJKLMNOPQRSTUVWX' ELSE text END AS text
+FROM {{documents}}
+"""
+TABLES["doc_pages"] = f"""
+SELECT conv_id AS doc_id, turn + 1 AS page,
+       CASE WHEN conv_id % 7 = 0 THEN substr(text, 1, 10) WHEN conv_id % 11 = 0 THEN concat('{_nfd}{_nfd}{_nfd}{_nfd}', substr(text, 1, 60))
+            WHEN conv_id % 13 = 0 THEN concat('ㄱㄴㄷㄹ 가나 ', substr(text, 1, 60)) WHEN conv_id % 5 = 0 AND turn = 0 THEN '  ' ELSE text END AS text
+FROM {{conversations}} WHERE conv_id % 17 <> 0 OR turn = 0
+"""
+TABLES["files"] = f"""
+SELECT doc_id AS ord, name, concat('/root ', source, CASE WHEN doc_id % 5 = 0 THEN '/하위/' ELSE '/' END, name) AS path, length(text) AS n_chars,
+       CASE WHEN doc_id % 101 = 0 THEN false ELSE true END AS present, doc_id % 3 <> 0 AS layer_usable, doc_id % 4 = 0 AS layer_repaired,
+       doc_id % 6 = 0 AS cached, doc_id % 5 <> 0 AS allow_ocr, 1 + doc_id % 4 AS pages, trim(text) = '' AS no_text
+FROM {{docs}}
+"""
+TABLES["read_cache"] = """
+SELECT doc_id AS ord, text, name, 'docx' AS method, length(text) AS chars, 1 AS pages FROM {docs} WHERE doc_id % 3 = 0
+"""
+
+
 # --- rendering ---------------------------------------------------------------------------
 
 def _needs(name: str) -> list[str]:
