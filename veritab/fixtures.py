@@ -417,6 +417,20 @@ SELECT doc_id AS ord, text, name, 'docx' AS method, length(text) AS chars, 1 AS
 """
 
 
+# --- verdicts to be written into the worksheets ---------------------------------------------
+
+TABLES["grid_verdicts"] = f"""
+SELECT wb, sheet AS title, n AS item_no, i,
+       CASE WHEN i = 38 THEN '연구실' WHEN s % 4 = 1 THEN '④세미나' ELSE sheet END AS sheet_name,
+       CASE WHEN i = 37 THEN NULL ELSE row END AS row,
+       {case('n - 1', "'계획서 제출여부'", "'일시 일치'", "'학교 의견'", "'총 소요시수'", "'인원'")} AS header,
+       {case('n - 1', '10', '11', '13', '9')} AS col,
+       CASE WHEN n = 5 THEN NULL ELSE {case('(i + n) % 4', "'PASS'", "'FAIL'", "'UNDETERMINED'", "'BLANK'")} END AS verdict,
+       CASE WHEN n = 5 AND i % 3 > 0 THEN '' WHEN (i + n) % 4 IN (1, 2) OR n = 5 THEN concat('볼 것 ', {text('i % 4')}) ELSE '' END AS remark
+FROM (SELECT *, EACH(1, 5) AS n FROM {{sheet_parts}}) t
+"""
+
+
 # --- rendering ---------------------------------------------------------------------------
 
 def _needs(name: str) -> list[str]:

@@ -236,8 +236,9 @@ def dispatch() -> Column:
     )
 
 
-def judge(claims: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """Computed and human verdicts, long format. ``keys`` name the sheet in both tables.
+def judge(claims: DataFrame, rules: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Computed and human verdicts, long format. ``keys`` name the sheet in both tables,
+    ``carry`` more columns of the claims to keep.
 
     The rule side is the small one; no broadcast is forced, adaptive execution uses its
     measured size and splits a sheet that holds most of the claims.
@@ -256,7 +257,7 @@ def judge(claims: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
         read_values(claims.join(asked, keys))
         .withColumn("out", F.when(F.col("judge") == BY_HUMAN, human).otherwise(dispatch()))
         .select(
-            *keys, "row", "item_no", "item", "out.verdict", "out.remark",
+            *keys, *carry, "row", "item_no", "item", "out.verdict", "out.remark",
             F.when(F.col("judge") == BY_HUMAN, F.col("out.rationale"))
             .otherwise(F.concat(F.lit("computed · "), F.col("out.rationale"))).alias("rationale"),
         )
