@@ -25,12 +25,30 @@ class Flow:
         self.t = t
         self.rows = t.sheet_rows
         self.answers = t.answers.withColumn("tags", F.when(c("tags") == "", F.array().cast("array<string>")).otherwise(F.split("tags", "\\|")))
-        self.known = G.known_rows(self.answers, self.rows)
-        self.first = G.first_answers(self.known)
-        self.tagged = G.file_tags(t.sheet_files)
-        self.refs = G.file_refs(self.tagged)
-        self.resolved = G.resolve_links(self.first, self.refs)
-        self.own_links = G.links(self.resolved)
+
+    @cached_property
+    def known(self):
+        return G.known_rows(self.answers, self.rows)
+
+    @cached_property
+    def first(self):
+        return materialize(G.first_answers(self.known))
+
+    @cached_property
+    def tagged(self):
+        return G.file_tags(self.t.sheet_files)
+
+    @cached_property
+    def refs(self):
+        return materialize(G.file_refs(self.tagged))
+
+    @cached_property
+    def resolved(self):
+        return G.resolve_links(self.first, self.refs)
+
+    @cached_property
+    def own_links(self):
+        return G.links(self.resolved)
 
     @cached_property
     def unfolded(self):

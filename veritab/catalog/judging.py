@@ -163,10 +163,7 @@ def j02(t):
 @query("j03_predecessor", long_sql(13))
 def j03(t):
     """The predecessor comes from the long table of model verdicts, not from the claim."""
-    model = t.evidence.filter("prior2 <> ''").select(
-        c("k").alias("row"), F.lit(2).alias("item_no"), c("prior2").alias("verdict")
-    )
-    snapshot = J.prior_verdicts(model, [])
+    snapshot = J.prior_verdicts(model_verdicts(t).filter("item_no < 5"), [])
     with_prior = cases(t).drop("prior").join(snapshot, "row", "left")
     return slim(J.judge(with_prior, rules(t).filter("item_no = 13"), SHEET))
 
@@ -188,17 +185,7 @@ def j08(t):
 
 
 def model_verdicts(t):
-    """Model judgements of items 1 and 2, and an old answer for item 5 that code replaces."""
-    base = t.evidence.join(t.claims.select("k", "sheet"), "k").select("sheet", c("k").alias("row"), "prior2")
-    one = lambda no, item, verdict: base.select(
-        "sheet", "row", F.lit(no).alias("item_no"), F.lit(item).alias("item"), verdict.alias("verdict"),
-        F.lit("").alias("remark"), F.lit("model").alias("rationale"),
-    )
-    return (
-        one(1, "계획서 제출여부", F.lit("PASS"))
-        .unionByName(one(2, "일시 확인", c("prior2")).filter("verdict <> ''"))
-        .unionByName(one(5, "일시 일치", F.lit("PASS")))
-    )
+    return t.model_said.select("wb", "sheet", "row", "item_no", "item", "verdict", F.lit("").alias("remark"), F.lit("model").alias("rationale"))
 
 
 @query("j15_overlay", f"""WITH {_PREP}
@@ -207,4 +194,4 @@ UNION ALL SELECT row, 2, prior2, 'model' FROM span WHERE prior2 <> ''
 UNION ALL """ + " UNION ALL ".join(
     f"SELECT row, {i}, {RULE[i][0]}, " + ("" if i == 3 else "'computed · ' || ") + f"({RULE[i][1]}) FROM span" for i in (3, 5, 6)))
 def j15(t):
-    return slim(J.overlay(model_verdicts(t), verdicts(t, 3, 5, 6), SHEET))
+    return slim(J.overlay(model_verdicts(t), verdicts(t, 3, 5, 6), rules(t), SHEET, SHEET))

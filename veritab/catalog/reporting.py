@@ -17,9 +17,7 @@ ALL_ITEMS = (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)
 def judged(t):
     """Model and computed verdicts of every claim, with its workbook."""
     code = J.judge(Q.cases(t), Q.rules(t), Q.SHEET, carry=("wb",))
-    books = t.claims.select("sheet", "row", "wb")
-    model = Q.model_verdicts(t).filter("item_no < 5").join(books, ["sheet", "row"])
-    return J.overlay(model, code, R.SHEET)
+    return J.overlay(Q.model_verdicts(t), code, Q.rules(t), R.SHEET, Q.SHEET)
 
 
 _JUDGED = f"""WITH {Q._PREP}, judged AS (SELECT wb, sheet, row, 1 AS item_no, 'PASS' AS verdict, 'model' AS rationale FROM span
@@ -102,7 +100,17 @@ def o07(t):
     })
 
 
-_once = lambda x: rf"""(CASE WHEN regexp_matches({x}, '^\s*\[[^\]]{{1,40}}\]') AND {W.nk(f"regexp_extract({x}, '^\s*\[([^\]]{{1,40}})\]', 1)")} IN ({W.nk('item')}, {W.nk("regexp_replace(item, ' (제출여부|확인)$', '')")}, {W.nk("replace(item, ' 제출여부', '')")}) THEN trim(regexp_replace({x}, '^\s*\[[^\]]{{1,40}}\]\s*', '')) ELSE {x} END)"""
+_ECHO = r"^\s*\[([^\]]{1,40})\]\s*"
+_SHORT = "regexp_replace(item, ' (제출여부|확인)$', '')"
+_SAME = f"({W.nk('item')}, {W.nk(_SHORT)})"
+
+
+def _once(x: str) -> str:
+    said = f"regexp_extract({x}, '{_ECHO}', 1)"
+    return (
+        f"(CASE WHEN regexp_matches({x}, '{_ECHO}') AND {W.nk(said)} IN {_SAME} "
+        f"THEN trim(regexp_replace({x}, '{_ECHO}', '')) ELSE {x} END)"
+    )
 
 
 @query("o08_cell_remarks", A.steps(f"""SELECT wb, sheet, row, item_no, CASE WHEN verdict IN ('FAIL', 'UNDETERMINED') THEN {_once(_once('trim(remark)'))} ELSE '' END AS remark FROM unfolded"""))
@@ -132,7 +140,7 @@ def planned(t):
 
 
 _L = W.loose
-PLAN = f"""wnames AS (SELECT DISTINCT wb, sheet_name FROM {{grid_verdicts}}),
+PLAN = rf"""wnames AS (SELECT DISTINCT wb, sheet_name FROM {{grid_verdicts}}),
 wfound AS (SELECT n.wb, n.sheet_name, coalesce(arg_min(s.title, s.ord) FILTER (n.sheet_name = s.title), arg_min(s.title, s.ord) FILTER ({_L('n.sheet_name')} = {_L('s.title')}),
    arg_min(s.title, s.ord) FILTER ({W._EITHER(_L('n.sheet_name'), _L('s.title'))})) AS title FROM wnames n JOIN {{sheet_titles}} s ON s.wb = n.wb GROUP BY ALL),
 wchecks AS (SELECT wb, sheet AS title, col, trim(value) AS chk FROM {{cells}} WHERE row = 4 AND pattern = 'solid'),
@@ -147,7 +155,7 @@ wremark AS (SELECT wb, title, row, '비고' AS header, string_agg('[' || header
 wbase AS (SELECT r.wb, r.title, r.row, 12 AS col, r.header, r.new, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(c.value, '\n+| / '), lambda p: trim(p)),
    lambda p: p <> '' AND NOT regexp_matches(p, '^\[(계획서 제출여부|일시 일치|학교 의견|총 소요시수|인원)\]')), chr(10)), '') AS old, true AS is_remark
    FROM wremark r LEFT JOIN {{cells}} c ON c.wb = r.wb AND c.sheet = r.title AND c.row = r.row AND c.col = 12),
-wplan AS (SELECT * FROM wdirect UNION ALL BY NAME SELECT * FROM wbase)""".replace("\n+|", "\\n+|")
+wplan AS (SELECT * FROM wdirect UNION ALL BY NAME SELECT * FROM wbase)"""
 
 
 @query("o10_write_plan", f"WITH {PLAN} SELECT wb, title, row, col, header, new, old, is_remark FROM wplan")

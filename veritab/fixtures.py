@@ -127,6 +127,14 @@ SELECT k, k % 10 AS fault,
 FROM {{claim_base}}
 """
 
+# Model verdicts: item 1 always, item 2 as planted, item 5 one that code replaces.
+TABLES["model_said"] = f"""
+SELECT wb, sheet, k AS row, item_no, CASE item_no WHEN 1 THEN '계획서 제출여부' WHEN 2 THEN '일시 확인' ELSE '일시 일치' END AS item,
+       CASE WHEN item_no <> 2 THEN 'PASS' WHEN k % 10 = 7 THEN 'FAIL' WHEN k % 10 = 8 THEN 'UNDETERMINED' ELSE 'PASS' END AS verdict
+FROM (SELECT *, CASE each_item WHEN 3 THEN 5 ELSE each_item END AS item_no FROM (SELECT *, EACH(1, 3) AS each_item FROM {{claim_base}}) x) y
+WHERE item_no <> 2 OR k % 10 <> 9
+"""
+
 _ITEMS = [
     # item_no, item, judge, method, extract fields, claim columns
     (1, "계획서 제출여부", "모형", "", "", ""),
@@ -470,8 +478,22 @@ def _sql(name: str) -> str:
     return re.sub(r"EACH\((.+?), (.+?)\)", r"explode(sequence(\1, \2))", TABLES[name])
 
 
+# Unique keys of the tables whose rows cost much work each.
+ROW_KEYS = {"orders": ["o_orderkey"]}
+
+
+def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. One that lies in fewer files than there are cores would keep most
+    cores idle, so its rows are spread by key; a large table, in many files, stays put."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ROW_KEYS and len(df.inputFiles()) < cores:
+        return df.repartition(cores, *ROW_KEYS[name])
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table as a lazy DataFrame."""
     if name not in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _given(spark, sf_dir, name)
     return spark.sql(_sql(name), **{n: load(spark, sf_dir, n) for n in _needs(name)})

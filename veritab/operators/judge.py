@@ -271,16 +271,13 @@ def prior_verdicts(judgements: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def overlay(model: DataFrame, computed: DataFrame, keys: list[str]) -> DataFrame:
-    """Computed verdicts replace the model's for the same row and item.
+def overlay(model: DataFrame, computed: DataFrame, rules: DataFrame, keys: list[str], rule_keys: list[str]) -> DataFrame:
+    """Computed and human verdicts replace what the model said on the same items.
 
-    ``min_by`` keeps one record per cell and combines before the shuffle.
+    Who judges an item is a fact of the rule, so only the small rule table is needed to
+    drop the model's word; the judgements themselves are not shuffled.
     """
     cols = [*keys, "row", "item_no", "item", "verdict", "remark", "rationale"]
-    both = model.select(*cols, F.lit(1).alias("_rank")).unionByName(computed.select(*cols, F.lit(0).alias("_rank")))
-    rest = ["item", "verdict", "remark", "rationale"]
-    return (
-        both.groupBy(*keys, "row", "item_no")
-        .agg(F.min_by(F.struct(*rest), "_rank").alias("best"))
-        .select(*keys, "row", "item_no", *[F.col(f"best.{c}").alias(c) for c in rest])
-    )
+    by_code = rules.filter(F.col("judge").isin(BY_CODE, BY_HUMAN)).select(*rule_keys, "item_no")
+    kept = model.join(by_code, [*rule_keys, "item_no"], "left_anti")
+    return kept.select(*cols).unionByName(computed.select(*cols))
