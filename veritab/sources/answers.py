@@ -54,7 +54,7 @@ def roster(text: Column) -> Column:
 def unfold_judgements(answers: DataFrame) -> DataFrame:
     """Long table of what the model said per item, texts untouched."""
     keys = [c for c in answers.columns if c in ("wb", "sheet", "ord", "row", "batch")]
-    schema = f"{VERDICT} string, {PROVENANCE} string, {RATIONALE} string, {REMARK} string"
+    schema = ", ".join(f"`{n}` string" for n in (VERDICT, PROVENANCE, RATIONALE, REMARK))
     each = answers.select(*keys, F.explode("said").alias("v", "text")).select(
         *keys, F.substring("v", 2, 9).try_cast("int").alias("item_no"), F.from_json("text", schema).alias("j")
     )
