@@ -88,14 +88,14 @@ def links(resolved: DataFrame) -> DataFrame:
 
 # --- judgements ---------------------------------------------------------------------------
 
-def unfold(judgements: DataFrame, rules: DataFrame) -> DataFrame:
+def unfold(judgements: DataFrame, rules: DataFrame, rule_keys: tuple[str, ...] = ("sheet",)) -> DataFrame:
     """Judgements on the model's items: codes for verdicts, cut texts, empty ones gone."""
-    asked = rules.filter(c("judge") == BY_MODEL).select("sheet", "item_no", "item")
+    asked = rules.filter(c("judge") == BY_MODEL).select(*rule_keys, "item_no", "item")
     code = c("said")
     for word, name in VERDICT_CODES.items():
         code = F.when(c("said") == word, name).otherwise(code)
     source = blank_to_empty(c("provenance"))
-    return judgements.filter(blank_to_empty(c("said")) != "").join(asked, ["sheet", "item_no"]).select(
+    return judgements.filter(blank_to_empty(c("said")) != "").join(asked, [*rule_keys, "item_no"]).select(
         *ROW, "ord", "item_no", "item", code.alias("verdict"),
         F.when(source == NO_FILE, "").otherwise(source).alias("provenance"),
         F.substring("rationale", 1, TEXT_LIMIT).alias("rationale"), F.substring("remark", 1, TEXT_LIMIT).alias("remark"),
