@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from veritab.catalog.registry import query
-from veritab.functions.text import file_ext, file_stem, jamo_ratio, natural_key, repair_name, safe_name, squeeze, strip
+from veritab.functions.text import jamo_ratio, natural_key, repair_name, safe_name, squeeze
 from veritab.operators import grid as H, ingest as I, pack as P
 from veritab.operators.guards import file_tags
 from veritab.session import materialize

@@ -7,9 +7,9 @@ record; a worksheet has at most 16,384 columns. Data rows stay long.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from veritab.functions.text import DIGITS_ONLY, blank_to_empty, let, loose_sheet_key, name_key, strip, unnumbered_key
+from veritab.functions.text import DIGITS_ONLY, loose_sheet_key, name_key, strip, unnumbered_key
 from veritab.operators.first import keep_first, previous_value
 
 SHEET = ["wb", "sheet"]
@@ -133,7 +133,7 @@ def resolve_columns(items: DataFrame, headers: DataFrame) -> DataFrame:
     hit = F.coalesce(F.try_element_at("same", F.lit(1)), F.try_element_at("near", F.lit(1)))
     shown = F.array_join(F.transform(F.slice("many", 1, 4), lambda h: h["header"]), " · ")
     how = F.when(c("same").isNotNull(), EXACT).when(c("near").isNotNull(), SIMILAR).when(c("many").isNotNull(), AMBIGUOUS).otherwise(NOT_FOUND)
-    return items.join(best, [*SHEET, "item_no"]).select(  # items without names have no record here
+    return items.join(best, [*SHEET, "item_no"]).select(
         *SHEET, "item_no", "item", F.try_element_at("names", F.lit(1)).alias("rep"), how.alias("how"),
         hit["cols"].alias("cols"), F.coalesce(hit["header"], shown, F.lit("")).alias("found"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veritab.functions.text import base_name, file_ext, file_stem, jamo_ratio, nfc, safe_name, strip
+from veritab.functions.text import WHITESPACE, base_name, file_ext, file_stem, nfc, safe_name, strip
 from veritab.operators.first import keep_first
 
 # Kinds of files, and the limits of a usable text layer.
@@ -77,8 +77,6 @@ def text_layer_quality(pages: DataFrame) -> DataFrame:
     ).withColumn("jamo", F.round(_ratio(c("jamo_n"), c("syllable_n")), 3))
     at = pages.join(edges.select("doc_id", "jamo", "first_page", "last_page"), "doc_id")
     ends = lambda side: F.length("text") - F.length(side(c("text")))
-    from veritab.functions.text import WHITESPACE
-
     left = lambda t: F.ltrim(t, F.lit(WHITESPACE))
     right = lambda t: F.rtrim(t, F.lit(WHITESPACE))
     inside = F.length("text") + 1 - F.when(c("page") == c("first_page"), ends(left)).otherwise(0) - F.when(c("page") == c("last_page"), ends(right)).otherwise(0)
