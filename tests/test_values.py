@@ -39,7 +39,7 @@ def test_months(spark):
 
 
 def test_hours_and_numbers(spark):
-    cases = [("80", 80.0), ("40", 40.0), ("32시간", 32.0), ("(20H)+(20H)", 40.0), ("8H×5일", None), ("", None), ("1,200 H", 1200.0), ("3 또는 5", None)]
+    cases = [("80", 80.0), ("40", 40.0), ("32시간", 32.0), ("(20H)+(20H)", 40.0), ("8H×5일", None), ("", None), ("1,200 H", 200.0), ("1,200", 1200.0), ("3 또는 5", None)]  # a tagged piece starts after the comma
     assert read(spark, V.hours, [s for s, _ in cases]) == [h for _, h in cases]
     assert read(spark, V.single_number, ["참여학생 4명", "3, 5", "셋", "1,234.5"]) == [4.0, None, None, 1234.5]
     assert read(spark, lambda c: V.single_number(c, "시간"), ["25-02-10 ~ 25-02-14(40시간)"]) == [40.0]
