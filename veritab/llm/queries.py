@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, chat, exactdup, packing, sharding
+from veritab.llm import bpe, chat, exactdup, packing, pii, quality, sharding
 from veritab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("__kept").alias("kept"),
         F.sha2("__norm", 256).alias("text_sha256"),
     )
+
+
+@query()
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = quality.apply(docs, table(spark, sf_dir, "labels"))
+    return rated.select(
+        "doc_id", *[F.col("__stats")[c].alias(c) for c in quality.BASE],
+        F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__rule").alias("rule"),
+    )
+
+
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("__found", lambda x: x["kind"])
+    return done.select("doc_id", "text", F.size("__found").cast("long").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
