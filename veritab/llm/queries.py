@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, chat, exactdup, packing, pii, quality, sharding
+from veritab.llm import bpe, chat, exactdup, ngramjoin, packing, pii, quality, sharding
 from veritab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("__found", lambda x: x["kind"])
     return done.select("doc_id", "text", F.size("__found").cast("long").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
+
+
+@query()
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
