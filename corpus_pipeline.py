@@ -38,8 +38,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by pseudonyms; ``n_chars`` stays, as lengths do."""
-    return pii.pseudonymise(docs).select(*docs.columns)
+    """Personal data in the texts is replaced by pseudonyms; ``n_chars`` follows where a text changed."""
+    done = pii.pseudonymise(docs)
+    return done.withColumn("n_chars", F.when(F.size("__found") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def _light_keys(s: np.ndarray, percent: int) -> np.ndarray:
         tag = mix(np.array([min(n, m) * 4096 + max(n, m)], np.uint64))[0]
         gone = n - o
         sums = [values.sum(dtype=np.uint64) - values[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), gone)] if gone else [values.sum(dtype=np.uint64)]
-        out.append(mix(np.array(sums, np.uint64) ^ tag))
+        out.append(mix(np.array(sums, np.uint64) ^ tag) & ~U(1) | U(n != m))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -198,8 +198,13 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
 
 def _stars(entries: DataFrame) -> DataFrame:
-    """``(a, b)``: each entry of ``(key, node)`` with the smallest node of its key."""
-    hubs = entries.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    """``(a, b)``: each entry of ``(key, node, n)`` with the smallest node of its key.
+
+    An odd key is a subset for two sizes: it links each set of one with each of the other, so it
+    connects all of them if both sizes are there, and none if only one is.
+    """
+    hubs = entries.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("c"), F.min("n").alias("x"), F.max("n").alias("y"))
+    hubs = hubs.filter("c > 1 AND (x < y OR pmod(key, 2) = 0)").select("key", "b")
     return entries.join(hubs, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -220,7 +225,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     rows = cut(sketch(docs, id_col, text_col, percent))
     named = cut(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("node")))
     leaders = rows.join(named.select("node"), F.col("row") == F.col("node"))
-    light = _stars(leaders.select(F.explode("light").alias("key"), "node"))
+    light = _stars(leaders.select(F.explode("light").alias("key"), "node", "n"))
     pairs = cut(_hub_pairs(leaders.select(F.explode("heavy").alias("key"), "node")))
 
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(named, "node")

@@ -28,9 +28,9 @@ _NAMED = r"""(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["'
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Kinds in the order in which they are tried, each with the pattern of a whole candidate.
 KINDS = {
-    "secret": rf"{_NAMED}[A-Za-z0-9_+/.=-]{{8,}}+",
+    "secret": rf"{_NAMED}[A-Za-z0-9_+/.=-]{{7,}}[A-Za-z0-9_+/=-]",
     "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9-]{20,}+|[0-9a-f]{32,128})(?![A-Za-z0-9])",
-    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}+[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "card": r"(?:[0-9]{13,19}+|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",

@@ -234,10 +234,19 @@ def verdict(rules: list[list[Literal]], stats: Column | str = "__stats") -> Colu
     return F.lit(None).cast("int") if out is None else out
 
 
-def apply(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__stats``, ``__base_failed``, ``__rule`` (of the learned list) and ``__kept``."""
-    rated = statistics(docs, text_col)
-    rules = learn(labelled(statistics(docs.select(id_col, text_col), text_col), labels, id_col))
+def decide(rated: DataFrame, rules: list[list[Literal]]) -> DataFrame:
+    """``rated`` (with ``__stats``) with ``__base_failed``, ``__rule`` and ``__kept``."""
     return rated.withColumns({"__base_failed": base_failed(), "__rule": verdict(rules)}).withColumn(
         "__kept", ~F.col("__base_failed") & F.col("__rule").isNull()
     )
+
+
+def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id and ``__stats`` of each row, computed once: learning and deciding need no texts."""
+    return cut(statistics(docs.select(id_col, text_col), text_col).drop(text_col))
+
+
+def apply(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, whole rows, with the columns of ``decide``."""
+    rules = learn(labelled(figures(docs, id_col, text_col), labels, id_col))
+    return decide(statistics(docs, text_col), rules)

@@ -96,8 +96,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rated = quality.apply(docs, table(spark, sf_dir, "labels"))
+    figures = quality.figures(table(spark, sf_dir, "documents"))
+    rated = quality.decide(figures, quality.learn(quality.labelled(figures, table(spark, sf_dir, "labels"))))
     return rated.select(
         "doc_id", *[F.col("__stats")[c].alias(c) for c in quality.BASE],
         F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__rule").alias("rule"),
