@@ -1,4 +1,4 @@
-"""Bucketed positions, fair shares and borrowed rows against plain definitions."""
+"""Positions, fair shares and borrowed rows against plain definitions."""
 
 import random
 
@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 from veritab.operators import first as O, guards as G, pack as P
 
 
-def test_positions_across_buckets(spark):
+def test_positions_with_a_hot_key_sparse_ordinals_and_nulls(spark):
     rng = random.Random(1)
-    rows = [(k, o) for k in "abc" for o in rng.sample(range(500), 90)] + [("hot", o) for o in range(0, 4000, 3)]
+    rows = [(k, o) for k in ("a", "b", None) for o in rng.sample(range(500), 90)] + [("hot", rng.randrange(1 << 60)) for _ in range(1500)] + [("a", None), (None, None)]
     df = spark.createDataFrame(rows, "k string, ord long")
-    got = {(r.k, r.ord): (r.pos, r.before) for r in O.previous_value(O.with_position(df, ["k"], "ord", width=16), ["k"], "ord", "before", width=16).collect()}
-    for k in {k for k, _ in rows}:
-        ords = sorted(o for kk, o in rows if kk == k)
+    placed = O.previous_value(O.with_position(df, ["k"], "ord", parts=16), ["k"], "ord", "before", parts=7).collect()
+    got = {(r.k, r.ord): (r.pos, r.before) for r in placed}
+    assert len(placed) == len(rows)
+    for k in ("a", "b", None, "hot"):
+        ords = sorted(o for kk, o in rows if kk == k and o is not None)
         for i, o in enumerate(ords):
             assert got[k, o] == (i + 1, ords[i - 1] if i else None)
+    assert got["a", None][0] == 91 and got[None, None][0] == 91
+    firsts = O.mark_first(df, ["k"], ["ord"]).filter("is_first").collect()
+    assert len(firsts) == 4
 
 
 def fill(lengths, total, per_file):

@@ -1,8 +1,6 @@
-"""Files on disk: packages, folders, manifests, answers, sinks."""
+"""Files on disk: folders, manifests, answers, sinks."""
 
-import io
 import json
-import zipfile
 
 from pyspark.sql import functions as F
 
@@ -10,46 +8,13 @@ from veritab.functions.text import base_name
 from veritab.operators import ingest as I
 from veritab.sources import answers as A, files as S
 
-W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-
-
-def package(parts):
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return buf.getvalue()
-
-
-def test_docx_and_folder(spark, tmp_path):
-    p = lambda s: f"<w:p><w:r><w:t>{s}</w:t></w:r></w:p>"
-    nested = f"<w:tbl><w:tr><w:tc>{p('안')}</w:tc><w:tc>{p('쪽')}</w:tc></w:tr></w:tbl>"
-    table = f"<w:tbl><w:tr><w:tc>{p('가')}{p('나')}</w:tc><w:tc>{nested}</w:tc></w:tr><w:tr><w:tc>{p('')}</w:tc></w:tr></w:tbl>"
-    doc = f'<w:document xmlns:w="{W}"><w:body>{p("첫 줄")}{p(" ")}{table}{p("끝")}</w:body></w:document>'
-    sub = tmp_path / "하위"
-    sub.mkdir()
-    (sub / "a.docx").write_bytes(package({"word/document.xml": doc}))
-    (tmp_path / "broken.docx").write_bytes(b"nothing")
-    (tmp_path / "~$a.docx").write_bytes(b"")
-    (tmp_path / "b.txt").write_text("x")
+def test_folder_listing(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("sub/one.docx", "two.bin", "~$one.docx", ".three.docx"):
+        (tmp_path / name).write_bytes(b"x")
     found = S.read_folder(spark, str(tmp_path))
     listed = I.list_files(found.select("path")).select(base_name(F.col("path")).alias("n"), "supported").collect()
-    assert {(r.n, r.supported) for r in listed} == {("a.docx", True), ("broken.docx", True), ("b.txt", False)}
-    docx = found.filter("path like '%.docx' and path not like '%~$%'")
-    got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in S.read_packages(docx, ".docx").collect()}
-    assert got["a.docx"] == ("첫 줄\n가 나 | 안 | 쪽\n끝", "")
-    assert got["broken.docx"][0] is None and got["broken.docx"][1].startswith("BadZipFile")
-
-
-def test_hwpx_sections_in_natural_order(spark):
-    sec = lambda body: f'<s xmlns:hp="urn:p">{body}</s>'
-    p = lambda s: f"<hp:p><hp:run><hp:t>{s}</hp:t></hp:run></hp:p>"
-    inner = f"<hp:tbl><hp:tr><hp:tc>{p('속')}</hp:tc></hp:tr></hp:tbl>"
-    table = f"<hp:p><hp:run><hp:t>앞</hp:t><hp:tbl><hp:tr><hp:tc>{p('가')}</hp:tc><hp:tc>{p('나')}</hp:tc></hp:tr></hp:tbl></hp:run></hp:p>"
-    content = package({"Contents/section10.xml": sec(p("열")), "Contents/section2.xml": sec(p("둘") + table), "other/section1.xml": sec(p("밖"))})
-    df = spark.createDataFrame([("x", bytearray(content))], "path string, content binary")
-    assert S.read_packages(df, ".hwpx").collect()[0].text == "둘\n앞\n가 | 나\n열"
-    assert inner
+    assert {(r.n, r.supported) for r in listed} == {("one.docx", True), ("two.bin", False)}
 
 
 def test_manifest(spark):
@@ -76,6 +41,19 @@ def test_answers_take_the_row_from_the_key(spark):
     assert [(r.item_no, r.said, r.rationale) for r in said] == [(1, "O", "표제")]
 
 
+def test_what_cannot_be_read_is_recorded(spark):
+    bodies = ['{"줄": {"r3": {"확신": "높음"}, "r03": {"확신": "낮음"}, "x": {}}}', '{"줄": {"r1": ', "", None, '{"다른": 1}', '{"줄": [{"행": 4}, {"행": "넷"}, {}]}',
+              '{"줄": {"r8": {"판정": {"v2": {"판정": "O"}, "v02": {"판정": "X"}}, "v1": {"판정": "X"}, "v01": {"판정": "O"}}}}']
+    raw = spark.createDataFrame(list(enumerate(bodies)), "ord int, body string")
+    answers = A.scan_answers(raw)
+    assert sorted((r.ord, r.row) for r in answers.collect()) == [(0, 3), (5, 4), (6, 8)]
+    gone = sorted((r.ord, r.key, r.reason) for r in A.rejected_answers(raw).collect())
+    assert gone == [(0, "r03", "no row number"), (0, "x", "no row number"), (1, "", "no readable rows"), (2, "", "no readable rows"), (3, "", "no readable rows"),
+                    (4, "", "no readable rows"), (5, "", "no row number"), (5, "넷", "no row number")]
+    said = A.unfold_judgements(answers).filter("ord = 6").collect()
+    assert sorted((r.item_no, r.said) for r in said) == [(1, "X"), (2, "O")]
+
+
 def test_sinks_keep_other_sheets(spark, tmp_path):
     out = str(tmp_path / "out")
     df = spark.createDataFrame([("w", "a", 1), ("w", "b", 2)], "wb string, sheet string, v int")

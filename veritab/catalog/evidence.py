@@ -1,11 +1,7 @@
-"""Queries for evidence files and packing."""
+"""Queries for evidence files and packing."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from veritab.catalog.registry import query
@@ -61,59 +57,6 @@ def s05(t):
     return t.files.select("ord", S.output_name(path, c("name"), "보조_검사결과").alias("out"))
 
 
-_DOCX = '<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
-_HWPX = '<?xml version="1.0"?><hs:sec xmlns:hs="urn:s" xmlns:hp="urn:p">{}</hs:sec>'
-
-
-def packages(t, kind: str):
-    """Documents wrapped as DOCX or HWPX: paragraphs, then a one-row table."""
-
-    def wrap(batches):
-        from xml.sax.saxutils import escape
-
-        clean = lambda s: escape("".join(ch for ch in s if ch >= " " or ch in "\t"))
-        for pdf in batches:
-            out = []
-            for text, name in zip(pdf["text"], pdf["name"]):
-                buf = io.BytesIO()
-                lines = [clean(s) for s in text.split("\n")]
-                with zipfile.ZipFile(buf, "w") as z:
-                    if kind == ".docx":
-                        p = lambda s: f"<w:p><w:r><w:t>{s}</w:t></w:r></w:p>"
-                        table = f"<w:tbl><w:tr><w:tc>{p('파일')}</w:tc><w:tc>{p(clean(name))}</w:tc></w:tr></w:tbl>"
-                        z.writestr("word/document.xml", _DOCX.format("".join(map(p, lines)) + table))
-                    else:
-                        p = lambda s: f"<hp:p><hp:run><hp:t>{s}</hp:t></hp:run></hp:p>"
-                        table = f"<hp:p><hp:tbl><hp:tr><hp:tc>{p('파일')}</hp:tc><hp:tc>{p(clean(name))}</hp:tc></hp:tr></hp:tbl></hp:p>"
-                        z.writestr("Contents/section10.xml", _HWPX.format(table))
-                        z.writestr("Contents/section2.xml", _HWPX.format("".join(map(p, lines))))
-                out.append(buf.getvalue())
-            yield pd.DataFrame({"path": pdf["path"], "content": out})
-
-    docs = t.docs.select(c("doc_id").cast("string").alias("path"), "text", "name")
-    return docs.mapInPandas(wrap, "path string, content binary")
-
-
-# What the packages say: the lines of the text that are not blank, then the table row.
-_CLEAN = r"regexp_replace({x}, '[\x00-\x08\x0b-\x1f]', '', 'g')"
-
-
-def _packaged(line: str) -> str:
-    lines = f"list_filter(list_transform(string_split(text, chr(10)), lambda s: {_CLEAN.replace('{x}', 's')}), lambda s: {trimmed('s')} <> '')"
-    said = f"array_to_string(list_append(list_transform({lines}, lambda s: {line}), '파일 | ' || {trimmed(_CLEAN.replace('{x}', 'name'))}), chr(10))"
-    return f"WITH p AS (SELECT cast(doc_id as string) AS path, {squeezed(said)} AS t FROM {{docs}}) SELECT path, len(t) AS chars, sha256(t) AS sha, '' AS error FROM p"
-
-
-@query("s06_docx_text", _packaged("s"))
-def s06(t):
-    return S.read_packages(packages(t, ".docx"), ".docx").select("path", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"), "error")
-
-
-@query("s07_hwpx_text", _packaged(trimmed("s")))
-def s07(t):
-    return S.read_packages(packages(t, ".hwpx"), ".hwpx").select("path", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"), "error")
-
-
 @query("s08_cached_texts", f"""SELECT cast(doc_id as string) AS stem, CASE WHEN doc_id % 4 = 0 THEN cast(doc_id as string) WHEN doc_id % 4 = 1 THEN {base("concat('/a/', name)")} ELSE name END AS name, sha256(text) AS sha
 FROM {{docs}} WHERE {trimmed('text')} <> ''""")
 def s08(t):

@@ -35,7 +35,7 @@ def div(a: str, b: int) -> str:
 
 
 def _name(i: str) -> str:
-    return case(f"({i}) % 5", "'김재걸'", "'이수민'", "'박민수'", "'Gokce Nul AYAZ'", "'최푸름'")
+    return case(f"({i}) % 5", "'한가온'", "'류다솜'", "'문새벽'", "'Ines Maro VELT'", "'백하람'")
 
 
 def _isbn13_check(base: str) -> str:
@@ -239,8 +239,7 @@ WHERE value <> '' AND (slot <= 14 OR (i = 0 AND (slot <= 29 OR sheet = '④세
 
 TABLES["alias_rows"] = f"""
 SELECT wb, ord, {_pick('ord', ALIAS_ROWS, 0)} AS rep, {_pick('ord', ALIAS_ROWS, 1)} AS alias_text
-FROM (SELECT concat('W', {text(div('p_partkey', 100))}) AS wb, {div('p_partkey % 100', 10)} AS ord
-      FROM {{part}} WHERE p_partkey % 10 = 0) t
+FROM (SELECT concat('W', {text(div('p_partkey', 10))}) AS wb, p_partkey % 10 AS ord FROM {{part}}) t
 """
 
 
@@ -273,7 +272,7 @@ SELECT k, wb, sheet, 2 * k + again AS ord, CASE WHEN k % 31 = 0 THEN k + 1000000
        CASE WHEN k % 33 = 0 THEN '따로 확인' ELSE '' END AS memo,
        {case('k % 4', "'40'", "'32시간'", "''", "'8H×5일'")} AS total_hours,
        {case('k % 6', "'찾음'", "'찾음'", "'명단없음'", "'글자깨짐'", "'찾음'", "''")} AS roster_status,
-       CASE WHEN k % 3 = 0 THEN '' ELSE '김재걸|이수민' END AS roster_names,
+       CASE WHEN k % 3 = 0 THEN '' ELSE '한가온|류다솜' END AS roster_names,
        CASE WHEN k % 5 < 2 THEN '' ELSE concat('참여학생 ', {text('k % 9')}, '명 (재직자를 포함한 전체 인원)') END AS heads_text,
        again
 FROM (SELECT *, ({div('k', 64)} + k % 8) % 9 = 4 AS shrug, EACH(0, CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END) AS again
@@ -331,8 +330,8 @@ _CHECKED = (10, 11, 12, 13, 14, 17)
 _known = lambda v: f"CASE WHEN i % 13 = 12 THEN '' ELSE {v} END"
 _VALUES = {
     1: "''", 2: _known("p_name"), 3: f"CASE WHEN i % 3 = 0 THEN {_known('p_brand')} ELSE '' END", 4: _known("p_type"),
-    5: _known("'김재걸 '"), 6: _known("CASE WHEN i % 4 > 0 THEN '이수민' ELSE '' END"),
-    7: _known("CASE WHEN i % 4 > 1 THEN 'Gokce Nul AYAZ' ELSE '' END"), 8: _known("CASE WHEN i % 4 = 3 THEN '최푸름' ELSE '' END"),
+    5: _known("'한가온 '"), 6: _known("CASE WHEN i % 4 > 0 THEN '류다솜' ELSE '' END"),
+    7: _known("CASE WHEN i % 4 > 1 THEN 'Ines Maro VELT' ELSE '' END"), 8: _known("CASE WHEN i % 4 = 3 THEN '백하람' ELSE '' END"),
     9: text("p_size"), 10: "CASE WHEN i % 6 = 0 THEN 'O' ELSE '' END", 11: "''",
     12: "CASE i % 5 WHEN 0 THEN concat('[일시 일치] 다름', chr(10), '손으로 쓴 글 / [다른 것] 둠') WHEN 1 THEN '[계획서 제출여부] 없음' ELSE '' END",
     13: "CASE WHEN i % 7 = 0 THEN '의견' ELSE '' END", 15: _known("'뒤'"), 18: "''",
@@ -397,22 +396,34 @@ WHERE (slot <= 3 OR i = 0) AND value <> ''
 
 _nfd = "\u1112\u1161\u11ab\u1100\u1173\u11af"  # decomposed Hangul
 _ext = case("doc_id % 8", "'.docx'", "'.hwpx'", "'.hwp'", "'.pdf'", "'.png'", "'.TXT'", "'.PDF'", "''")
+# Every given document and turn stays whole; faults are planted in additional rows, whose ids
+# follow those of the given ones.
+FAULT = 1_000_000_000
+_fault_text = case(
+    "doc_id % 97", f"concat('{_nfd} {_nfd}', text)", "concat('ㄱㄴㄷ 한글 ㅏㅑ ', text)",
+    "concat('줄 하나  ', chr(13), chr(10), chr(10), chr(10), chr(10), '줄 둘', chr(9), chr(10), text)", "''", "'   '",
+    "concat(text, ' key sk-ABCDEFGHIJKLMNOPQRSTUVWX end')", "concat('AIza', repeat('x', 35), ' ', text)", "concat(text, ' -----BEGIN RSA PRIVATE KEY-----')",
+    "concat('\"private_key\" : \"', repeat('a', 45), text)", "concat(text, ' -----BEGIN PRIVATE KEY----- sk-ABCDEFGHIJKLMNOPQRSTUVWX')", "text",
+)
+TABLES["all_docs"] = f"""
+SELECT doc_id, source, lang, text FROM {{documents}}
+UNION ALL
+SELECT doc_id + {FAULT} AS doc_id, source, lang, {_fault_text} AS text FROM {{documents}} WHERE doc_id % 97 < 10
+"""
 TABLES["docs"] = f"""
 SELECT doc_id, source, lang, doc_id AS ord,
        concat(CASE WHEN doc_id % 37 = 0 THEN '~$' WHEN doc_id % 41 = 0 THEN '.' ELSE '' END, '보고서 ', {text('doc_id % 120')},
               CASE doc_id % 9 WHEN 0 THEN ': 최종*본' WHEN 1 THEN concat(' ', repeat('긴 이름 ', 15)) WHEN 2 THEN concat('-', {text('doc_id % 7')}, '차') ELSE '' END, {_ext}) AS name,
-       CASE doc_id % 97 WHEN 0 THEN concat('{_nfd} {_nfd}', substr(text, 1, 50)) WHEN 1 THEN concat('ㄱㄴㄷ 한글 ㅏㅑ ', substr(text, 1, 9))
-            WHEN 2 THEN concat('줄 하나  ', chr(13), chr(10), chr(10), chr(10), chr(10), '줄 둘', chr(9), chr(10), substr(text, 1, 99))
-            WHEN 3 THEN '' WHEN 4 THEN '   ' WHEN 5 THEN 'key sk-ABCDEFGHIJKLMNOPQRSTUVWX end' WHEN 6 THEN concat('AIza', repeat('x', 35))
-            WHEN 7 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 8 THEN concat('"private_key" : "', repeat('a', 45))
-            WHEN 9 THEN '-----BEGIN PRIVATE KEY----- sk-ABCDEFGHIJKLMNOPQRSTUVWX' ELSE text END AS text
-FROM {{documents}}
+       text
+FROM {{all_docs}}
 """
 TABLES["doc_pages"] = f"""
-SELECT conv_id AS doc_id, turn + 1 AS page,
-       CASE WHEN conv_id % 7 = 0 THEN substr(text, 1, 10) WHEN conv_id % 11 = 0 THEN concat('{_nfd}{_nfd}{_nfd}{_nfd}', substr(text, 1, 60))
-            WHEN conv_id % 13 = 0 THEN concat('ㄱㄴㄷㄹ 가나 ', substr(text, 1, 60)) WHEN conv_id % 5 = 0 AND turn = 0 THEN '  ' ELSE text END AS text
-FROM {{conversations}} WHERE conv_id % 17 <> 0 OR turn = 0
+SELECT conv_id AS doc_id, turn + 1 AS page, text FROM {{conversations}}
+UNION ALL
+SELECT conv_id + {FAULT} AS doc_id, turn + 1 AS page,
+       CASE WHEN conv_id % 7 = 0 THEN '스캔 쪽' WHEN conv_id % 11 = 0 THEN concat('{_nfd}{_nfd}{_nfd}{_nfd}', text)
+            WHEN conv_id % 13 = 0 THEN concat('ㄱㄴㄷㄹ 가나 ', text) ELSE '  ' END AS text
+FROM {{conversations}} WHERE conv_id % 7 = 0 OR conv_id % 11 = 0 OR conv_id % 13 = 0 OR conv_id % 5 = 0
 """
 TABLES["files"] = f"""
 SELECT doc_id AS ord, name, concat('/root ', source, CASE WHEN doc_id % 5 = 0 THEN '/하위/' ELSE '/' END, name) AS path, length(text) AS n_chars,
@@ -478,22 +489,8 @@ def _sql(name: str) -> str:
     return re.sub(r"EACH\((.+?), (.+?)\)", r"explode(sequence(\1, \2))", TABLES[name])
 
 
-# Unique keys of the tables whose rows cost much work each.
-ROW_KEYS = {"orders": ["o_orderkey"]}
-
-
-def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that lies in fewer files than there are cores would keep most
-    cores idle, so its rows are spread by key; a large table, in many files, stays put."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ROW_KEYS and len(df.inputFiles()) < cores:
-        return df.repartition(cores, *ROW_KEYS[name])
-    return df
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table as a lazy DataFrame."""
     if name not in TABLES:
-        return _given(spark, sf_dir, name)
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(_sql(name), **{n: load(spark, sf_dir, n) for n in _needs(name)})

@@ -122,6 +122,14 @@ def roster_count_of_text(text: Column) -> Column:
     return F.nullif(name_count(text), F.lit(0))
 
 
+def is_nested(c: Column) -> Column:
+    """True for the JSON text of a list or an object, as a map of texts keeps them."""
+    text = blank_to_empty(c)
+    return (text.startswith("[") & F.from_json(text, "array<string>").isNotNull()) | (
+        text.startswith("{") & F.from_json(text, "map<string,string>").isNotNull()
+    )
+
+
 def isbn_digits(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\\p{Nd}Xx]", ""))
 

@@ -2,16 +2,13 @@
 
 A window over a key puts all rows of that key into one task. Here the first record is
 found with an aggregate, which combines before the shuffle, and positions are counted
-in ordinal buckets of a fixed width.
+inside sampled ranges of key and ordinal.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET = 1 << 18  # rows of one key that one window task sorts at most
-
-
 def keep_first(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
     """One record per ``by``: the one with the smallest order."""
     cols = df.columns
@@ -27,35 +24,53 @@ def keep_first(df: DataFrame, by: list[str], order: list[str | Column]) -> DataF
 def mark_first(df: DataFrame, by: list[str], order: list[str | Column], flag: str = "is_first") -> DataFrame:
     """Add a flag that is true for the first record per ``by``. Order values are unique."""
     firsts = df.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first"))
-    return df.join(firsts, by).withColumn(flag, F.struct(*order) == F.col("_first")).drop("_first")
+    return _joined(df, firsts, by).withColumn(flag, F.struct(*order).eqNullSafe(F.col("_first"))).drop("_first")
+
+
+def _joined(df: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Each row with the one of ``found`` that has its key, null keys included."""
+    named = found.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(by)})
+    same = [df[k].eqNullSafe(named[f"_key_{i}"]) for i, k in enumerate(by)]
+    return df.join(named, same).drop(*[f"_key_{i}" for i in range(len(by))])
+
+
+def _placed(df: DataFrame, keys: list[str], ord_col: str, parts: int | None) -> DataFrame:
+    """Rows dealt by sampled ranges of key and ordinal, with the number of the range in ``_b``.
+
+    A range holds about the same number of rows however the ordinals are spread, so a key that
+    holds most rows lies in many ranges.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, F.col(ord_col).asc_nulls_last()]
+    return df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id())
 
 
-def with_position(df: DataFrame, keys: list[str], ord_col: str, name: str = "pos", width: int = BUCKET) -> DataFrame:
-    """1-based position of each row within its key, by a whole-number ordinal.
+def with_position(df: DataFrame, keys: list[str], ord_col: str, name: str = "pos", parts: int | None = None) -> DataFrame:
+    """1-based position of each row within its key, by an ordinal; rows without one come last.
 
-    Rows fall into buckets of ``width`` consecutive ordinals, so no task sorts more than
-    ``width`` rows of one key; the second window runs over one row per bucket.
+    One window counts inside each range, a second one over one row for each key and range.
+    Null keys are a key; no row is lost.
     """
-    placed = df.withColumn("_b", F.floor(F.col(ord_col) / width))
+    placed = _placed(df, keys, ord_col, parts)
     starts = (
         placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
         .select(*keys, "_b", F.coalesce("_before", F.lit(0)).alias("_before"))
     )
-    inside = placed.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(ord_col)))
-    return inside.join(starts, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
+    inside = placed.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.col(ord_col).asc_nulls_last())))
+    return _joined(inside, starts, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
 
 
-def previous_value(df: DataFrame, keys: list[str], ord_col: str, name: str, width: int = BUCKET) -> DataFrame:
-    """The preceding ordinal of the same key, null for the first; bucketed as above."""
-    placed = df.withColumn("_b", F.floor(F.col(ord_col) / width))
+def previous_value(df: DataFrame, keys: list[str], ord_col: str, name: str, parts: int | None = None) -> DataFrame:
+    """The preceding ordinal of the same key, null for the first; by ranges as above."""
+    placed = _placed(df, keys, ord_col, parts)
     edges = (
         placed.groupBy(*keys, "_b").agg(F.max(ord_col).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
         .select(*keys, "_b", "_carry")
     )
-    inside = placed.withColumn("_p", F.lag(ord_col).over(Window.partitionBy(*keys, "_b").orderBy(ord_col)))
-    return inside.join(edges, [*keys, "_b"]).withColumn(name, F.coalesce("_p", "_carry")).drop("_b", "_p", "_carry")
+    inside = placed.withColumn("_p", F.lag(ord_col).over(Window.partitionBy(*keys, "_b").orderBy(F.col(ord_col).asc_nulls_last())))
+    return _joined(inside, edges, [*keys, "_b"]).withColumn(name, F.coalesce("_p", "_carry")).drop("_b", "_p", "_carry")
 
 
 def distinct_by_key(items: Column, key) -> Column:

@@ -44,10 +44,16 @@ def read_values(df: DataFrame) -> DataFrame:
     c, kind = F.col, F.col("kind")
     for_kinds = lambda kinds, reading: F.when(kind.isin(kinds), reading)
     field = lambda name: blank_to_empty(F.try_element_at(c("ext"), F.lit(name)))
-    scalar_fields = F.filter(c("extract_fields"), lambda f: ~((f == ROSTER_FIELD) & c("roster").isNotNull()))
+    # Lists and objects are no scalars: a look-up for one value goes on to the next field.
+    scalar_fields = F.filter(
+        c("extract_fields"),
+        lambda f: ~((f == ROSTER_FIELD) & c("roster").isNotNull()) & ~V.is_nested(F.try_element_at(c("ext"), f)),
+    )
+    listed = F.try_element_at(c("ext"), F.lit(ROSTER_FIELD))
     roster_n = F.coalesce(
         V.roster_count(c("roster.status"), c("roster.names")),
-        F.when(c("roster").isNull(), V.roster_count_of_text(F.try_element_at(c("ext"), F.lit(ROSTER_FIELD)))),
+        F.when(c("roster").isNull() & V.is_nested(listed), V.roster_count_of_list(F.from_json(listed, "array<string>")))
+        .when(c("roster").isNull(), V.roster_count_of_text(listed)),
     )
     texts = df.withColumns({
         "claim": V.first_filled(c("vals"), c("claim_cols")),
@@ -265,8 +271,13 @@ def judge(claims: DataFrame, rules: DataFrame, keys: list[str], carry: tuple[str
 
 
 def prior_verdicts(judgements: DataFrame, keys: list[str]) -> DataFrame:
-    """Model verdicts of each row as one small map, taken before code adds its own."""
-    return judgements.groupBy(*keys, "row").agg(
+    """Model verdicts of each row as one small map, taken before code adds its own.
+
+    A row that says an item twice keeps one verdict, the smallest; the map holds one entry for
+    each item of a sheet.
+    """
+    one = judgements.groupBy(*keys, "row", "item_no").agg(F.min("verdict").alias("verdict"))
+    return one.groupBy(*keys, "row").agg(
         F.map_from_entries(F.collect_list(F.struct("item_no", "verdict"))).alias("prior")
     )
 

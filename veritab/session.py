@@ -19,7 +19,10 @@ SETTINGS = {
 
 # Static options, for sessions that are built here. Recording the Python call site of
 # every column expression costs seconds for long plans.
-STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+STATIC = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go with the results that need them
+}
 
 
 def build(app: str, master: str | None = None, **options: str) -> SparkSession:
@@ -42,10 +45,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read, and cut its lineage.
 
     It goes to the cluster's shared checkpoint folder, so a lost executor costs nothing
-    but a re-read. Only where no folder is configured (tests) a temporary one is made.
+    but a re-read. Without such a folder only a local session (tests) gets a temporary
+    one; on a cluster executors would not see each other's files, so that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veritab-checkpoint-")
-        context.setCheckpointDir(folder)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veritab-checkpoint-"))
     return df.checkpoint()
