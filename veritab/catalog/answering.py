@@ -91,7 +91,7 @@ resolved AS (SELECT c.*, coalesce(t1.name, t2.name) AS name FROM cited c
 own AS (SELECT wb, sheet, row, name, min(place) AS place FROM resolved WHERE name IS NOT NULL GROUP BY ALL),
 unfolded AS (SELECT j.wb, j.sheet, j.row, j.item_no, r.item, {_CODE} AS verdict,
                CASE WHEN trim(provenance) = '없음' THEN '' ELSE trim(provenance) END AS provenance,
-               substr(rationale, 1, 200) AS rationale, substr(remark, 1, 200) AS remark
+               rationale, remark
              FROM {{answer_judgements}} j JOIN firsta f ON f.ord = j.ord
              JOIN {{judge_rules}} r ON r.sheet = j.sheet AND r.item_no = j.item_no AND r.judge = '모형' WHERE trim(said) <> ''),
 named AS (SELECT u.* EXCLUDE (provenance), coalesce(t1.name, t2.name, '') AS provenance FROM unfolded u
@@ -162,7 +162,7 @@ def g03(t):
 
 
 @query("g04_invented_tags", steps("""
-SELECT wb, sheet, row, count(*) AS n, array_to_string(list_slice(list(ref ORDER BY place), 1, 2), ', ') AS shown FROM resolved WHERE name IS NULL GROUP BY ALL"""))
+SELECT wb, sheet, row, count(*) AS n, array_to_string(list(ref ORDER BY place), ', ') AS shown FROM resolved WHERE name IS NULL GROUP BY ALL"""))
 def g04(t):
     return G.invented_tags(Flow(t).resolved)
 
@@ -209,10 +209,7 @@ def g12(t):
 
 @query("g13_shared_files", steps("""
 , used AS (SELECT l.*, f.batch, f.ord FROM links l JOIN firsta f ON f.wb = l.wb AND f.sheet = l.sheet AND f.row = l.row)
-SELECT wb, sheet, batch, name, n_rows, rows FROM (
-  SELECT wb, sheet, batch, name, count(*) AS n_rows, array_to_string(list_slice(list(row ORDER BY ord), 1, 5), ', ') AS rows, min((ord, place)) AS seen
-  FROM used GROUP BY wb, sheet, batch, name HAVING count(*) > 1) x
-QUALIFY row_number() OVER (PARTITION BY wb, sheet, batch ORDER BY seen) <= 6"""))
+SELECT wb, sheet, batch, name, count(*) OVER (PARTITION BY wb, sheet, batch, name) AS n_rows, row FROM used QUALIFY n_rows > 1"""))
 def g13(t):
     f = Flow(t)
     return G.shared_files(f.links, f.first)
@@ -220,7 +217,7 @@ def g13(t):
 
 @query("g14_missing_rows", steps("""
 , gone AS (SELECT wb, sheet, row FROM {sheet_rows} EXCEPT SELECT wb, sheet, row FROM firsta)
-SELECT wb, sheet, count(*) AS n, array_to_string(list_slice(list(row ORDER BY row), 1, 8), ', ') AS rows, 'err' AS level FROM gone GROUP BY ALL"""))
+SELECT wb, sheet, row, 'err' AS level FROM gone"""))
 def g14(t):
     f = Flow(t)
     return G.missing_alert(G.missing_rows(f.rows, f.first))

@@ -35,7 +35,7 @@ def o01(t):
 
 @query("o02_attention", f"WITH {A.STEPS}, " + W.STEPS.replace("resolved AS", "wresolved AS").replace("FROM resolved", "FROM wresolved").replace("own AS", "wown AS").replace("FROM own", "FROM wown").replace("names AS", "wnames AS").replace("FROM names", "FROM wnames") + f""", {SHARES}
 SELECT wb, sheet, 1 AS section, 'unknown row' AS code, cast(row as string) AS detail FROM {{answers}} WHERE ord NOT IN (SELECT ord FROM known)
-UNION ALL SELECT wb, sheet, 1, 'invented file', shown FROM (SELECT wb, sheet, row, array_to_string(list_slice(list(ref ORDER BY place), 1, 2), ', ') AS shown FROM resolved WHERE name IS NULL GROUP BY ALL)
+UNION ALL SELECT wb, sheet, 1, 'invented file', shown FROM (SELECT wb, sheet, row, array_to_string(list(ref ORDER BY place), ', ') AS shown FROM resolved WHERE name IS NULL GROUP BY ALL)
 UNION ALL SELECT wb, sheet, 2, 'lowered: ' || reason, item || ' ' || row FROM lowered WHERE reason IS NOT NULL
 UNION ALL SELECT wb, sheet, 1, 'column unresolved', CASE WHEN found = '' THEN item || ' · ' ELSE item || ' · ' || found END FROM colmap WHERE key IS NULL
 UNION ALL SELECT '', source, 1, 'text cut', name || ' ' || len || ' ' || share FROM shares WHERE len > share""")
@@ -81,7 +81,7 @@ def o05(t):
     return R.unlinked_rows(f.first, f.links)
 
 
-@query("o06_unused_files", A.steps("""SELECT u.wb, u.sheet, left(coalesce(t.name, u.ref), 60) AS file, u.reason FROM {unlinked_files} u
+@query("o06_unused_files", A.steps("""SELECT u.wb, u.sheet, coalesce(t.name, u.ref) AS file, u.reason FROM {unlinked_files} u
 LEFT JOIN tagged t ON t.wb = u.wb AND t.sheet = u.sheet AND t.tag = u.ref
 QUALIFY row_number() OVER (PARTITION BY u.wb, u.sheet, coalesce(t.name, u.ref) ORDER BY u.batch, u.ord) = 1"""))
 def o06(t):
@@ -120,7 +120,7 @@ def o08(t):
 
 @query("o09_roster_notes", A.steps("""SELECT f.wb, f.sheet, f.row, CASE WHEN l.row IS NULL OR (roster_status = '찾음' AND roster_names <> '') THEN '' ELSE
   CASE roster_status WHEN '명단없음' THEN 'no place with names in the evidence' WHEN '글자깨짐' THEN 'names are there but unreadable' ELSE 'no person could be extracted' END
-  || CASE WHEN trim(heads_text) <> '' THEN ' — stated only as 「' || left(trim(heads_text), 20) || '」' ELSE '' END END AS note
+  || CASE WHEN trim(heads_text) <> '' THEN ' — stated only as 「' || trim(heads_text) || '」' ELSE '' END END AS note
 FROM firsta f LEFT JOIN (SELECT DISTINCT wb, sheet, row FROM links) l ON l.wb = f.wb AND l.sheet = f.sheet AND l.row = f.row"""))
 def o09(t):
     f = A.Flow(t)

@@ -193,9 +193,9 @@ def h16(t):
 
 
 @query("h17_dropped_rows", steps("""SELECT DISTINCT c.wb, c.sheet, c.row FROM {cells} c JOIN heads h USING (wb, sheet) JOIN ends e USING (wb, sheet)
-WHERE c.value <> '' AND c.row > h.head_row AND c.row <= e.last_row + 20
+WHERE c.value <> '' AND c.row > h.head_row
   AND NOT EXISTS (SELECT 1 FROM head s WHERE s.wb = c.wb AND s.sheet = c.sheet AND s.col = c.col AND s.painted)
-  AND NOT EXISTS (SELECT 1 FROM allvals v WHERE v.wb = c.wb AND v.sheet = c.sheet AND v.row = c.row)"""))
+  AND NOT EXISTS (SELECT 1 FROM vals v WHERE v.wb = c.wb AND v.sheet = c.sheet AND v.row = c.row)"""))
 def h17(t):
     values, heads = materialize(all_values(t)), H.header_rows(t.cells)
     return H.dropped_rows(t.cells, values, heads, H.end_rows(values, heads))
@@ -217,7 +217,7 @@ def h19(t):
 
 @query("h20_item_placement", steps(f"""SELECT g.wb, g.sheet, g.item_no, g.item,
   coalesce((SELECT max(k.col) FROM checks k WHERE k.wb = g.wb AND k.sheet = g.sheet AND {nk('k.header')} = {nk('g.item')}),
-           (SELECT CASE WHEN count(*) = 1 THEN min(k.col) END FROM checks k WHERE k.wb = g.wb AND k.sheet = g.sheet AND {_EITHER(nk('k.header'), nk('g.item'))})) AS col
+           (SELECT CASE WHEN count(DISTINCT {nk('k.header')}) = 1 THEN max(k.col) END FROM checks k WHERE k.wb = g.wb AND k.sheet = g.sheet AND {_EITHER(nk('k.header'), nk('g.item'))})) AS col
 FROM {{grid_items}} g"""))
 def h20(t):
     return H.place_items(items(t).drop("names"), checks(t))

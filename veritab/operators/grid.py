@@ -165,11 +165,12 @@ def orphan_headers(headers: DataFrame, colmap: DataFrame) -> DataFrame:
 
 def place_items(items: DataFrame, checks: DataFrame) -> DataFrame:
     """Check column of each rule item: same key, else the only containing one, else null."""
-    per_sheet = checks.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("col", name_key(c("header")).alias("key")))).alias("checks"))
+    keyed = checks.groupBy(*SHEET, name_key(c("header")).alias("key")).agg(F.max("col").alias("col"))  # equal keys: the later header stands
+    per_sheet = keyed.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("col", "key"))).alias("checks"))
     tried = items.join(per_sheet, SHEET, "left").withColumn("k", name_key(c("item")))
     same = F.filter("checks", lambda h: h["key"] == c("k"))
     near = F.filter("checks", lambda h: (c("k") != "") & contains_either(h["key"], c("k")))
-    last_same = F.try_element_at(same, F.lit(-1))["col"]  # equal keys: the later header stands
+    last_same = F.try_element_at(same, F.lit(-1))["col"]
     return tried.select(
         *SHEET, "item_no", "item", F.coalesce(last_same, F.when(F.size(near) == 1, F.try_element_at(near, F.lit(1))["col"])).alias("col")
     )
@@ -217,14 +218,15 @@ def claim_values(values: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def dropped_rows(cells: DataFrame, values: DataFrame, heads: DataFrame, ends: DataFrame) -> DataFrame:
-    """Rows that hold something, but only in columns no rule knows."""
+    """Rows below the header that hold something and are no claim rows: filled only in columns
+    no rule knows, or after the run of empty rows that ends a sheet."""
     checks = header_cells(cells).filter("painted").select(*SHEET, "col")
     held = (
         cells.filter(filled()).join(heads, SHEET).join(ends, SHEET)
-        .filter((c("row") > c("head_row")) & (c("row") <= c("last_row") + BLANK_RUN))
+        .filter(c("row") > c("head_row"))
         .join(checks, [*SHEET, "col"], "left_anti").select(*SHEET, "row").distinct()
     )
-    return held.join(values, [*SHEET, "row"], "left_anti")
+    return held.join(claim_values(values, ends), [*SHEET, "row"], "left_anti")
 
 
 def sheet_overview(values: DataFrame, checks: DataFrame, sheets: DataFrame) -> DataFrame:

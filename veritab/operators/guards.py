@@ -16,7 +16,6 @@ from veritab.operators.judge import BLANK, BY_MODEL, FAIL, PASS, UNDETERMINED
 SHEET = ["wb", "sheet"]
 ROW = [*SHEET, "row"]
 BATCH_ROWS = 8
-TEXT_LIMIT = 200
 
 # Words of the answers.
 NO_FILE = "없음"
@@ -75,9 +74,9 @@ def resolve_links(answers: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def invented_tags(resolved: DataFrame) -> DataFrame:
-    """Rows that cite unknown files, with the first two of them."""
+    """Rows that cite unknown files, with all of them in order."""
     bad = resolved.filter(c("name").isNull())
-    shown = F.slice(F.array_sort(F.collect_list(F.struct("place", "cited"))), 1, 2)  # as long as one answer's tag list
+    shown = F.array_sort(F.collect_list(F.struct("place", "cited")))  # as long as one answer's tag list
     return bad.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(shown, lambda x: x["cited"]), ", ").alias("shown"))
 
 
@@ -89,7 +88,7 @@ def links(resolved: DataFrame) -> DataFrame:
 # --- judgements ---------------------------------------------------------------------------
 
 def unfold(judgements: DataFrame, rules: DataFrame, rule_keys: tuple[str, ...] = ("sheet",)) -> DataFrame:
-    """Judgements on the model's items: codes for verdicts, cut texts, empty ones gone."""
+    """Judgements on the model's items: codes for verdicts, whole texts, empty ones gone."""
     asked = rules.filter(c("judge") == BY_MODEL).select(*rule_keys, "item_no", "item")
     code = c("said")
     for word, name in VERDICT_CODES.items():
@@ -98,7 +97,7 @@ def unfold(judgements: DataFrame, rules: DataFrame, rule_keys: tuple[str, ...] =
     return judgements.filter(blank_to_empty(c("said")) != "").join(asked, [*rule_keys, "item_no"]).select(
         *ROW, "ord", "item_no", "item", code.alias("verdict"),
         F.when(source == NO_FILE, "").otherwise(source).alias("provenance"),
-        F.substring("rationale", 1, TEXT_LIMIT).alias("rationale"), F.substring("remark", 1, TEXT_LIMIT).alias("remark"),
+        "rationale", "remark",
     )
 
 
@@ -199,30 +198,16 @@ def lower_borrowed(judged: DataFrame, borrowed: DataFrame) -> DataFrame:
     )
 
 
-def first_n(df: DataFrame, by: list[str], order: list[str], n: int, name: str = "nth") -> DataFrame:
-    """First ``n`` per key. Spark keeps ``n`` per key and task before it shuffles."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(c(name) <= n)
-
-
-def shared_files(row_links: DataFrame, answers: DataFrame, files_shown: int = 6, rows_shown: int = 5) -> DataFrame:
-    """Files that several rows of a batch use: number of rows and the first of them."""
-    at = row_links.join(answers.select(*ROW, "batch", "ord"), ROW)
+def shared_files(row_links: DataFrame, answers: DataFrame) -> DataFrame:
+    """Files that several rows of a batch use, one record for each of these rows, with their number."""
+    at = row_links.join(answers.select(*ROW, "batch"), ROW)
     keys = [*SHEET, "batch", "name"]
-    counts = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("ord", "place")).alias("_seen")).filter("n_rows > 1")
-    told = first_n(counts, [*SHEET, "batch"], ["_seen"], files_shown).drop("_seen", "nth")
-    few = first_n(at, keys, ["ord"], rows_shown).groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "row"))), lambda x: x["row"].cast("string")), ", ").alias("rows")
-    )
-    return told.join(few, keys)
+    return at.join(at.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"), keys).select(*keys, "n_rows", "row")
 
 
-def missing_alert(missing: DataFrame, shown: int = 8) -> DataFrame:
-    """Per sheet: how many rows got no answer, and the first of them."""
-    counts = missing.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n"))
-    few = first_n(missing, SHEET, ["row"], shown).groupBy(*SHEET).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r.cast("string")), ", ").alias("rows")
-    )
-    return counts.join(few, SHEET).withColumn("level", F.lit("err"))
+def missing_alert(missing: DataFrame) -> DataFrame:
+    """One alert for each row that got no answer."""
+    return missing.select(*SHEET, "row", F.lit("err").alias("level"))
 
 
 def unused_files(files: DataFrame, row_links: DataFrame) -> DataFrame:

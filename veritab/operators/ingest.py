@@ -22,7 +22,6 @@ SECRETS = [
     ("\"private_key\"\\s*:\\s*\"[^\"]{40,}", "service account key"),
 ]
 SCANNED_TYPES = [".json", ".txt", ".env", ".cfg", ".ini", ".md", ".py", ".yaml", ".yml"]
-SCANNED_BYTES = 2_000_000
 
 c = F.col
 
@@ -148,13 +147,9 @@ def read_summary(read: DataFrame) -> DataFrame:
     )
 
 
-def problem_list(read: DataFrame, shown: int = 40) -> DataFrame:
-    """The first problems in file order, and one line saying how many more there are."""
-    bad = read.filter(c("status").isin(PROBLEMS)).select("ord", "status", "name")
-    more = bad.agg(F.count(F.lit(1)).alias("n")).filter(c("n") > shown).select(
-        F.lit(None).cast("bigint").alias("ord"), F.lit("more").alias("status"), (c("n") - shown).cast("string").alias("name")
-    )
-    return bad.orderBy("ord").limit(shown).unionByName(more)
+def problem_list(read: DataFrame) -> DataFrame:
+    """Every file with a problem; ``folder`` tells whose it is and ``ord`` gives the order."""
+    return read.filter(c("status").isin(PROBLEMS)).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "ord", "status", "name")
 
 
 def secret_scan(files: DataFrame) -> DataFrame:
@@ -166,5 +161,5 @@ def secret_scan(files: DataFrame) -> DataFrame:
     in_secrets = c("path").contains("/secrets/")
     found = F.coalesce(*[F.when(c("text").rlike(p), F.lit(what)) for p, what in SECRETS])
     forbidden = (name == ".env") | (in_secrets & (ext == ".json"))
-    read = ext.isin(SCANNED_TYPES) & (F.octet_length("text") <= SCANNED_BYTES)
+    read = ext.isin(SCANNED_TYPES)
     return files.withColumn("finding", F.when(forbidden, "forbidden name").when(read, found)).filter(c("finding").isNotNull())

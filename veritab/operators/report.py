@@ -12,7 +12,6 @@ SHEET = ["wb", "sheet"]
 VERDICTS = (PASS, FAIL, UNDETERMINED, BLANK)
 # Fixed values of the report.
 NO_WORD, NO_ANSWER = "(말이 없음)", "—"
-NAME_LIMIT, COUNT_LIMIT = 60, 20
 ECHO = "(?U)^\\s*\\[([^\\]]{1,40})\\]\\s*"
 
 c = F.col
@@ -80,7 +79,7 @@ def unlinked_rows(answers: DataFrame, row_links: DataFrame) -> DataFrame:
 
 
 def unused_file_reasons(reasons: DataFrame) -> DataFrame:
-    return reasons.select(*SHEET, F.substring("file", 1, NAME_LIMIT).alias("file"), "reason")
+    return reasons.select(*SHEET, "file", "reason")
 
 
 def metrics(parts: dict[str, DataFrame]) -> DataFrame:
@@ -112,7 +111,7 @@ def roster_note(linked: Column, status: Column, names: Column, headcount: Column
         .when(status == "글자깨짐", "names are there but unreadable")
         .otherwise("no person could be extracted")
     )
-    stated = F.substring(blank_to_empty(headcount), 1, COUNT_LIMIT)
+    stated = blank_to_empty(headcount)
     text = F.concat(said, F.when(stated != "", F.concat(F.lit(" — stated only as 「"), stated, F.lit("」"))).otherwise(""))
     silent = ~linked | status.isNull() | ((status == ROSTER_FOUND) & (F.size(people) > 0))
     return F.when(silent, "").otherwise(text)

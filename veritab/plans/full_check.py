@@ -90,7 +90,7 @@ def run(cells: DataFrame, merges: DataFrame, titles: DataFrame, rule_cells: Data
         .unionByName(tell(G.rescue_signals(rescued), "info", "file taken from a judgement", c("first_file")))
         .unionByName(tell(lowered.filter("reason is not null"), "info", "lowered", F.concat_ws(" ", "item", number, "reason")))
         .unionByName(tell(borrowed, "warn", "borrowed evidence", number))
-        .unionByName(tell(G.missing_alert(G.missing_rows(claims, first)), "err", "rows without answer", c("rows")))
+        .unionByName(tell(G.missing_alert(G.missing_rows(claims, first)), "err", "row without answer", number))
         .unionByName(tell(G.unused_files(files, links), "info", "unused file", c("name")))
         .unionByName(tell(dropped, "warn", "row in unknown columns only", number))
         .unionByName(tell(columns.filter("cols is null"), "warn", "column unresolved", F.concat_ws(" · ", "item", "how", "found")))
