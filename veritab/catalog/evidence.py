@@ -218,12 +218,36 @@ def p04(t):
     return t.docs.select("doc_id", P.token_estimate(F.length("text")).alias("tokens"))
 
 
-@query("p05_budget_fit")
+def _round(i: int) -> str:
+    """What each group keeps at the totals of ``s<i>``, and its estimated tokens."""
+    return f"""
+caps{i} AS (SELECT source, ord, n, total, least(len, greatest(per_file, total // n)) AS cap FROM lens JOIN s{i} USING (source)),
+ranked{i} AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cap, ord) - 1 AS k, sum(cap) OVER (PARTITION BY source) AS want,
+  coalesce(sum(cap) OVER (PARTITION BY source ORDER BY cap, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM caps{i}),
+brim{i} AS (SELECT source, min(k) AS ks, arg_min(p, k) AS ps FROM ranked{i} WHERE want > total AND cap > (total - p) // (n - k) GROUP BY source),
+kept{i} AS (SELECT source, sum(CASE WHEN ks IS NULL OR k < ks THEN cap ELSE 0 END) + max(coalesce(total - ps, 0)) AS kept FROM ranked{i} LEFT JOIN brim{i} USING (source) GROUP BY source),
+e{i} AS (SELECT s.*, cast(floor((kept + chars) * 0.65::DOUBLE) AS bigint) AS tokens FROM s{i} s JOIN kept{i} USING (source))"""
+
+
+def _next(i: int) -> str:
+    return f""",
+t{i} AS (SELECT *, cast(floor(total * target / greatest(tokens, 1)) AS bigint) - 2000 AS smaller FROM e{i}),
+g{i} AS (SELECT *, open AND tokens > target AND smaller < total AND smaller >= 20000 AS go FROM t{i}),
+s{i + 1} AS (SELECT source, chars, target, per_file, CASE WHEN go THEN smaller ELSE total END AS total, go AS open FROM g{i}),"""
+
+
+_FIT = f"""WITH lens AS (SELECT source, ord, len(text) AS len, count(*) OVER (PARTITION BY source) AS n FROM {{docs}}),
+others AS (SELECT source, sum(len(name)) AS chars, count(*) AS n FROM {{docs}} GROUP BY source),
+goal AS (SELECT *, least({P.FILL_TARGET}, {int(P.LIMIT_FLOOR * P.FILL_SHARE)}) - cast(floor(({P.RESERVE} + {P.RESERVE_PER_FILE} * n) * 0.65::DOUBLE) AS bigint) AS target FROM others),
+s0 AS (SELECT source, chars, target, {P.PER_FILE} AS per_file, greatest(0, cast(floor(target / 0.65::DOUBLE) AS bigint)) AS total, true AS open FROM goal),"""
+
+
+@query("p05_budget_fit", _FIT + "".join(_round(i) + (_next(i) if i < 6 else "") for i in range(7)) + """
+SELECT source, total, per_file, tokens, tokens <= target AS fits FROM e6""")
 def p05(t):
-    """Groups of ten sources, so that the totals exceed the smallest allowed limit."""
-    group = F.substring("source", 1, 4)
-    files = materialize(t.docs.select(group.alias("source"), "ord", (F.length("text") * 20).cast("bigint").alias("len")))
-    other = t.docs.groupBy(group.alias("source")).agg((F.sum(F.length("name")) * 40).alias("chars"))
+    """Budgets of all sources at the smallest allowed limit, so that the rounds have work to do."""
+    files = materialize(t.docs.select("source", "ord", F.length("text").cast("bigint").alias("len")))
+    other = t.docs.groupBy("source").agg(F.sum(F.length("name")).alias("chars"))
     return P.fit_budgets(files, SOURCE, other, materialize, limit=P.LIMIT_FLOOR)
 
 

@@ -122,25 +122,38 @@ def fit_budgets(files: DataFrame, keys: list[str], other_chars: DataFrame, keep,
 
     ``other_chars``: keys, chars of everything besides the files. Each round looks only
     at the length counts; ``keep`` writes a round's small result. Independent of batches.
+    The result says what the total is estimated at and whether it ``fits``: after the last
+    round, or where no smaller total is allowed, a group may still be over its target.
     """
     limit = input_limit(limit)
     sizes = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"))
     reserve = F.floor((RESERVE + RESERVE_PER_FILE * c("n_files")) * TOKENS_PER_CHAR)
     target = F.least(F.lit(FILL_TARGET), F.lit(int(limit * FILL_SHARE))) - reserve
     state = sizes.join(other_chars, keys).select(
-        *keys, "chars", target.alias("target"), F.floor(target / TOKENS_PER_CHAR).alias("total"), F.lit(per_file).alias("per_file"), F.lit(True).alias("open")
+        *keys, "chars", target.alias("target"), F.greatest(F.lit(0), F.floor(target / TOKENS_PER_CHAR)).alias("total"), F.lit(per_file).alias("per_file"), F.lit(True).alias("open")
     )
-    for _ in range(rounds):
+
+    def estimated(state: DataFrame) -> DataFrame:
         filled = levels(files, keys, state.select(*keys, "total", "per_file")).groupBy(*keys).agg(
             F.sum(c("m") * c("base") + c("plus")).alias("kept")
         )
-        spent = token_estimate(c("kept") + c("chars"))
-        smaller = F.floor(c("total") * c("target") / F.greatest(spent, F.lit(1))) - 2000
-        go = c("open") & (spent > c("target")) & (smaller < c("total")) & (smaller >= 20000)
-        state = keep(state.join(filled, keys).withColumn("go", go).select(
+        return state.join(filled, keys).withColumn("tokens", token_estimate(c("kept") + c("chars")))
+
+    for _ in range(rounds):
+        smaller = F.floor(c("total") * c("target") / F.greatest(c("tokens"), F.lit(1))) - 2000
+        go = c("open") & (c("tokens") > c("target")) & (smaller < c("total")) & (smaller >= 20000)
+        state = keep(estimated(state).withColumn("go", go).select(
             *keys, "chars", "target", F.when(c("go"), smaller).otherwise(c("total")).alias("total"), "per_file", c("go").alias("open")
         ))
-    return state.select(*keys, "total", "per_file")
+    return estimated(state).select(*keys, "total", "per_file", "tokens", (c("tokens") <= c("target")).alias("fits"))
+
+
+def safe_total(total: Column, tokens: Column, limit: int | None = None) -> Column:
+    """One step of the guard that a batch takes when its own text is longer than was reserved:
+    the total to try next, the same one where the tokens are safe, null where none is left."""
+    most = int(input_limit(limit) * SAFE_SHARE)
+    smaller = F.floor(total * most / F.greatest(tokens, F.lit(1))) - 4000
+    return F.when(tokens <= most, total).when(smaller >= 20000, smaller)
 
 
 def claim_line(row: Column, values: Column) -> Column:
