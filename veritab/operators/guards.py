@@ -163,26 +163,28 @@ def prefix_provenance(judged: DataFrame) -> DataFrame:
 def borrowed_rows(row_links: DataFrame, claim_values: DataFrame) -> DataFrame:
     """Rows whose filled values are all found, with more, in a row that shares a file.
 
-    ``claim_values``: (wb, sheet, row, vals map). Comparing rows in pairs would square a
-    popular file. Instead every row announces, per file, its values restricted to each
-    smaller set of columns that occurs in its sheet; a row is borrowed when its own
-    column set and values were announced. Work grows with rows times column sets, and
-    the announcements combine before the shuffle.
+    ``claim_values``: (wb, sheet, row, vals map). Rows of a file with equal values are one
+    record. A record looks only at those that hold the rarest of its own values in that
+    file, and its other values are checked on these; so work follows how often values
+    repeat, neither the pairs of rows nor the sets of filled columns.
     """
-    filled = F.map_filter("vals", lambda k, v: blank_to_empty(v) != "")
-    shaped = claim_values.select(*ROW, filled.alias("vals")).withColumn("cols", F.array_sort(F.map_keys("vals")))
-    sets = shaped.groupBy(*SHEET).agg(F.collect_set("cols").alias("sets"))  # bounded by the sheet's columns, not its rows
-    told = lambda cols: F.to_json(F.transform(cols, lambda k: F.struct(k.alias("k"), strip(F.try_element_at("vals", k)).alias("v"))))
-    smaller = F.filter(
-        "sets", lambda s: (F.size(s) < F.size("cols")) & (F.size(F.array_except(s, c("cols"))) == 0)
+    at = [*SHEET, "name"]
+    filled = F.transform(
+        F.filter(F.array_sort(F.map_entries("vals")), lambda e: blank_to_empty(e["value"]) != ""),
+        lambda e: F.struct(e["key"].alias("k"), strip(e["value"]).alias("v")),
     )
-    using = shaped.join(row_links.select(*ROW, "name"), ROW)
-    announced = (
-        using.join(sets, SHEET).select(*SHEET, "name", "row", "vals", F.explode(smaller).alias("cols"))
-        .groupBy(*SHEET, "name", told(c("cols")).alias("told")).agg(F.min("row").alias("larger_row"))
-    )
-    own = using.select(*ROW, "name", told(c("cols")).alias("told"))
-    return own.join(announced, [*SHEET, "name", "told"]).groupBy(*ROW).agg(F.min("larger_row").alias("larger_row"))
+    using = claim_values.select(*ROW, filled.alias("held")).join(row_links.select(*ROW, "name").distinct(), ROW)
+    records = using.groupBy(*at, "held").agg(F.min("row").alias("first_row"))
+    single = records.select(*at, "held", "first_row", F.explode("held").alias("one"))
+    count = single.groupBy(*at, "one").agg(F.count(F.lit(1)).alias("n"))
+    rarest = single.join(count, [*at, "one"]).groupBy(*at, "held").agg(F.min(F.struct("n", "one"))["one"].alias("one"))
+    larger = single.select(*at, "one", c("held").alias("more"), c("first_row").alias("larger_row"))
+    holds = (F.size("more") > F.size("held")) & (F.size(F.array_except("held", "more")) == 0)
+    found = rarest.filter("size(held) > 0").join(larger, [*at, "one"]).filter(holds).groupBy(*at, "held").agg(F.min("larger_row").alias("larger_row"))
+    # a row without values is part of every row with some
+    empty = records.filter("size(held) > 0").groupBy(*at).agg(F.min("first_row").alias("larger_row")).withColumn("held", F.array().cast(records.schema["held"].dataType))
+    told = found.unionByName(empty)
+    return using.join(told, [*at, "held"]).groupBy(*ROW).agg(F.min("larger_row").alias("larger_row"))
 
 
 def lower_borrowed(judged: DataFrame, borrowed: DataFrame) -> DataFrame:
