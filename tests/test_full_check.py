@@ -36,7 +36,7 @@ def test_full_check(spark):
         df(rule_cells, "wb string, sheet string, row int, col int, value string"),
         df([("b", 0, "기업명", "참여기관 · 기관명"), ("b", 1, "시간", "시간(00H)")], "wb string, ord int, rep string, alias_text string"),
         df([("w", "인턴십", i, f"{i}.pdf") for i in (1, 2, 3)], "wb string, sheet string, ord int, name string"),
-        df([("w", "인턴십", 1, 0, json.dumps(body, ensure_ascii=False))], "wb string, sheet string, ord int, batch int, body string"),
+        df([("w", "인턴십", 1, 0, json.dumps(body, ensure_ascii=False)), ("w", "인턴십", 2, 1, '{"줄": {"r04": {}}}'), ("w", "인턴십", 3, 1, "cut off {")], "wb string, sheet string, ord int, batch int, body string"),
     )
     got = {(r.row, r.item_no): r.verdict for r in out.judged.collect()}
     P, X, U, B = "PASS", "FAIL", "UNDETERMINED", "BLANK"
@@ -47,6 +47,7 @@ def test_full_check(spark):
     signals = {(r.code, r.detail) for r in out.signals.collect()}
     assert ("unknown row", "99") in signals and ("borrowed evidence", "6") in signals and ("unused file", "3.pdf") in signals
     assert ("row in unknown columns only", "8") in signals
+    assert {("answer not readable", "no row number · r04"), ("answer not readable", "no readable rows · "), ("file used by several rows", "1.pdf 4"), ("file used by several rows", "1.pdf 6")} <= signals
     writes = {(r.row, r.col): r.value for r in out.writes.collect()}
     assert writes[4, 7] == P and writes[5, 7] == X and writes[6, 7] is None
     assert writes[5, 9].startswith("손글씨\n") and "옛말" not in writes[5, 9] and "[시간 일치]" in writes[5, 9]

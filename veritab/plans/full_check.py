@@ -1,7 +1,7 @@
 """The whole check: worksheets, rule book, files and model answers to verdicts and writes.
 
 Steps that several later ones read go through ``keep`` (``session.materialize`` on a
-cluster). Only the names of the rule sheets, a handful of words, come to the driver.
+cluster), which writes them at once; nothing comes to the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ c = F.col
 
 @dataclass
 class Checked:
-    """Results of a run, all lazy."""
+    """Results of a run; what several of them read was written by ``keep``, the rest is lazy."""
 
     rules: DataFrame
     columns: DataFrame
@@ -35,8 +35,8 @@ class Checked:
 
 def rules_for_sheets(rules: DataFrame, titles: DataFrame) -> DataFrame:
     """Rules under the workbook and sheet title they apply to. One rule book serves all."""
-    names = [r.sheet for r in rules.select("sheet").distinct().collect()]
-    targets = titles.select("wb").distinct().select("wb", F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
+    names = rules.agg(F.collect_set("sheet")).scalar()  # the sheets of one rule book
+    targets = titles.select("wb").distinct().select("wb", names.alias("names")).select("wb", F.explode("names").alias("name"))
     found = H.resolve_sheet(targets, titles).filter(c("title").isNotNull())
     book = rules.drop("wb").withColumnRenamed("sheet", "name")
     return found.join(book, "name").drop("name").withColumnRenamed("title", "sheet")
@@ -85,6 +85,9 @@ def run(cells: DataFrame, merges: DataFrame, titles: DataFrame, rule_cells: Data
     number = c("row").cast("string")
     signals = (
         tell(G.unknown_rows(answers, claims), "warn", "unknown row", number)
+        .unionByName(tell(A.rejected_answers(answer_json), "err", "answer not readable", F.concat_ws(" · ", "reason", "key")))
+        .unionByName(tell(G.shared_files(links, first), "info", "file used by several rows", F.concat_ws(" ", "name", number)))
+        .unionByName(tell(G.blank_batches(known), "err", "batch without any link or reason", c("batch").cast("string")))
         .unionByName(tell(G.repeated_rows(known), "warn", "repeated row", number))
         .unionByName(tell(G.invented_tags(resolved), "warn", "invented file", c("shown")))
         .unionByName(tell(G.rescue_signals(rescued), "info", "file taken from a judgement", c("first_file")))
