@@ -11,7 +11,7 @@ def test_positions_with_a_hot_key_sparse_ordinals_and_nulls(spark):
     rng = random.Random(1)
     rows = [(k, o) for k in ("a", "b", None) for o in rng.sample(range(500), 90)] + [("hot", rng.randrange(1 << 60)) for _ in range(1500)] + [("a", None), (None, None)]
     df = spark.createDataFrame(rows, "k string, ord long")
-    placed = O.previous_value(O.with_position(df, ["k"], "ord", parts=16), ["k"], "ord", "before", parts=7).collect()
+    placed = O.previous_value(O.with_position(df, ["k"], "ord", width=16), ["k"], "ord", "before", width=7).collect()
     got = {(r.k, r.ord): (r.pos, r.before) for r in placed}
     assert len(placed) == len(rows)
     for k in ("a", "b", None, "hot"):

@@ -2,12 +2,14 @@
 
 A window over a key puts all rows of that key into one task. Here the first record is
 found with an aggregate, which combines before the shuffle, and positions are counted
-inside sampled ranges of key and ordinal.
+in buckets of about equal size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+BUCKET = 1 << 18  # rows of one key that one window task sorts, about
+
 
 def keep_first(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
     """One record per ``by``: the one with the smallest order."""
@@ -34,24 +36,25 @@ def _joined(df: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     return df.join(named, same).drop(*[f"_key_{i}" for i in range(len(by))])
 
 
-def _placed(df: DataFrame, keys: list[str], ord_col: str, parts: int | None) -> DataFrame:
-    """Rows dealt by sampled ranges of key and ordinal, with the number of the range in ``_b``.
-
-    A range holds about the same number of rows however the ordinals are spread, so a key that
-    holds most rows lies in many ranges.
+def _placed(df: DataFrame, keys: list[str], ord_col: str, width: int) -> DataFrame:
+    """Rows with the number of their bucket ``_b``: equal spans of a key's ordinals, as many as
+    it has times ``width`` rows. So a bucket of evenly spread ordinals, dense or sparse, holds about
+    ``width`` rows, and a key that holds most rows lies in many buckets. Rows without an ordinal
+    are a last bucket.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [*keys, F.col(ord_col).asc_nulls_last()]
-    return df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id())
+    o = F.col(ord_col).cast("double")
+    spans = df.groupBy(*keys).agg(F.min(o).alias("_low"), F.max(o).alias("_high"), F.ceil(F.count(F.lit(1)) / width).alias("_parts"))
+    at = F.floor((o - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * F.col("_parts"))
+    return _joined(df, spans, keys).withColumn("_b", F.coalesce(at, F.lit(1 << 62))).drop("_low", "_high", "_parts")
 
 
-def with_position(df: DataFrame, keys: list[str], ord_col: str, name: str = "pos", parts: int | None = None) -> DataFrame:
-    """1-based position of each row within its key, by an ordinal; rows without one come last.
+def with_position(df: DataFrame, keys: list[str], ord_col: str, name: str = "pos", width: int = BUCKET) -> DataFrame:
+    """1-based position of each row within its key, by a whole-number ordinal; rows without one come last.
 
-    One window counts inside each range, a second one over one row for each key and range.
+    One window counts inside each bucket, a second one over one row for each bucket.
     Null keys are a key; no row is lost.
     """
-    placed = _placed(df, keys, ord_col, parts)
+    placed = _placed(df, keys, ord_col, width)
     starts = (
         placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
@@ -61,9 +64,9 @@ def with_position(df: DataFrame, keys: list[str], ord_col: str, name: str = "pos
     return _joined(inside, starts, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
 
 
-def previous_value(df: DataFrame, keys: list[str], ord_col: str, name: str, parts: int | None = None) -> DataFrame:
-    """The preceding ordinal of the same key, null for the first; by ranges as above."""
-    placed = _placed(df, keys, ord_col, parts)
+def previous_value(df: DataFrame, keys: list[str], ord_col: str, name: str, width: int = BUCKET) -> DataFrame:
+    """The preceding ordinal of the same key, null for the first; bucketed as above."""
+    placed = _placed(df, keys, ord_col, width)
     edges = (
         placed.groupBy(*keys, "_b").agg(F.max(ord_col).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
