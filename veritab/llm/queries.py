@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, chat, exactdup, langid, ngramjoin, packing, pii, quality, sharding
+from veritab.llm import bpe, chat, exactdup, langid, ngramjoin, packing, pii, quality, sharding, trainorder
 from veritab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select(
         F.col("id").alias("doc_id"), langid.held_out(F.col("id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query()
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = trainorder.in_order(trainorder.records(table(spark, sf_dir, "documents"), vocabulary()))
+    return made.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("record").alias("record_crc32"), "slot", "shard", "offset")
