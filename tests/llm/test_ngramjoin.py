@@ -65,6 +65,15 @@ def test_equals_brute_force_on_dense_near_copies(spark):
     assert sorted((str(g["id"]), g["n_shingles"], str(g["component_id"])) for g in got) == brute(rows)
 
 
+def test_a_far_member_meets_one_that_the_hub_links(spark):
+    """Of the far member's 12 differences only 2 are shared, and both are more frequent than the rest."""
+    near, far_off = [1, 2], [1, 2, *range(10, 20)]
+    rows = [(0, 1, 100, near, 2, True), (0, 2, 100, far_off, 12, False)]
+    far = spark.createDataFrame(rows, "hub long, node long, n long, delta array<long>, d long, linked boolean")
+    roots = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
+    assert [tuple(r) for r in ngramjoin._around_hubs(far, roots, 90).collect()] in ([(1, 2)], [(2, 1)])
+
+
 def test_costs_choose_the_boundary():
     x = ngramjoin.boundary()
     assert ngramjoin.light_cost(x) <= ngramjoin.heavy_cost(x) and ngramjoin.light_cost(x + 1) > ngramjoin.heavy_cost(x + 1)

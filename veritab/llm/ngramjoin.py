@@ -17,9 +17,10 @@ that one's. Lists are scanned in two steps instead of pairing their members:
 1. every member is compared with one hub, the member that meets most others, and keeps its
    difference from the hub;
 2. two members that are not both linked to the hub can only be linked if their differences share
-   shingles, at least ``9/19`` of either difference (at 90 in 100) and all but ``n/9`` of it. Their
-   differences' rarest shingles (a prefix filter) form lists again, in which only members of
-   different components are paired, and verified on the differences.
+   shingles: all but ``n/9`` of either difference (at 90 in 100) and ``9/19`` of the difference of a
+   member whose partner is not linked to the hub. Their differences' rarest shingles (a prefix
+   filter) form lists again, in which only members of different components are paired, and
+   verified on the differences.
 
 The boundary is the largest size up to which announcing subsets costs less than entering lists
 and comparing (``light_cost`` against ``heavy_cost``). No list is capped and nothing is dropped.
@@ -249,8 +250,9 @@ def _around_hubs(far: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     open_ = far.filter("not linked").select("hub").distinct()
     around = far.join(open_, "hub").join(roots.withColumnsRenamed({"node": "node_", "root": "root_"}), F.col("node") == F.col("node_"), "left")
     around = cut(around.select("hub", "node", "n", "d", "linked", "delta", F.coalesce("root_", "node").alias("root")))
-    # shared shingles that a link with at least one member far from the hub needs at least
-    least = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * b / percent), F.ceil(F.col("d") * percent / a))
+    # shared shingles that a link with at least one member far from the hub needs at least; the
+    # share of the difference holds only where the partner is far, as that of a linked member is
+    least = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * b / percent), F.when(F.col("linked"), F.ceil(F.col("d") * percent / a)))
     tokens = around.select("hub", "node", F.explode("delta").alias("token"))
     count = tokens.groupBy("hub", "token").agg(F.count("*").alias("c"))
     ranked = tokens.join(count, ["hub", "token"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("ranked"))
