@@ -29,10 +29,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect the one with the smallest id stays.
 
+    Links: 0.8 or more of all five-word shingles are shared.
     A document is named by its id and the hash of its text, as ids may repeat or be missing.
     """
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
-    groups = ngramjoin.join(docs.select(name.alias("name"), "text"), id_col="name")
+    groups = ngramjoin.join(docs.select(name.alias("name"), "text"), id_col="name", percent=80, words=5)
     gone = groups.filter("id <> component_id").select(F.col("id.doc_id").alias("gone_id"), F.col("id.hash").alias("gone_hash"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
 

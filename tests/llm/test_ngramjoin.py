@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from veritab.llm import ngramjoin, shingles
 from veritab.llm.graph import components
@@ -9,13 +10,13 @@ from veritab.llm.graph import components
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def set_of(text):
+def set_of(text, words=3):
     w = (text or "").encode().translate(_LOWER).split()
-    return frozenset(zip(w, w[1:], w[2:])) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*(w[k:] for k in range(words)))) if len(w) >= words else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
-    sets = [set_of(t) for _, t in rows]
+def brute(rows, percent=90, words=3):
+    sets = [set_of(t, words) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -25,7 +26,7 @@ def brute(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 parent[root(a)] = root(b)
     groups = defaultdict(list)
     for x in range(len(rows)):
@@ -46,7 +47,8 @@ def edited(r, words, n):
     return words
 
 
-def test_equals_brute_force_on_dense_near_copies(spark):
+@pytest.mark.parametrize(("percent", "words"), [(90, 3), (80, 5)])
+def test_equals_brute_force_on_dense_near_copies(spark, percent, words):
     r = random.Random(7)
     rows = []
     for size in (4, 9, 11, 18, 20, 21, 23, 24, 30, 60, 150, 400):
@@ -61,8 +63,8 @@ def test_equals_brute_force_on_dense_near_copies(spark):
         rows.append((len(rows), " ".join(edited(r, centre, 2 + k % 4))))
     rows += [(None, rows[5][1]), (None, "nothing like it at all"), (3, None), (8, ""), (8, " \n "), (9, "one"), (900, "ONE"), (10, "two words"), (11, "two  words"), (12, "x" * 4000)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, node long").repartition(4)
-    got = ngramjoin.join(df).collect()
-    assert sorted((str(g["id"]), g["n_shingles"], str(g["component_id"])) for g in got) == brute(rows)
+    got = ngramjoin.join(df, percent=percent, words=words).collect()
+    assert sorted((str(g["id"]), g["n_shingles"], str(g["component_id"])) for g in got) == brute(rows, percent, words)
 
 
 def test_a_far_member_meets_one_that_the_hub_links(spark):
@@ -74,14 +76,15 @@ def test_a_far_member_meets_one_that_the_hub_links(spark):
     assert [tuple(r) for r in ngramjoin._around_hubs(far, roots, 90).collect()] in ([(1, 2)], [(2, 1)])
 
 
-def test_costs_choose_the_boundary():
-    x = ngramjoin.boundary()
-    assert ngramjoin.light_cost(x) <= ngramjoin.heavy_cost(x) and ngramjoin.light_cost(x + 1) > ngramjoin.heavy_cost(x + 1)
-    edges = ngramjoin.classes()
+@pytest.mark.parametrize("p", [90, 80])
+def test_costs_choose_the_boundary(p):
+    x = ngramjoin.boundary(p)
+    assert ngramjoin.light_cost(x, p) <= ngramjoin.heavy_cost(x, p) and ngramjoin.light_cost(x + 1, p) > ngramjoin.heavy_cost(x + 1, p)
+    edges = ngramjoin.classes(p)
     for n in (x + 1, 57, 999):  # a partner is in the same or the next class, and differs in fewer parts than there are
-        for m in (m for m in ngramjoin.partners(n) if m >= n):
+        for m in (m for m in ngramjoin.partners(n, p) if m >= n):
             a, b = (int(np.searchsorted(edges, v, "right")) - 1 for v in (n, m))
-            assert b - a <= 1 and n + m - 2 * ngramjoin.need(n, m) < ngramjoin.parts_of(a)
+            assert b - a <= 1 and n + m - 2 * ngramjoin.need(n, m, p) < ngramjoin.parts_of(a, p)
 
 
 def test_long_texts_are_cut_between_words(monkeypatch):

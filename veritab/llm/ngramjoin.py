@@ -26,7 +26,7 @@ The boundary is the largest size up to which announcing subsets costs less than
 and comparing (``light_cost`` against ``heavy_cost``). No list is capped and nothing is dropped.
 
 Defined cases: texts without words (null, empty, white space) have no shingles and link with
-nothing; fewer than three words are one shingle; rows that repeat an id are rows of their own;
+nothing; fewer words than a shingle has (``words``) are one shingle; rows that repeat an id are rows of their own;
 null ids never name a component unless it has no other; an empty table gives no rows; columns
 other than id and text are left out.
 """
@@ -50,6 +50,7 @@ from veritab.llm.graph import components
 from veritab.llm.shingles import U, mix
 
 PERCENT = 90
+WORDS = 3
 CLASS_RATIO = 1.37
 SPARE = 2
 VERIFY = 2
@@ -151,14 +152,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
             yield b.slice(i, rows)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
     """``(row, id, n, s1, s2, light, heavy)`` of each row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in _chunks(batches):
-                found = list(shingles.sets(b["text"].to_pylist()))
+                found = list(shingles.sets(b["text"].to_pylist(), words))
                 sums = [_sums(s) for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [b["row"], b["id"], pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in sums], pa.int64()), pa.array([y for _, y in sums], pa.int64()),
@@ -172,7 +173,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     return rows.mapInArrow(made, schema)
 
 
-def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
     """``(n, s1, s2, tokens)`` of the classes in ``wanted (n, s1, s2)``, and perhaps of some more.
 
     A bit map of fixed size (1 MB) tells the scan which sets to give out; a join settles the rest.
@@ -187,7 +188,7 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
         with np.errstate(over="ignore"):
             for b in _chunks(batches):
                 out = []
-                for s in shingles.sets(b["text"].to_pylist()):
+                for s in shingles.sets(b["text"].to_pylist(), words):
                     if len(s):
                         s1, s2 = _sums(s)
                         if held.value[s1 % BITS // 32] >> (s1 % BITS % 32) & 1:
@@ -218,12 +219,12 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
     return shared.join(hubs, "key").filter("node <> hub").select("node", "hub").distinct()
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Rows ``(row, id, n, node)`` with the class each belongs to (null: none), and edges ``(a, b)`` between classes.
 
     The edges connect exactly the classes that links connect.
     """
-    rows = cut(sketch(docs, id_col, text_col, percent))
+    rows = cut(sketch(docs, id_col, text_col, percent, words))
     named = cut(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("node")))
     leaders = rows.join(named.select("node"), F.col("row") == F.col("node"))
     light = _stars(leaders.select(F.explode("light").alias("key"), "node", "n"))
@@ -231,7 +232,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(named, "node")
     wanted = cut(wanted)
-    sets = cut(_sets_of(docs, text_col, wanted).join(wanted, ["n", "s1", "s2"]).select("node", "n", "tokens"))
+    sets = cut(_sets_of(docs, text_col, wanted, words).join(wanted, ["n", "s1", "s2"]).select("node", "n", "tokens"))
     hubs = sets.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens"))
     apart = F.concat(F.array_except("tokens", "hub_tokens"), F.array_except("hub_tokens", "tokens"))
     far = pairs.join(sets, "node").join(hubs, "hub").select("hub", "node", "n", "hub_n", apart.alias("delta"))
@@ -271,9 +272,9 @@ def _around_hubs(far: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return found.filter(a * d <= b * (F.col("n") + F.col("n_2"))).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``(row, id, n_shingles, component_id)`` of each row: the smallest id that its links reach."""
-    rows, edges = links(docs, id_col, text_col, percent)
+    rows, edges = links(docs, id_col, text_col, percent, words)
     roots = components(edges).withColumnsRenamed({"node": "node_"})
     rows = cut(rows.join(roots, F.col("node") == F.col("node_"), "left").select("row", "id", "n", F.coalesce("root", "node").alias("group")))
     least = rows.filter("group is not null").groupBy("group").agg(F.min("id").alias("least"))

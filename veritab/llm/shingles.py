@@ -1,7 +1,7 @@
-"""Sets of 3-word shingles as 64-bit hashes, computed for many texts at once with numpy.
+"""Sets of word shingles as 64-bit hashes, computed for many texts at once with numpy.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z. A word's hash is a sum of random
-64-bit values of its bytes times powers of an odd number, a shingle's a mix of three of them.
+64-bit values of its bytes times powers of an odd number, a shingle's a mix of those of its words.
 """
 
 from __future__ import annotations
@@ -66,24 +66,30 @@ def _parts(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def _set(words: np.ndarray) -> np.ndarray:
-    w = words
-    if len(w) >= 3:
-        return np.unique(mix(w[:-2] * U(3) + mix(w[1:-1] * U(5) + mix(w[2:] * U(7)))))
+def _set(w: np.ndarray, size: int) -> np.ndarray:
+    if len(w) >= size:
+        n = len(w) - size + 1
+        found = np.zeros(n, np.uint64)
+        for k in range(size - 1, -1, -1):
+            found = mix(w[k:k + n] * U(2 * k + 3) + found)
+        return np.unique(found)
     return np.array([mix(np.array([len(w)], np.uint64) + sum((mix(x + U(k)) * U(2 * k + 3) for k, x in enumerate(w)), U(0)))[0]], np.uint64) if len(w) else np.zeros(0, np.uint64)
 
 
-def sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of each text; none for null and for texts without words."""
+def sets(texts: list[str | None], words: int = 3) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text; none for null and for texts without words.
+
+    A text of fewer than ``words`` words is one shingle.
+    """
     with np.errstate(over="ignore"):
         group: list[bytes] = []
 
         def flush() -> Iterator[np.ndarray]:
-            begin, words = _words(b"\n".join(group))
+            begin, hashes = _words(b"\n".join(group))
             starts = np.cumsum([0, *[len(g) + 1 for g in group]])
             edges = np.searchsorted(begin, starts)
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                yield _set(words[a:b])
+                yield _set(hashes[a:b], words)
             group.clear()
 
         size = 0
@@ -93,7 +99,7 @@ def sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                 yield from flush()
                 size = 0
             if len(raw) > BLOCK:
-                yield _set(np.concatenate([_words(p)[1] for p in _parts(raw)]))
+                yield _set(np.concatenate([_words(p)[1] for p in _parts(raw)]), words)
             else:
                 group.append(raw)
                 size += len(raw)
