@@ -84,7 +84,7 @@ def test_costs_choose_the_boundary(p):
     for n in (x + 1, 57, 999):  # a partner is in the same or the next class, and differs in fewer parts than there are
         for m in (m for m in ngramjoin.partners(n, p) if m >= n):
             a, b = (int(np.searchsorted(edges, v, "right")) - 1 for v in (n, m))
-            assert b - a <= 1 and n + m - 2 * ngramjoin.need(n, m, p) < ngramjoin.parts_of(a, p)
+            assert b - a <= 1 and n + m - 2 * ngramjoin.need(n, m, p) <= ngramjoin.differences(a, p) < ngramjoin.parts_of(a, p)
 
 
 def test_long_texts_are_cut_between_words(monkeypatch):

@@ -12,7 +12,10 @@ a star from each subset's smallest class keeps everything connected.
 than ``D`` parts some part is the same in both. Inverted lists are kept on such parts (a part is
 far more telling than one shingle, so common passages do not fill lists). Part counts go by size
 class; a set enters its own class's lists and, where a smaller partner may be in the class below,
-that one's. Lists are scanned in two steps instead of pairing their members:
+that one's. There are ``spare`` parts more than ``D + 1``, so linked sets share at least ``spare + 1``
+of them, and each set may leave its ``spare`` longest lists: with lists in one order, by length and
+key, the first that two linked sets share has ``spare`` shared ones after it and is left by neither.
+Empty parts come last in that order. Lists are scanned in two steps instead of pairing their members:
 
 1. every member is compared with one hub, the member that meets most others, and keeps its
    difference from the hub;
@@ -40,7 +43,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,9 +74,15 @@ def light_cost(n: int, percent: int = PERCENT) -> int:
     return sum(comb(n, need(n, m, percent)) for m in partners(n, percent) if not n == m == need(n, m, percent))
 
 
+def spare(most: int) -> int:
+    """Parts beyond those that two sets with ``most`` differences need."""
+    return SPARE + most // 10
+
+
 def heavy_cost(n: int, percent: int = PERCENT) -> int:
     """Lists that a set of ``n`` enters, and the shingles moved to compare it once."""
-    return 2 * n * (100 - percent) // (100 + percent) + 1 + SPARE + VERIFY * n
+    most = 2 * n * (100 - percent) // (100 + percent)
+    return most + 1 + spare(most) + VERIFY * n
 
 
 @lru_cache
@@ -93,10 +102,15 @@ def classes(percent: int = PERCENT) -> np.ndarray:
     return np.array(edges)
 
 
-def parts_of(c: int, percent: int = PERCENT) -> int:
-    """Parts for pairs whose smaller set is in class ``c``: more than they can differ in, and some spare."""
+def differences(c: int, percent: int = PERCENT) -> int:
+    """Shingles that linked sets can differ in, the smaller one being in class ``c``."""
     most = int(classes(percent)[c + 1]) - 1
-    return (most + 100 * most // percent) * (100 - percent) // (100 + percent) + 1 + SPARE
+    return (most + 100 * most // percent) * (100 - percent) // (100 + percent)
+
+
+def parts_of(c: int, percent: int = PERCENT) -> int:
+    """Parts for pairs whose smaller set is in class ``c``."""
+    return differences(c, percent) + 1 + spare(differences(c, percent))
 
 
 def _light_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -113,22 +127,26 @@ def _light_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _heavy_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    n, out, edges = len(s), [], classes(percent)
+def _heavy_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """The lists of a set, and how many it may leave in its even and its odd class, which a key's last bit tells."""
+    n, out, leave, edges = len(s), [], [0, 0], classes(percent)
     if n < edges[0]:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), leave
     own = int(np.searchsorted(edges, n, "right")) - 1
     values = mix(s)
     for c in [own, own - 1] if own and n <= 100 * (int(edges[own]) - 1) // percent else [own]:
-        k = parts_of(c, percent)
+        k, free = parts_of(c, percent), spare(differences(c, percent))
         part = ((s >> U(32)) * U(k)) >> U(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         name = mix(part[first] * U(64) + U(c))
-        out.append(mix(np.add.reduceat(values, first) + name))
-        if k - len(first) > SPARE:  # two such sets might share nothing but empty parts
+        keys = [mix(np.add.reduceat(values, first) + name)]
+        if k - len(first) > free:  # two such sets might share nothing but empty parts
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), part[first])
-            out.append(mix(mix(empty * U(64) + U(c)) ^ U(0x5DEECE66D)))
-    return np.concatenate(out)
+            keys.append(mix(mix(empty * U(64) + U(c)) ^ U(0x5DEECE66D)))
+        else:
+            leave[c % 2] = free - (k - len(first))
+        out += [x & ~U(1) | U(c % 2) for x in keys]
+    return np.concatenate(out), leave
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -153,7 +171,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
-    """``(row, id, n, s1, s2, light, heavy)`` of each row."""
+    """``(row, id, n, s1, s2, light, heavy, leave)`` of each row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +179,15 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
             for b in _chunks(batches):
                 found = list(shingles.sets(b["text"].to_pylist(), words))
                 sums = [_sums(s) for s in found]
+                lists = [_heavy_keys(s, percent) for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [b["row"], b["id"], pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in sums], pa.int64()), pa.array([y for _, y in sums], pa.int64()),
                      _lists([_light_keys(s, percent) if len(s) <= 100 * boundary(percent) // percent else np.zeros(0, np.uint64) for s in found]),
-                     _lists([_heavy_keys(s, percent) for s in found])],
-                    ["row", "id", "n", "s1", "s2", "light", "heavy"],
+                     _lists([x for x, _ in lists]), pa.array([x for _, x in lists], pa.list_(pa.int32()))],
+                    ["row", "id", "n", "s1", "s2", "light", "heavy", "leave"],
                 )
 
-    kinds = {"n": T.LongType(), "s1": T.LongType(), "s2": T.LongType(), "light": T.ArrayType(T.LongType()), "heavy": T.ArrayType(T.LongType())}
+    kinds = {"n": T.LongType(), "s1": T.LongType(), "s2": T.LongType(), "light": T.ArrayType(T.LongType()), "heavy": T.ArrayType(T.LongType()), "leave": T.ArrayType(T.IntegerType())}
     schema = T.StructType([rows.schema["row"], rows.schema["id"], *[T.StructField(k, v) for k, v in kinds.items()]])
     return rows.mapInArrow(made, schema)
 
@@ -211,12 +230,17 @@ def _stars(entries: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(entries: DataFrame) -> DataFrame:
-    """``(node, hub)``: each member of a list with the member that is in most shared lists."""
-    shared = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "key"))
-    degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = shared.join(degree, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("minus")))
-    hubs = ranked.groupBy("key").agg((-F.max("rank")["minus"]).alias("hub"))
-    return shared.join(hubs, "key").filter("node <> hub").select("node", "hub").distinct()
+    """``(node, hub)``: each member of a list with the member that stays in most shared lists.
+
+    Of ``entries (key, node, leave)`` each node leaves its ``leave`` longest lists of either class.
+    """
+    shared = entries.join(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key").repartition("node")
+    longest = Window.partitionBy("node", F.pmod("key", F.lit(2))).orderBy(F.col("c").desc(), F.col("key").desc())
+    stay = shared.withColumn("nth", F.row_number().over(longest)).filter("nth > leave")
+    stay = cut(stay.select("key", "node", F.count("*").over(Window.partitionBy("node")).alias("degree")))
+    rank = F.struct("degree", (-F.col("node")).alias("minus"))
+    hubs = stay.groupBy("key").agg((-F.max(rank)["minus"]).alias("hub"))
+    return stay.join(hubs, "key").filter("node <> hub").select("node", "hub").distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +252,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     named = cut(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("node")))
     leaders = rows.join(named.select("node"), F.col("row") == F.col("node"))
     light = _stars(leaders.select(F.explode("light").alias("key"), "node", "n"))
-    pairs = cut(_hub_pairs(leaders.select(F.explode("heavy").alias("key"), "node")))
+    pairs = cut(_hub_pairs(leaders.select(F.explode("heavy").alias("key"), "node", "leave").selectExpr("key", "node", "leave[pmod(key, 2)] AS leave")))
 
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(named, "node")
     wanted = cut(wanted)
