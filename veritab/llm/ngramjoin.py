@@ -272,24 +272,27 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 def _around_hubs(far: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` between members of one hub that are in different components so far."""
     a, b = 100 + percent, 100 - percent
-    open_ = far.filter("not linked").select("hub").distinct()
-    around = far.join(open_, "hub").join(roots.withColumnsRenamed({"node": "node_", "root": "root_"}), F.col("node") == F.col("node_"), "left")
-    around = cut(around.select("hub", "node", "n", "d", "linked", "delta", F.coalesce("root_", "node").alias("root")))
+    named = roots.withColumnsRenamed({"node": "node_", "root": "root_"})
+    slim = far.select("hub", "node", "n", "d", "linked").join(named, F.col("node") == F.col("node_"), "left")
+    slim = cut(slim.select("hub", "node", "n", "d", "linked", F.coalesce("root_", "node").alias("root")))
+    open_ = slim.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("hub")
+    around = far.join(open_, "hub", "left_semi").select("hub", "node", "delta")
     # shared shingles that a link with at least one member far from the hub needs at least; the
     # share of the difference holds only where the partner is far, as that of a linked member is
     least = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * b / percent), F.when(F.col("linked"), F.ceil(F.col("d") * percent / a)))
     tokens = around.select("hub", "node", F.explode("delta").alias("token"))
-    count = tokens.groupBy("hub", "token").agg(F.count("*").alias("c"))
+    count = tokens.groupBy("hub", "token").agg(F.count("*").alias("c")).filter("c > 1")
     ranked = tokens.join(count, ["hub", "token"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("ranked"))
-    prefix = F.expr("filter(slice(ranked, 1, cast(d - least + 1 as int)), x -> x.c > 1)")
-    listed = around.filter("d > 0").withColumn("least", least.cast("long")).join(ranked, ["hub", "node"]).select("hub", "node", "linked", "root", F.explode(prefix).alias("x"))
+    # shingles of one member alone come first in the order, so the prefix ends as far before the end without them
+    prefix = F.expr("slice(ranked, 1, cast(greatest(0, size(ranked) - least + 1) as int))")
+    listed = slim.filter("d > 0").withColumn("least", least.cast("long")).join(ranked, ["hub", "node"]).select("hub", "node", "linked", "root", F.explode(prefix).alias("x"))
     listed = cut(listed.select("hub", "node", "linked", "root", "x.token"))
     several = listed.groupBy("hub", "token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("hub", "token")
     listed = listed.join(several, ["hub", "token"])
     other = listed.withColumnsRenamed({c: f"{c}_2" for c in listed.columns})
     meet = F.expr("hub = hub_2 AND token = token_2 AND node < node_2 AND root <> root_2 AND NOT (linked AND linked_2)")
     pairs = listed.join(other, meet).select("hub", "node", "node_2").distinct()
-    left = around.select("hub", "node", "n", "d", "delta")
+    left = far.select("hub", "node", "n", "d", "delta")
     right = left.select("hub", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "d", "delta")])
     found = pairs.join(left, ["hub", "node"]).join(right, ["hub", "node_2"])
     d = F.col("d") + F.col("d_2") - 2 * F.size(F.array_intersect("delta", "delta_2"))
