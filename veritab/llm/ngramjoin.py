@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.llm import shingles
-from veritab.llm.common import cut
+from veritab.llm.common import cut, release
 from veritab.llm.graph import components
 from veritab.llm.shingles import U, mix
 
@@ -254,6 +254,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     light = _stars(leaders.select(F.explode("light").alias("key"), "node", "n"))
     pairs = cut(_hub_pairs(leaders.select(F.explode("heavy").alias("key"), "node", "leave").selectExpr("key", "node", "leave[pmod(key, 2)] AS leave")))
 
+    release(docs.sparkSession)
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(named, "node")
     wanted = cut(wanted)
     sets = cut(_sets_of(docs, text_col, wanted, words).join(wanted, ["n", "s1", "s2"]).select("node", "n", "tokens"))
@@ -264,6 +265,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     far = far.withColumn("d", F.size("delta").cast("long"))
     far = cut(far.withColumn("linked", a * F.col("d") <= b * (F.col("n") + F.col("hub_n"))).drop("hub_n"))
     edges = cut(light.union(far.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct())
+    release(docs.sparkSession)
     more = _around_hubs(far, components(edges), percent)
     row_class = rows.select("row", "id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     return row_class.select("row", "id", "n", "node"), edges.union(more)
