@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once; later steps read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the one in ``spark.checkpoint.dir``. Where that is unset, a local session
+    It is the one in ``spark.checkpoint.dir``. Where that is unset, a local session
     (tests) gets a temporary folder; on a cluster it is an error, as executors would not
     see each other's files.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="veritab-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder once; later steps read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import bpe, chat, exactdup, langid, ngramjoin, packing, pii, quality, sharding, trainorder
-from veritab.llm.common import table
+from veritab.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,5 +127,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = trainorder.in_order(trainorder.records(table(spark, sf_dir, "documents"), vocabulary()))
-    return made.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("record").alias("record_crc32"), "slot", "shard", "offset")
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/training-order-{uuid.uuid4()}"
+    trainorder.write_shards(trainorder.records(docs, vocabulary()), folder)
+    read = trainorder.read_shards(spark, folder, id_type=docs.schema["doc_id"].dataType)
+    return trainorder.in_order(read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("record").alias("record_crc32"), "slot", "shard", "offset"))

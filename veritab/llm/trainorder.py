@@ -5,8 +5,10 @@ of fixed stride, ids as little-endian unsigned 16-bit integers, padded with id 0
 numbered densely (a prefix sum over the partitions' totals plus the place inside a partition),
 and a Feistel network over the next even power of two, walked again while its result is too
 large, permutes the numbers among themselves. The slot alone says where a record lies: shard
-``slot div per_shard``, byte ``slot mod per_shard * 2 * length``. ``write_shards`` sorts sampled
-ranges of slots and writes them as files of consecutive slots, so a reader goes on from any slot.
+``slot div per_shard``, byte ``slot mod per_shard * 2 * length`` of its record column.
+``write_shards`` deals ranges of whole shards and writes each shard as one file of a folder of its
+own, records in slot order; Spark commits the files, so a repeated task leaves none twice.
+``read_shards`` takes shard and offset from where a record lies and goes on from any such place.
 
 The key is a parameter: the same key and input give the same order. Defined cases: null and
 empty texts are one record with only the closing id; rows that repeat an id get records of their
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,5 +95,18 @@ def in_order(made: DataFrame) -> DataFrame:
 
 
 def write_shards(made: DataFrame, folder: str) -> None:
-    """Parquet files of consecutive slots; a filter on ``slot`` reads on from any place."""
-    in_order(made).write.parquet(folder)
+    """A folder ``shard=k`` with one Parquet file for each shard.
+
+    Ranges of shards keep a shard in one task; the sort is the one the writer asks for, so it adds none.
+    """
+    dealt = made.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+    dealt.write.option("maxRecordsPerFile", 0).option("compression", "zstd").partitionBy("shard").parquet(folder)
+
+
+def read_shards(spark: SparkSession, folder: str, shard: int = 0, offset: int = 0, id_type: T.DataType | None = None) -> DataFrame:
+    """The records from byte ``offset`` of ``shard`` on, shards before it unread; ``shard`` is the folder
+    and ``offset`` the place in the file that a record was read from. ``id_type``: long where not given."""
+    fields = {"id": id_type or T.LongType(), "start": T.LongType(), "n_tokens": T.LongType(), "record": T.BinaryType(), "slot": T.LongType(), "shard": T.LongType()}
+    schema = T.StructType([T.StructField(k, t) for k, t in fields.items()])  # a set without records has no file to take it from
+    found = spark.read.schema(schema).parquet(folder).withColumn("offset", F.col("_metadata.row_index") * F.octet_length("record"))
+    return found.filter((F.col("shard") >= shard) & ((F.col("shard") > shard) | (F.col("offset") >= offset)))
