@@ -65,3 +65,32 @@ def test_what_fails_its_check_stays(spark):
     assert [rows[k]["text"] for k in range(len(texts))] == texts and all(r["__found"] == [] for r in rows.values())
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymise(df).count() == 0
+
+
+def test_longer_names_other_dates_and_national_numbers_are_found(spark):
+    secret = "hV7wQ2nPz8Lr4tKx"
+    named = [f"DB_PASSWORD={secret}", f"client_secret: '{secret}", f'access_token="{secret}', f"aws_secret_access_key={secret}", f"self.api_key = {secret}", f"SECRET_KEY={secret}"]
+    dates = ["5/3/1987", "1987-3-5", "5 March 1987", "March 5, 1987", "5th of March 1987", "5. März 1987", "1er août 1987", "5 de marzo de 1987", "05-MAR-1987", "Mar. 5, 1987"]
+    phones = ["020 7946 0958", "0171 1234567", "06 12 34 56 78", "(020) 7946 0958", "030/1234567", "0171 123 45 67", "0044 20 7946 0958", "+44 (0)20 7946 0958", "1-800-555-1234"]
+    values = [*named, *dates, *phones, "3/5/1987"]
+    rows = found(spark, [f"é {v}; {v}" for v in values] + ["Geb.31.12.1999", "Tel.020 7946 0958.", "v1.31.12.1999 1.2.3", "31 February 1999, 99 May 1999"])
+    years = set()
+    for k, v in enumerate(values):
+        hits = rows[k]["__found"]
+        assert [x["value"] for x in hits] == [v] * 2, v
+        new = hits[0]["pseudonym"]
+        assert rows[k]["text"] == f"é {new}; {new}" and new != v
+        if v in named:
+            assert new[:-16] == v[:-16] and new[-16:] == rows[0]["__found"][0]["pseudonym"][-16:]
+        if v in phones:
+            assert shape(new) == shape(v) and (v[0] not in "0(" or new.replace("(", "")[0] == "0")
+        if v in dates and "août" not in v:
+            years.add(re.sub(r".*([0-9]{4}).*", r"\1", new))
+    assert len(years) == 1  # one day in all notations stays one day
+    assert rows[len(values)]["text"].startswith("Geb.") and rows[len(values)]["text"] != "Geb.31.12.1999"
+    assert [x["value"] for x in rows[len(values) + 1]["__found"]] == ["020 7946 0958"]
+    assert all(rows[len(values) + k]["__found"] == [] for k in (2, 3))
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(k) for k in range(400)]
+    texts = [f"{d.day} {d:%B} {d.year}" for d in days]
+    new = [r["text"] for r in found(spark, texts).values()]
+    assert len(set(new)) == 400 and all(datetime.datetime.strptime(x, "%d %B %Y") for x in new)

@@ -1,7 +1,8 @@
 """Operator 9, personal data replaced by format-preserving Feistel pseudonyms.
 
 One pattern finds candidates: secrets with a name or a known prefix, e-mail addresses, account
-numbers (IBAN), payment cards, social security and telephone numbers, IPv4 addresses and dates.
+numbers (IBAN), payment cards, social security and telephone numbers, IPv4 addresses and dates
+in figures or with the name of the month. README lists the notations that are not looked for.
 A candidate must hold as such (Luhn and modulo-97 checks, real calendar days, octets up to
 255), then its free symbols are permuted by a keyed Feistel network within their format: a digit
 stays a digit, a letter keeps its case, separators, country codes, key names and top-level
@@ -17,6 +18,8 @@ and has no findings; numbers that fail their check and dates outside the 73,170
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,23 @@ KEY = "set a secret key here"
 ROUNDS = 8
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1900-01-01", 271, 270
 
-_NAMED = r"""(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?"""
+# the name may end a longer identifier, as in DB_PASSWORD
+_NAMED = r"""[A-Za-z0-9_.-]{0,40}(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|secret[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?"""
+#: Month names by language, full and short.
+MONTHS = [x.split() for x in (
+    "january february march april may june july august september october november december",
+    "jan feb mar apr may jun jul aug sep oct nov dec",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "jan feb mär apr mai jun jul aug sep okt nov dez",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+)]
+_MONTH = "(?iu:" + "|".join(sorted({m for names in MONTHS for m in names}, key=lambda m: (-len(m), m))) + ")"
+_DAY, _YEAR = "[0-3]?[0-9]", "[12][0-9]{3}"
+#: Dates with a month name, their parts as groups: day, ending, gap, name, gap, year; or name, gap, day, ending, gap, year.
+_DAY_FIRST = rf"({_DAY})(st|nd|rd|th|er|\.)?( {{1,2}}(?:of |de )?|[-/.]|)({_MONTH})(\.?,? {{1,2}}(?:del? )?|[-/.])({_YEAR})"
+_NAME_FIRST = rf"({_MONTH})(\.? {{1,2}}|[-/.])({_DAY})(st|nd|rd|th)?(,? {{1,2}}|, ?|[-/.])({_YEAR})"
+_plain = lambda pattern: re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)  # noqa: E731  without groups
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Kinds in the order in which they are tried, each with the pattern of a whole candidate.
 KINDS = {
@@ -34,9 +53,12 @@ KINDS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "card": r"(?:[0-9]{13,19}+|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    "date": r"(?:[12][0-9]{3}([-/.])[01][0-9]\1[0-3][0-9]|[0-3][0-9]([-/.])[0-3][0-9]\2[12][0-9]{3})(?![0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
-    "phone_international": r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "date": rf"(?:{_YEAR}([-/.])[01]?[0-9]\1{_DAY}|{_DAY}([-/.]){_DAY}\2{_YEAR})(?![0-9])",
+    "date_named": rf"(?:{_plain(_DAY_FIRST)}|{_plain(_NAME_FIRST)})(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "phone_international": r"(?:\+[0-9]{1,3}(?: ?\(0\) ?)?(?:[ .-]?[0-9]{2,4}){2,5}|00[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){2,5})(?![0-9])",
+    # pairs; three groups; area code and number; area code and short groups
+    "phone_national": r"(?:0[0-9](?:[ .-][0-9]{2}){4}|(?:\(0[0-9]{1,4}\) ?|0[0-9]{1,4}[ ./-])(?:[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{2,3}(?:[ .-][0-9]{2,3}){2,3}|[0-9]{6,8}))(?![0-9])",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
 }
 
@@ -47,8 +69,8 @@ def _candidate() -> str:
         n = 2 if r"\1" in pattern else 0
         parts.append(pattern.replace(r"\2", f"\\{groups + 2}").replace(r"\1", f"\\{groups + 1}") if n else pattern)
         groups += n
-    # a candidate starts where no word, number or address is under way
-    return r"(?<![A-Za-z0-9_%+.@-])(?:" + "|".join(parts) + ")"
+    # a candidate starts where no word, number or address is under way; a full stop that no digit precedes ends a word before figures
+    return r"(?<![A-Za-z0-9_%+@-])(?:(?<!\.)|(?<![0-9]\.)(?=[0-9+(]))(?:" + "|".join(parts) + ")"
 
 
 def _let(value: Column, body) -> Column:
@@ -148,20 +170,62 @@ def _ip(hit: Column, key: str) -> Column:
     return F.array_join(F.transform(_feistel(octets, F.array(*[F.lit(256)] * 4), key), lambda x: x.cast("string")), ".")
 
 
+def _moved(date: Column, key: str) -> Column:
+    """The day that takes the place of ``date``; null outside the days that are permuted."""
+
+    def of(days: Column) -> Column:
+        pair = F.array(F.floor(days / DAYS_LOW).cast("int"), F.pmod(days, F.lit(DAYS_LOW)))
+        new = F.aggregate(_feistel(pair, F.array(F.lit(DAYS_HIGH), F.lit(DAYS_LOW)), key), F.lit(0), lambda s, x: s * DAYS_LOW + x)
+        return F.when((days >= 0) & (days < DAYS_HIGH * DAYS_LOW), F.date_add(F.lit(FIRST_DAY).cast("date"), new))
+
+    return _let(F.date_diff(date, F.lit(FIRST_DAY).cast("date")), of)
+
+
 def _date(hit: Column, key: str) -> Column:
-    """Year first, or day first, or where that is no date month first; the separator stays."""
-    out = F.lit(None).cast("string")
-    zero = F.lit(FIRST_DAY).cast("date")
-    for order in ("MM?dd?yyyy", "dd?MM?yyyy", "yyyy?MM?dd"):  # the last that holds counts
+    """Year first, or day first, or where that is no date month first; the separator stays, and zeros before figures where both have two."""
+    read = F.lit(None).cast("struct<date:date,form:string>")
+    for order in ("M?d?yyyy", "d?M?yyyy", "yyyy?M?d", "MM?dd?yyyy", "dd?MM?yyyy", "yyyy?MM?dd"):  # the last that holds counts
         for sign in "-/.":
             form = order.replace("?", sign)
-            days = F.date_diff(F.try_to_date(hit, form), zero)
-            pair = F.array(F.floor(days / DAYS_LOW).cast("int"), F.pmod(days, F.lit(DAYS_LOW)))
-            new = _feistel(pair, F.array(F.lit(DAYS_HIGH), F.lit(DAYS_LOW)), key)
-            moved = F.aggregate(new, F.lit(0), lambda s, x: s * DAYS_LOW + x)
-            holds = (days >= 0) & (days < DAYS_HIGH * DAYS_LOW)
-            out = F.when(holds, F.date_format(F.date_add(zero, moved), form)).otherwise(out)
-    return out
+            date = F.try_to_date(hit, form)
+            read = F.when(date.isNotNull(), F.struct(date.alias("date"), F.lit(form).alias("form"))).otherwise(read)
+    return _let(read, lambda r: F.call_function("date_format", _moved(r["date"], key), r["form"]))
+
+
+def _date_named(hit: Column, key: str) -> Column:
+    """Day, name of the month and year are replaced; language, capitals, signs and the place of the day stay."""
+
+    def parts(first: Column) -> Column:
+        def part(day_first: int, name_first: int) -> Column:
+            return F.when(first, F.regexp_extract(hit, f"^{_DAY_FIRST}$", day_first)).otherwise(F.regexp_extract(hit, f"^{_NAME_FIRST}$", name_first))
+
+        return F.struct(part(1, 3).alias("day"), part(2, 4).alias("ending"), part(3, 2).alias("gap"), part(4, 1).alias("name"), part(5, 5).alias("gap2"), part(6, 6).alias("year"), first.alias("first"))
+
+    def renewed(p: Column) -> Column:
+        lists = [F.array(*map(F.lit, names)) for names in MONTHS]
+        # names that languages share: German where a full stop follows the day
+        german = F.sort_array(F.array(*[F.struct(F.when((p["ending"] == ".") & F.lit(k in (2, 3)), 0).otherwise(1).alias("later"), F.lit(k).alias("k"), x.alias("names")) for k, x in enumerate(lists)]))
+        known = F.get(F.filter(german, lambda x: F.array_contains(x["names"], F.lower(p["name"]))), F.lit(0))["names"]
+
+        def put(names: Column) -> Column:
+            month = F.array_position(names, F.lower(p["name"])).cast("string")
+            date = F.try_to_date(F.concat_ws("-", p["year"], month, p["day"].cast("int").cast("string")), "yyyy-M-d")
+
+            def text(new: Column) -> Column:
+                n = F.day(new)
+                name = F.get(names, F.month(new) - 1)
+                name = F.when(p["name"] == F.upper(p["name"]), F.upper(name)).when(p["name"] == F.lower(p["name"]), name).otherwise(F.initcap(name))
+                day = F.when(p["day"].startswith("0"), F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
+                usual = F.when(n.isin(11, 12, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+                ending = F.when(p["ending"].isin("", "."), p["ending"]).when(p["ending"] == "er", F.when(n == 1, "er").otherwise("")).otherwise(usual)
+                day = F.concat(day, ending)
+                return F.when(p["first"], F.concat(day, p["gap"], name, p["gap2"], F.year(new).cast("string"))).otherwise(F.concat(name, p["gap"], day, p["gap2"], F.year(new).cast("string")))
+
+            return _let(_moved(date, key), text)
+
+        return _let(known, put)
+
+    return _let(parts(hit.rlike("^[0-9]")), renewed)
 
 
 def pseudonym(hit: Column, kind: Column, key: str) -> Column:
@@ -169,7 +233,7 @@ def pseudonym(hit: Column, kind: Column, key: str) -> Column:
     length = F.length(hit)
     name = F.length(F.regexp_extract(hit, rf"^{_NAMED}", 0))
     prefix = F.length(F.regexp_extract(hit, r"^(?:AKIA|gh[pousr]_|sk-)", 0))
-    country = F.length(F.regexp_extract(hit, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
+    country = F.length(F.regexp_extract(hit, r"^(?:(?:\+|00)[0-9]{1,3}(?: ?\(0\))?(?=[ .(-]|(?<=\)))|1(?=[ .-])|\(?0)", 0))
     top = length - F.length(F.regexp_extract(hit, r"[A-Za-z]+$", 0))
     return (
         F.when(kind == "secret", _symbols(hit, name, length, key))
@@ -179,7 +243,8 @@ def pseudonym(hit: Column, kind: Column, key: str) -> Column:
         .when(kind == "card", _card(hit, key))
         .when(kind == "ssn", _symbols(hit, F.lit(0), length, key))
         .when(kind == "date", _date(hit, key))
-        .when(kind.isin("phone", "phone_international"), _symbols(hit, country, length, key))
+        .when(kind == "date_named", _date_named(hit, key))
+        .when(kind.isin("phone", "phone_international", "phone_national"), _symbols(hit, country, length, key))
         .when(kind == "ip", _ip(hit, key))
     )
 
