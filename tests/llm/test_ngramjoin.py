@@ -1,10 +1,11 @@
+import inspect
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from veritab.llm import ngramjoin, shingles
+from veritab.llm import common, ngramjoin, shingles
 from veritab.llm.graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -103,3 +104,9 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 30)] + [(50, 50), (60, 61), (61, 60)]
     got = {(r["node"], r["root"]) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(k, 100) for k in range(100, 141)} | {(k, 7) for k in range(7, 30)} | {(60, 60), (61, 60)}
+
+
+def test_the_join_leaves_the_garbage_collector_alone():
+    for module in (common, ngramjoin):
+        source = inspect.getsource(module)
+        assert "_jvm" not in source and "gc.collect" not in source
