@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, chat, exactdup, langid, ngramjoin, packing, pii, quality, sharding, trainorder
+from veritab.llm import bpe, chat, convrepair, exactdup, langid, lattice, lexical, ngramjoin, packing, pii, quality, sharding, trainorder
 from veritab.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,115 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     trainorder.write_shards(trainorder.records(docs, vocabulary()), folder)
     read = trainorder.read_shards(spark, folder, id_type=docs.schema["doc_id"].dataType)
     return trainorder.in_order(read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("record").alias("record_crc32"), "slot", "shard", "offset"))
+
+
+@query(r"""
+WITH words AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sizes AS (SELECT row, doc_id, len(terms) AS n FROM words WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+postings AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM words) GROUP BY row, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM postings, total GROUP BY term),
+asked AS (
+    SELECT item, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+    FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+scores AS (
+    SELECT item, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (row), total
+    GROUP BY item, item_id, row, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+""")
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(r"""
+WITH RECURSIVE named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT))),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS how
+    FROM named),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+        CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM hashed WHERE how <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+placed AS (
+    SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth
+    FROM ordered),
+faults AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM placed),
+steps AS (
+    SELECT conv_id, pos, role, text, fault IS NULL OR fault = 'truncated' AS usable, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM faults),
+walk AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS spot, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS repaired FROM (SELECT DISTINCT conv_id FROM steps)
+    UNION ALL
+    SELECT conv_id, pos, spot, best.cost, best.audit, best.repaired FROM (
+        SELECT conv_id, pos, spot, min({'cost': cost, 'audit': audit, 'repaired': repaired}) AS best FROM (
+            SELECT before.conv_id, s.pos, unnest(CASE
+                WHEN NOT s.usable THEN [{'spot': before.spot, 'cost': before.cost + 4, 'audit': before.audit || 'D', 'repaired': before.repaired}]
+                ELSE [{'spot': before.spot, 'cost': before.cost + 4, 'audit': before.audit || 'D', 'repaired': before.repaired},
+                    {'spot': CASE WHEN before.spot = 2 THEN 3 ELSE 2 END, 'cost': before.cost + 3 + s.more, 'audit': before.audit || 'R',
+                     'repaired': before.repaired || chr(10) || CASE WHEN before.spot = 2 THEN 'assistant:' ELSE 'user:' END || s.text},
+                    {'spot': CASE s.role[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+                     'cost': before.cost + s.more + CASE WHEN s.role[1] = 's' AND before.spot = 0 OR s.role[1] = 'u' AND before.spot <> 2 OR s.role[1] = 'a' AND before.spot = 2
+                         THEN 0 ELSE 1000000000000 END,
+                     'audit': before.audit || 'K', 'repaired': before.repaired || chr(10) || s.role || ':' || s.text}]
+                END, recursive := true)
+            FROM (
+                SELECT * FROM walk
+                UNION ALL SELECT conv_id, pos, CASE WHEN spot = 2 THEN 3 ELSE 2 END, cost + 3, audit || 'I',
+                    repaired || chr(10) || CASE WHEN spot = 2 THEN 'assistant:' ELSE 'user:' END FROM walk
+            ) before JOIN steps s ON s.conv_id IS NOT DISTINCT FROM before.conv_id AND s.pos = before.pos + 1)
+        WHERE cost < 1000000000000
+        GROUP BY conv_id, pos, spot)),
+ends AS (
+    SELECT w.conv_id, min(CASE spot WHEN 1 THEN {'cost': cost + 6, 'audit': audit || 'II', 'repaired': repaired || chr(10) || 'user:' || chr(10) || 'assistant:'}
+        WHEN 2 THEN {'cost': cost + 3, 'audit': audit || 'I', 'repaired': repaired || chr(10) || 'assistant:'}
+        ELSE {'cost': cost, 'audit': audit, 'repaired': repaired} END) AS best
+    FROM walk w JOIN (SELECT conv_id, max(pos) AS last FROM steps GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos = l.last
+    GROUP BY w.conv_id),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id)
+SELECT c.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated,
+    coalesce(n.illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(e.best.repaired[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.report(convrepair.damage(table(spark, sf_dir, "conversations")))
+
+
+@query(r"""
+WITH RECURSIVE usable AS (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (
+    SELECT a.row AS a, b.row AS b, b.vec_id AS other FROM usable a JOIN usable b ON a.row <> b.row AND len(a.v) = len(b.v)
+        AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9),
+reach AS (
+    SELECT row AS a, row AS b FROM usable UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT r.a, min(u.vec_id) AS component_id FROM reach r JOIN usable u ON u.row = r.b GROUP BY r.a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+found AS (SELECT u.vec_id, coalesce(c.n, 0) AS n_links, l.component_id FROM usable u LEFT JOIN counted c ON c.a = u.row JOIN least l ON l.a = u.row)
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM found
+UNION ALL
+SELECT vec_id, 0, vec_id, true FROM embeddings
+WHERE embedding IS NULL OR NOT coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)
+    OR NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false)
+""")
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), "component_id", "kept")
