@@ -191,7 +191,7 @@ def ball_bits(cosine: float) -> int:
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2)
+    return np.bitwise_count((a[:, None, :] ^ b[None, :, :]).view(np.uint64)).sum(2)  # of signed numbers it counts the absolute value
 
 
 def _fixed_lists(x: np.ndarray) -> pa.Array:

@@ -119,7 +119,7 @@ class _Segment:
         return alive, lower[alive]
 
 
-def _ranked(batches: Iterator[pa.RecordBatch], queries: list[np.ndarray], weights: np.ndarray, docs: int, words: int, top: int) -> Iterator[pa.RecordBatch]:
+def _ranked(batches: Iterator[pa.RecordBatch], queries: list[np.ndarray], weights: np.ndarray, docs: int, words: int, top: int, segment: int) -> Iterator[pa.RecordBatch]:
     best: list[list[tuple]] = [[] for _ in queries]  # (score, id order, id), best first
 
     def ordered(found: list[tuple]) -> list[tuple]:
@@ -129,20 +129,20 @@ def _ranked(batches: Iterator[pa.RecordBatch], queries: list[np.ndarray], weight
         t = pa.Table.from_batches(parts).combine_chunks()
         sizes = t["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
         flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        segment = _Segment(t["n"].to_numpy(), np.repeat(np.arange(t.num_rows), sizes), flat("terms"), flat("tfs"), weights, docs, words)
+        lists = _Segment(t["n"].to_numpy(), np.repeat(np.arange(t.num_rows), sizes), flat("terms"), flat("tfs"), weights, docs, words)
         for k, q in enumerate(queries):
             if len(q):
-                alive, scores = segment.search(q, max(1, best[k][top - 1][0] if len(best[k]) >= top else 1), top)
+                alive, scores = lists.search(q, max(1, best[k][top - 1][0] if len(best[k]) >= top else 1), top)
                 ids = t["id"].take(pa.array(alive, pa.int64())).to_pylist()
                 best[k] = ordered(best[k] + [(s, i) for s, i in zip(scores.tolist(), ids, strict=True) if s > 0])
 
     def parts() -> Iterator[list[pa.RecordBatch]]:
-        now, n, postings = [], 0, 0
+        now, n, postings, step = [], 0, 0, min(256, segment)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
+            for at in range(0, b.num_rows, step):
+                piece = b.slice(at, step)
                 more = len(piece["terms"].flatten())
-                if now and (n + piece.num_rows > SEGMENT or postings + more > POSTINGS):
+                if now and (n + piece.num_rows > segment or postings + more > POSTINGS):
                     yield now
                     now, n, postings = [], 0, 0
                 now.append(piece)
@@ -159,7 +159,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], queries: list[np.ndarray], weight
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kind)], ["query", "score", "id"])
 
 
-def _block(docs: DataFrame, texts: list[str | None], id_col: str, text_col: str, top: int) -> DataFrame:
+def _block(docs: DataFrame, texts: list[str | None], id_col: str, text_col: str, top: int, segment: int) -> DataFrame:
     """``(query, score, id)``: the best of every task for each text."""
     spark = docs.sparkSession
     found = [sorted(set(terms(t))) for t in texts]
@@ -173,10 +173,11 @@ def _block(docs: DataFrame, texts: list[str | None], id_col: str, text_col: str,
     queries = [np.array([known[t] for t in f], np.int64) for f in found]
     n, words = totals["docs"], max(1, totals["words"])
     schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("score", T.LongType()), T.StructField("id", docs.schema[id_col].dataType)])
-    return lists.mapInArrow(lambda batches: _ranked(batches, queries, weights, n, words, top), schema)
+    return lists.mapInArrow(lambda batches: _ranked(batches, queries, weights, n, words, top, segment), schema)
 
 
-def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", top: int = TOP) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", top: int = TOP,
+           segment: int = SEGMENT) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: the ``top`` best documents of each query, equal scores by ascending id."""
     asked = cut(queries.select(F.monotonically_increasing_id().alias("row"), F.col(query_id).alias("item_id"), F.col(query_text).alias("text")))
     total = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(whole("text"))), F.lit(0)).alias("size")).first()
@@ -187,7 +188,7 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
         if not rows and k + 1 < blocks:
             continue
         named = docs.sparkSession.createDataFrame([(n, r["row"]) for n, r in enumerate(rows)], "query long, row long")
-        found = _block(docs, [r["text"] for r in rows], id_col, text_col, top).join(F.broadcast(named), "query").select("row", "score", "id")
+        found = _block(docs, [r["text"] for r in rows], id_col, text_col, top, segment).join(F.broadcast(named), "query").select("row", "score", "id")
         best = found if best is None else best.union(found)
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
