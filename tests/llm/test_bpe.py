@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from veritab.llm import bpe, packing
+from veritab.llm import bpe, common, packing
 from veritab.llm.queries import vocabulary
 from veritab.llm.tokens import codec
 
@@ -49,6 +50,22 @@ def test_encode_and_decode_rows(spark):
     assert bpe.encode(df.limit(0), vocabulary()).count() == 0
 
 
+def test_rows_from_a_shuffle_keep_their_ids(spark):
+    given = [(k % 40, f"text {k} " * (3 + k % 50)) for k in range(400)] + [(7, "twin " * 90)] * 3
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3, "text").repartition(5)
+    rows = bpe.encode(df, vocabulary(), leaf=64, decoded="again").collect()
+    t = library()
+    want = sorted((i, t.encode(x, add_special_tokens=False).ids, x) for i, x in given)
+    assert sorted((r["id"], np.frombuffer(r["ids"], "<u4").tolist(), r["again"]) for r in rows) == want
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["a" * 10, None, "b" * 300, "", "c" * 60, "d" * 60]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    slices = [b["text"].to_pylist() for b in common.bounded(iter([whole, whole.slice(0, 0)]), "text", 100)]
+    assert [x for s in slices for x in s] == texts and slices == [["a" * 10, None], ["b" * 300], ["", "c" * 60], ["d" * 60]]
+
+
 def test_packing_cuts_into_powers_of_two(spark):
     assert packing.pieces(1) == [1] and packing.pieces(3000) == [1024, 1024, 512, 256, 128, 32, 16, 8] and packing.pieces(2048) == [1024, 1024]
     given = [(1, "a b c " * 900), (1, "again"), (None, None), (4, "")]

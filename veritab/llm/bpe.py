@@ -9,7 +9,8 @@ as many with the right side. Whether a BPE sequence is the right one depends onl
 of neighbouring tokens, so from there on either side stands as it is; a window that reaches the
 end of a side needs no agreement there.
 
-Ids travel as little-endian unsigned 32-bit integers in one binary value for each document.
+Ids travel as little-endian unsigned 32-bit integers in one binary value for each document. Texts
+are taken in slices of about a megabyte, and decoded where they were encoded.
 Defined cases: null and empty texts have no ids and decode to the empty text; rows that repeat
 an id are encoded each for itself; an id without a token decodes to nothing, bytes that are no
 UTF-8 to U+FFFD; an empty table gives no rows; columns other than id and text are left out.
@@ -20,13 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritab.llm.common import whole
+from veritab.llm.common import bounded, whole
 from veritab.llm.tokens import Codec, codec
 
 LEAF = 65_536
@@ -105,45 +105,58 @@ def _packed(ids: list[np.ndarray]) -> pa.Array:
     return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """``(id, ids)`` for each row of ``docs``."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, decoded: str | None = None) -> DataFrame:
+    """``(id, ids)`` for each row of ``docs``, and in a column ``decoded`` the text that its ids give."""
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     long = F.length("text") > leaf
+    schema = T.StructType().add("id", kind).add("ids", "binary")
+    if decoded:
+        schema = schema.add(decoded, "string")
+
+    def columns(c: Codec, names: pa.Array, ids: list[np.ndarray]) -> list[pa.Array]:
+        texts = [pa.array([c.decode(x) for x in ids], pa.string())] if decoded else []
+        return [names, _packed(ids), *texts]
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["id"], _packed([c.encode(t) for t in b["text"].to_pylist()])], ["id", "ids"])
-
-    short = rows.filter(~long).mapInArrow(here, T.StructType().add("id", kind).add("ids", "binary"))
+        for b in bounded(batches, "text"):
+            yield pa.RecordBatch.from_arrays(columns(c, b["id"], [c.encode(t.as_py()) for t in b["text"]]), schema.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = list(codec(path).special)
-        for b in batches:
-            for row, t in zip(b["row"].to_pylist(), b["text"].to_pylist(), strict=True):
+        for b in bounded(batches, "text"):
+            for i in range(b.num_rows):
+                t = b["text"][i].as_py()
                 at = _cuts(t, leaf, special)
                 n = len(at) - 1
+                same = pa.array([i] * n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([t[x:y] for x, y in zip(at, at[1:])], pa.string())],
-                    ["row", "nth", "text"],
+                    [b["name"].take(same), b["id"].take(same), pa.array(range(n), pa.int32()), pa.array([t[x:y] for x, y in zip(at, at[1:])], pa.string())],
+                    ["name", "id", "nth", "text"],
                 )
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["row"], b["nth"], _packed([c.encode(t) for t in b["text"].to_pylist()])], ["row", "nth", "ids"])
-
-    def joined(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("nth")
-        ids = join_all(codec(path), [np.frombuffer(x, "<u4") for x in part["ids"]])
-        return pd.DataFrame({"row": [key[0]], "ids": [ids.tobytes()]})
-
-    # A row is named by its place in the scan, which the same scan gives again.
-    big = rows.filter(long).withColumn("row", F.monotonically_increasing_id())
-    parts = big.select("row", "text").mapInArrow(cut, "row long, nth int, text string").repartition("row", "nth")
-    ids = parts.mapInArrow(leaves, "row long, nth int, ids binary").groupBy("row").applyInPandas(joined, "row long, ids binary")
-    return short.unionByName(big.select("row", "id").join(ids, "row").select("id", "ids"))
+        for b in bounded(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b["name"], b["id"], b["nth"], _packed([c.encode(t.as_py()) for t in b["text"]])], ["name", "id", "nth", "ids"])
+
+    def joined(part: pa.Table) -> pa.Table:
+        c, found = codec(path), {}
+        copies = 0
+        for nth, ids in zip(part["nth"], part["ids"], strict=True):
+            copies += nth.as_py() == 0
+            found.setdefault(nth.as_py(), ids)
+        ids = join_all(c, [np.frombuffer(found[k].as_py(), "<u4") for k in sorted(found)])
+        one = pa.Table.from_arrays(columns(c, part["id"].slice(0, 1), [ids]), schema.names)
+        return pa.concat_tables([one] * copies)
+
+    # A row is named by what it holds, so a repeated task gives the same names; equal rows are copies of one name.
+    name = F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("\n"), "text"), 256)
+    named = T.StructType().add("name", "string").add("id", kind).add("nth", "integer")
+    parts = rows.filter(long).select(name.alias("name"), "id", "text").mapInArrow(cut, T.StructType([*named.fields]).add("text", "string"))
+    ids = parts.repartition("name", "nth").mapInArrow(leaves, T.StructType([*named.fields]).add("ids", "binary"))
+    return rows.filter(~long).mapInArrow(here, schema).unionByName(ids.groupBy("name").applyInArrow(joined, schema))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -151,8 +164,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            text = [c.decode(np.frombuffer(x or b"", "<u4")) for x in b[ids_col].to_pylist()]
+        for b in bounded(batches, ids_col):
+            text = [c.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in b[ids_col]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, out])
 
     return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))

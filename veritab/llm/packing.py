@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritab.llm.common import whole
+from veritab.llm.common import bounded, whole
 from veritab.llm.tokens import codec
 
 LENGTH = 1024
@@ -42,7 +42,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in bounded(batches, "text"):
             row, start, size, ids, total = [], [], [], [], []
             for i, text in enumerate(b["text"].to_pylist()):
                 all_ids = np.append(c.encode(text), np.uint32(0)).astype("<u4")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritab.llm.common import cut, whole
+from veritab.llm.common import bounded, cut, whole
 from veritab.llm.shingles import U, mix
 from veritab.llm.tokens import codec
 
@@ -60,8 +60,8 @@ def records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         c = codec(path)
         if len(c.n_bytes) > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
-        for b in batches:
-            ids = [np.append(c.encode(t), np.uint32(0)).astype("<u2").tobytes() for t in b["text"].to_pylist()]
+        for b in bounded(batches, "text"):
+            ids = [np.append(c.encode(t.as_py()), np.uint32(0)).astype("<u2").tobytes() for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(ids, pa.binary())], schema.names)
 
     tokens = cut(docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).mapInArrow(encoded, schema))
