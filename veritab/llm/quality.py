@@ -11,8 +11,9 @@ bins, whatever the input. ``verdict`` turns the list into one ordered CASE expre
 Base checks reject texts of fewer than ``MIN_WORDS`` words and those where words in repeated
 3-word windows are more than half. Defined cases: a null text has no words; empty texts fail the
 base checks; labels that are null, contradict each other or name no document are left out; of
-documents that repeat an id each takes the label; without usable labels the list is empty and
-the base checks decide; extra columns pass through.
+documents that repeat an id each takes the label; of equally good thresholds the one of the first
+figure in ``FIGURES`` and of the least cut is taken, so rules do not depend on the order of rows;
+without usable labels the list is empty and the base checks decide; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -141,11 +142,29 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     )
 
 
+def _rounded(x: Column) -> Column:
+    """Three significant digits, so that a figure has a bounded number of values."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)) - 2)
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / unit) * unit)
+
+
 def _cuts(rows: DataFrame) -> dict[str, list[float]]:
-    """Candidate thresholds: quantiles of each class, at most ``BINS`` a class and figure."""
-    at = F.array(*[F.lit(k / BINS) for k in range(BINS + 1)])
-    found = rows.groupBy("bad").agg(*[F.percentile_approx(F.col("stats")[f], at, F.lit(2000)).alias(f) for f in FIGURES]).collect()
-    return {f: sorted({x for r in found for x in r[f] or []}) for f in FIGURES}
+    """Candidate thresholds: quantiles of each class, at most ``BINS`` a class and figure, the same for any order of rows."""
+    values = F.array(*[F.struct(F.lit(f).alias("figure"), _rounded(F.col("stats")[f]).alias("value")) for f in FIGURES])
+    counts = rows.select("bad", F.explode(values).alias("v")).groupBy("v.figure", "bad", "v.value").agg(F.count("*").alias("n"))
+    found: dict[tuple[str, bool], list[tuple[float, int]]] = {}
+    for r in counts.collect():  # at most 900 values a figure, class and power of ten
+        found.setdefault((r["figure"], r["bad"]), []).append((r["value"], r["n"]))
+    out: dict[str, set[float]] = {f: set() for f in FIGURES}
+    for (f, _), pairs in found.items():
+        pairs.sort()
+        total, upto, k = sum(n for _, n in pairs), 0, 0
+        for value, n in pairs:
+            upto += n
+            if upto * BINS >= k * total:
+                out[f].add(value)
+                k = upto * BINS // total + 1
+    return {f: sorted(v) for f, v in out.items()}
 
 
 def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[int, tuple[int, int]]]:
@@ -167,7 +186,8 @@ def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[
 def _best(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Literal, int, int] | None:
     """The threshold that gains most information about bad rows, with the rows it covers."""
     best, most = None, 0.0
-    for f, bins in _histogram(rows, cuts).items():
+    found = _histogram(rows, cuts)
+    for f, bins in ((f, found[f]) for f in FIGURES if f in found):  # of equal gains the first figure and least cut
         p_all, n_all = (sum(x[i] for x in bins.values()) for i in (0, 1))
         if not p_all or not n_all:
             return None
@@ -183,10 +203,17 @@ def _best(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Literal, int,
 
 
 def _between(rows: DataFrame, x: Literal) -> Literal:
-    """The same literal with its cut halfway to the next larger value, so that both sides have a margin."""
-    value = F.col("stats")[x.figure]
-    above = rows.agg(F.min(F.when(value > x.cut, value))).first()[0]
-    return x if above is None else Literal(x.figure, x.above, (x.cut + above) / 2)
+    """The same literal with its cut halfway between the nearest good row that it leaves and the bad row next to that."""
+    value, bad = F.col("stats")[x.figure], F.col("bad")
+    left = F.max(F.when(~bad & (value <= x.cut), value)) if x.above else F.min(F.when(~bad & (value > x.cut), value))
+    good = rows.agg(left).first()[0]
+    if good is None:
+        return x
+    near = rows.agg(F.min(F.when(bad & (value > good), value)) if x.above else F.max(F.when(bad & (value < good), value))).first()[0]
+    if near is None:
+        return x
+    middle = (good + near) / 2
+    return Literal(x.figure, x.above, middle if x.above or middle < good else near)
 
 
 def learn(rows: DataFrame) -> list[list[Literal]]:
@@ -200,10 +227,11 @@ def learn(rows: DataFrame) -> list[list[Literal]]:
     while len(rules) < MOST_RULES:
         rule: list[Literal] = []
         while len(rule) < MOST_LITERALS:
-            found = _best(rows.filter("grow").filter(_all(rule, stats)), cuts)
+            held = rows.filter(_all(rule, stats))
+            found = _best(held.filter("grow"), cuts)
             if found is None:
                 break
-            rule.append(_between(rows, found[0]))
+            rule.append(_between(held, found[0]))
             if found[2] == 0:
                 break
         if not rule:
