@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veritab.llm import common, ngramjoin, shingles
@@ -88,6 +89,15 @@ def test_costs_choose_the_boundary(p):
             assert b - a <= 1 and n + m - 2 * ngramjoin.need(n, m, p) <= ngramjoin.differences(a, p) < ngramjoin.parts_of(a, p)
 
 
+def test_only_lists_of_several_sets_leave_the_shuffle():
+    r = random.Random(4)
+    rows = sorted((r.randrange(40), r.randrange(3)) for _ in range(90))
+    want = sorted({x for x in rows if len({y for k, y in rows if k == x[0]}) > 1})
+    for size in (1, 2, 7, 90):
+        cut = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[i:i + size]], pa.int64()) for k in (0, 1)], ["key", "s1"]) for i in range(0, 90, size)]
+        assert [tuple(x.values()) for b in ngramjoin._shared(iter(cut)) for x in b.to_pylist()] == want
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     r = random.Random(1)
     texts = [" ".join(word(r) for _ in range(n)) for n in (3, 400, 900)] + ["y" * 3000 + " a b c", None]

@@ -15,7 +15,9 @@ class; a set enters its own class's lists and, where a smaller partner may be in
 that one's. There are ``spare`` parts more than ``D + 1``, so linked sets share at least ``spare + 1``
 of them, and each set may leave its ``spare`` longest lists: with lists in one order, by length and
 key, the first that two linked sets share has ``spare`` shared ones after it and is left by neither.
-Empty parts come last in that order. Lists are scanned in two steps instead of pairing their members:
+Empty parts come last in that order. Entries are shuffled once, by key, and stream through their
+task in order; only lists of two sets or more, a few in a hundred, leave it.
+Lists are scanned in two steps instead of pairing their members:
 
 1. every member is compared with one hub, the member that meets most others, and keeps its
    difference from the hub;
@@ -57,7 +59,8 @@ WORDS = 3
 CLASS_RATIO = 1.37
 SPARE = 2
 VERIFY = 2
-BITS = 1 << 23
+BITS_A_SET = 16
+SEEN = 1 << 20
 
 
 def need(n: int, m: int, percent: int = PERCENT) -> int:
@@ -171,15 +174,25 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
-    """``(row, id, n, s1, s2, light, heavy, leave)`` of each row."""
+    """``(row, id, n, s1, s2, light, heavy, leave)`` of each row.
+
+    A set that the same task has met before has its ``heavy`` keys there and none here.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         with np.errstate(over="ignore"):
             for b in _chunks(batches):
                 found = list(shingles.sets(b["text"].to_pylist(), words))
                 sums = [_sums(s) for s in found]
                 lists = [_heavy_keys(s, percent) for s in found]
+                for k, name in enumerate(sums):
+                    if name in seen:
+                        lists[k] = lists[k][0][:0], lists[k][1]
+                    seen.add(name)
+                if len(seen) > SEEN:
+                    seen.clear()
                 yield pa.RecordBatch.from_arrays(
                     [b["row"], b["id"], pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in sums], pa.int64()), pa.array([y for _, y in sums], pa.int64()),
                      _lists([_light_keys(s, percent) if len(s) <= 100 * boundary(percent) // percent else np.zeros(0, np.uint64) for s in found]),
@@ -195,12 +208,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
 def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
     """``(n, s1, s2, tokens)`` of the classes in ``wanted (n, s1, s2)``, and perhaps of some more.
 
-    A bit map of fixed size (1 MB) tells the scan which sets to give out; a join settles the rest.
+    A bit map tells the scan which sets to give out; a join settles the rest. It has ``BITS_A_SET``
+    bits for each wanted set, and between 128 KB and 8 MB.
     """
-    bits = wanted.selectExpr(f"cast(pmod(s1, {BITS}) div 32 as int) AS w", "shiftleft(cast(1 as bigint), cast(pmod(s1, 32) as int)) AS bit")
-    rows = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()  # at most BITS / 32 rows
-    found = np.zeros(BITS // 32, np.int64)
-    found[[r["w"] for r in rows]] = [r["bits"] for r in rows]
+    size = 1 << min(26, max(20, (BITS_A_SET * wanted.count()).bit_length()))
+    bits = wanted.selectExpr(f"cast(pmod(s1, {size}) div 32 as int) AS w", "shiftleft(cast(1 as bigint), cast(pmod(s1, 32) as int)) AS bit")
+    rows = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most size / 32 rows
+    found = np.zeros(size // 32, np.uint32)
+    found[rows["w"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     held = docs.sparkSession.sparkContext.broadcast(found)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +225,7 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> D
                 for s in shingles.sets(b["text"].to_pylist(), words):
                     if len(s):
                         s1, s2 = _sums(s)
-                        if held.value[s1 % BITS // 32] >> (s1 % BITS % 32) & 1:
+                        if int(held.value[s1 % size // 32]) >> (s1 % 32) & 1:
                             out.append((len(s), s1, s2, s))
                 yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in out], pa.int64()) for k in range(3)), _lists([x[3] for x in out])], ["n", "s1", "s2", "tokens"])
 
@@ -229,6 +244,29 @@ def _stars(entries: DataFrame) -> DataFrame:
     return entries.join(hubs, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted ``(key, s1)`` each different row once, where a key has several."""
+    last: tuple[int, int] | None = None  # the row before
+    shared = False  # whether its key has several, so that it is given out
+    for b in batches:
+        key, s1 = b["key"].to_numpy(), b["s1"].to_numpy()
+        if last is not None:
+            key, s1 = np.concatenate(([last[0]], key)), np.concatenate(([last[1]], s1))
+        if not len(key):
+            continue
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (s1[1:] != s1[:-1])))
+        key, s1 = key[new], s1[new]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begin, len(key)))
+        several = size > 1
+        several[0] |= shared
+        out = np.repeat(several, size)
+        if shared:
+            out[0] = False  # given out with the batch before
+        last, shared = (key[-1], s1[-1]), bool(several[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(s1[out])], ["key", "s1"])
+
+
 def _hub_pairs(entries: DataFrame) -> DataFrame:
     """``(node, hub)``: each member of a list with the member that stays in most shared lists.
 
@@ -249,10 +287,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     The edges connect exactly the classes that links connect.
     """
     rows = cut(sketch(docs, id_col, text_col, percent, words))
-    named = cut(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("node")))
-    leaders = rows.join(named.select("node"), F.col("row") == F.col("node"))
+    named = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("node"), F.min("leave").alias("leave"))  # equal sets leave alike
+    named = cut(named)
+    leaders = rows.filter(F.size("light") > 0).select("row", "n", "light").join(named.select("node"), F.col("row") == F.col("node"))
     light = _stars(leaders.select(F.explode("light").alias("key"), "node", "n"))
-    pairs = cut(_hub_pairs(leaders.select(F.explode("heavy").alias("key"), "node", "leave").selectExpr("key", "node", "leave[pmod(key, 2)] AS leave")))
+    entries = rows.select(F.explode("heavy").alias("key"), "s1").repartition("key").sortWithinPartitions("key", "s1")
+    entries = entries.mapInArrow(_shared, "key long, s1 long").join(named.select("s1", "node", "leave"), "s1")
+    entries = cut(entries.selectExpr("key", "node", "leave[pmod(key, 2)] AS leave"))
+    pairs = cut(_hub_pairs(entries))
+    named = named.drop("leave")
 
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(named, "node")
     wanted = cut(wanted)

@@ -32,8 +32,7 @@ def vocabulary() -> str:
 
 @query()
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
-    return bpe.decode(ids, vocabulary()).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), decoded="decoded").select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
