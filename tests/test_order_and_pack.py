@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from veritab.operators import first as O, guards as G, pack as P
@@ -23,6 +25,22 @@ def test_positions_with_a_hot_key_sparse_ordinals_and_nulls(spark):
     assert len(firsts) == 4
 
 
+def test_buckets_are_even_however_ordinals_are_spread(spark):
+    """Most ids from 0 on, some a billion further, some beyond 2^53: no bucket gets long and none merge."""
+    rows = [("hot", k) for k in range(6000)] + [("hot", 10**9 + k) for k in range(600)] + [("hot", 2**60 + k) for k in range(64)] + [("cold", k) for k in range(50)] + [("hot", None)] * 3
+    df = spark.createDataFrame(rows, "k string, ord long").repartition(5)
+    hot, most = O._hot_keys(df, ["k"], 100)
+    assert [r.k for r in hot.collect()] == ["hot"] and most == 6667
+    sizes = [r["count"] for r in O._in_buckets(df, ["k"], "ord", hot, most, 100).groupBy("_b").count().collect()]
+    assert sum(sizes) == 6667 and max(sizes) <= 200
+    got = O.with_position(df, ["k"], "ord", width=100).collect()
+    ords = sorted(o for k, o in rows if k == "hot" and o is not None)
+    assert {r.ord: r.pos for r in got if r.k == "hot" and r.ord is not None} == {o: i + 1 for i, o in enumerate(ords)}
+    assert sorted(r.pos for r in got if r.k == "hot" and r.ord is None) == [6665, 6666, 6667]
+    before = {r.ord: r.before for r in O.previous_value(df.filter("ord is not null"), ["k"], "ord", "before", width=100).filter("k = 'hot'").collect()}
+    assert before == {o: ords[i - 1] if i else None for i, o in enumerate(ords)}
+
+
 def fill(lengths, total, per_file):
     """Fair shares, one file at a time."""
     n = len(lengths)
@@ -73,17 +91,19 @@ def test_budget_fits_target(spark):
     assert int((fitted.total + 120000) * 0.65) <= target and fitted.total > 150000
 
 
-def test_borrowed_rows_match_pairwise_definition(spark):
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_borrowed_rows_match_pairwise_definition(spark, few):
+    """With ``few`` 0 every record walks the prefix tree, with 64 hardly one does."""
     rng = random.Random(3)
     rows, links = [], []
     for sheet in ("s1", "s2"):
         for r in range(60):
-            vals = {k: rng.choice(["", "1", "2"]) for k in ("a", "b", "c")}
+            vals = {k: rng.choice(["", "", "1", "2"]) for k in ("a", "b", "c", "d")}
             rows.append(("w", sheet, r, vals))
             links += [("w", sheet, r, f, 0) for f in {rng.choice(["hot", "hot", "x", "y"]) for _ in range(rng.randrange(3))}]
     got = G.borrowed_rows(
         spark.createDataFrame(links, "wb string, sheet string, row int, name string, place int"),
-        spark.createDataFrame(rows, "wb string, sheet string, row int, vals map<string,string>"),
+        spark.createDataFrame(rows, "wb string, sheet string, row int, vals map<string,string>"), few,
     )
     filled = {(s, r): {k: v for k, v in vals.items() if v} for _, s, r, vals in rows}
     uses = {}

@@ -7,15 +7,17 @@ Links are a long table (one row per linked file), so no group is ever gathered w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veritab.functions.text import blank_to_empty, short_item, strip
 from veritab.operators.first import keep_first, mark_first, with_position
 from veritab.operators.judge import BLANK, BY_MODEL, FAIL, PASS, UNDETERMINED
+from veritab.session import materialize
 
 SHEET = ["wb", "sheet"]
 ROW = [*SHEET, "row"]
 BATCH_ROWS = 8
+FEW = 64  # records of one value that a record is compared with
 
 # Words of the answers.
 NO_FILE = "없음"
@@ -160,13 +162,46 @@ def prefix_provenance(judged: DataFrame) -> DataFrame:
 
 # --- across batches -----------------------------------------------------------------------
 
-def borrowed_rows(row_links: DataFrame, claim_values: DataFrame) -> DataFrame:
+def _with_supersets(records: DataFrame, at: list[str], few: int) -> DataFrame:
+    """``(*at, held, larger_row)``: of each record with values the least ``first_row`` of those that hold all of them and more.
+
+    Values are ordered by how often they occur in a file, rarest first. A record whose rarest value is in at most
+    ``few`` records looks at these. The others form a prefix tree, a few levels of values that are
+    all frequent; every record walks down the branches that its own values spell, one join a level, and the
+    nodes where a record of the tree ends keep the least row that arrives. A record meets at most the
+    prefixes that it holds, never the other records of a value.
+    """
+    held = records.filter("size(held) > 0")
+    single = held.select(*at, "held", "first_row", F.explode("held").alias("one"))
+    count = single.groupBy(*at, "one").agg(F.count(F.lit(1)).alias("n"))
+    ranked = single.join(count, [*at, "one"]).groupBy(*at, "held", "first_row").agg(F.array_sort(F.collect_list(F.struct("n", "one"))).alias("by"))  # as long as a row has columns
+    ranked = materialize(ranked)
+    light = ranked.filter(c("by")[0]["n"] <= few).select(*at, "held", c("by")[0]["one"].alias("one"))
+    larger = single.select(*at, "one", c("held").alias("more"), c("first_row").alias("larger_row"))
+    holds = (F.size("more") > F.size("held")) & (F.size(F.array_except("held", "more")) == 0)
+    found = light.join(larger, [*at, "one"]).filter(holds).groupBy(*at, "held").agg(F.min("larger_row").alias("larger_row"))
+
+    word = lambda x: x["one"]
+    tree = ranked.filter(c("by")[0]["n"] > few).select(*at, "held", F.transform("by", word).alias("path"))
+    longest = tree.agg(F.max(F.size("path"))).first()[0] or 0
+    spelled = F.transform("by", word)
+    walk = ranked.select(*at, "first_row", F.array().cast(ranked.select(spelled.alias("x")).schema["x"].dataType).alias("node"), spelled.alias("left"), F.size("by").alias("size"))
+    for level in range(1, longest + 1):
+        nodes = tree.filter(F.size("path") >= level).select(*at, F.slice("path", 1, level).alias("node")).distinct()
+        steps = walk.select(*at, "first_row", "size", "node", "left", F.posexplode("left").alias("i", "next"))
+        steps = steps.select(*at, "first_row", "size", F.concat("node", F.array("next")).alias("node"), F.slice("left", c("i") + 2, F.size("left")).alias("left"))
+        walk = materialize(steps.join(nodes, [*at, "node"], "left_semi"))
+        ended = tree.filter(F.size("path") == level).select(*at, "held", c("path").alias("node"))
+        arrived = walk.filter(c("size") > level).groupBy(*at, "node").agg(F.min("first_row").alias("larger_row"))
+        found = found.unionByName(ended.join(arrived, [*at, "node"]).select(*at, "held", "larger_row"))
+    return found
+
+
+def borrowed_rows(row_links: DataFrame, claim_values: DataFrame, few: int = FEW) -> DataFrame:
     """Rows whose filled values are all found, with more, in a row that shares a file.
 
     ``claim_values``: (wb, sheet, row, vals map). Rows of a file with equal values are one
-    record. A record looks only at those that hold the rarest of its own values in that
-    file, and its other values are checked on these; so work follows how often values
-    repeat, neither the pairs of rows nor the sets of filled columns.
+    record; which records contain others is a join over their values, see ``_with_supersets``.
     """
     at = [*SHEET, "name"]
     filled = F.transform(
@@ -175,12 +210,7 @@ def borrowed_rows(row_links: DataFrame, claim_values: DataFrame) -> DataFrame:
     )
     using = claim_values.select(*ROW, filled.alias("held")).join(row_links.select(*ROW, "name").distinct(), ROW)
     records = using.groupBy(*at, "held").agg(F.min("row").alias("first_row"))
-    single = records.select(*at, "held", "first_row", F.explode("held").alias("one"))
-    count = single.groupBy(*at, "one").agg(F.count(F.lit(1)).alias("n"))
-    rarest = single.join(count, [*at, "one"]).groupBy(*at, "held").agg(F.min(F.struct("n", "one"))["one"].alias("one"))
-    larger = single.select(*at, "one", c("held").alias("more"), c("first_row").alias("larger_row"))
-    holds = (F.size("more") > F.size("held")) & (F.size(F.array_except("held", "more")) == 0)
-    found = rarest.filter("size(held) > 0").join(larger, [*at, "one"]).filter(holds).groupBy(*at, "held").agg(F.min("larger_row").alias("larger_row"))
+    found = _with_supersets(records, at, few)
     # a row without values is part of every row with some
     empty = records.filter("size(held) > 0").groupBy(*at).agg(F.min("first_row").alias("larger_row")).withColumn("held", F.array().cast(records.schema["held"].dataType))
     told = found.unionByName(empty)
