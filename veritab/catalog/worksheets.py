@@ -28,9 +28,9 @@ def loose(x: str) -> str:
 _EITHER = lambda a, b: f"(contains({a}, {b}) OR contains({b}, {a}))"
 
 # Header facts are the same for every derived sheet, but each step below computes them.
-STEPS = f"""counts AS (SELECT wb, sheet, row, count(*) FILTER (pattern = 'solid' AND upper(fill_rgb) IN ('FFFCE4D6', 'FCE4D6', '00FCE4D6')) AS np,
-                    count(*) FILTER (value <> '') AS nf FROM {{cells}} WHERE row <= 30 GROUP BY ALL),
-heads AS (SELECT wb, sheet, CASE WHEN max(np) > 0 THEN arg_max(row, np * 1000 - row) ELSE arg_max(row, nf * 1000 - row) END AS head_row FROM counts GROUP BY ALL),
+STEPS = f"""counts AS (SELECT wb, sheet, row, count(*) FILTER (row <= 30 AND pattern = 'solid' AND upper(fill_rgb) IN ('FFFCE4D6', 'FCE4D6', '00FCE4D6')) AS np,
+                    count(*) FILTER (row <= 30 AND value <> '') AS nf FROM {{cells}} GROUP BY ALL),
+heads AS (SELECT wb, sheet, CASE WHEN max(np) > 0 THEN arg_max(row, np * 1000 - row) WHEN max(nf) > 0 THEN arg_max(row, nf * 1000 - row) ELSE 1 END AS head_row FROM counts GROUP BY ALL),
 head AS (SELECT c.wb, c.sheet, c.row, c.col, c.value, c.pattern = 'solid' AS painted FROM {{cells}} c JOIN heads h ON h.wb = c.wb AND h.sheet = c.sheet AND h.head_row = c.row),
 checks AS (SELECT wb, sheet, header, min(col) AS col FROM (
     SELECT *, last_value(nullif(trim(value), '') IGNORE NULLS) OVER (PARTITION BY wb, sheet ORDER BY col ROWS UNBOUNDED PRECEDING) AS header FROM head) x
@@ -49,10 +49,10 @@ names AS (SELECT wb, sheet, item_no, item, generate_subscripts(l, 1) AS i, unnes
 same AS (SELECT n.*, h.key, h.header FROM names n JOIN headers h ON h.wb = n.wb AND h.sheet = n.sheet AND h.key = {nk('n.alias')} QUALIFY row_number() OVER (PARTITION BY n.wb, n.sheet, n.item_no ORDER BY i) = 1),
 near AS (SELECT n.*, h.key, h.header, h.col, count(*) OVER (PARTITION BY n.wb, n.sheet, n.item_no, n.i) AS n_hits FROM names n JOIN headers h ON h.wb = n.wb AND h.sheet = n.sheet AND {_EITHER('h.key', nk('n.alias'))}),
 uniq AS (SELECT * FROM near WHERE n_hits = 1 QUALIFY row_number() OVER (PARTITION BY wb, sheet, item_no ORDER BY i) = 1),
-many AS (SELECT wb, sheet, item_no, array_to_string(list_slice(list(header ORDER BY col), 1, 4), ' · ') AS shown FROM (
+many AS (SELECT wb, sheet, item_no, array_to_string(list(header ORDER BY col), ' · ') AS shown, count(*) AS n_many FROM (
    SELECT *, min(i) OVER (PARTITION BY wb, sheet, item_no) AS i0 FROM near WHERE n_hits > 1) x WHERE i = i0 GROUP BY ALL),
 resolved AS (SELECT n.wb, n.sheet, n.item_no, n.item, n.rep, CASE WHEN s.key IS NOT NULL THEN 'exact' WHEN u.key IS NOT NULL THEN 'similar' WHEN m.shown IS NOT NULL THEN 'ambiguous' ELSE 'not found' END AS how,
-   coalesce(s.key, u.key) AS key, coalesce(s.header, u.header, m.shown, '') AS found
+   coalesce(s.key, u.key) AS key, coalesce(s.header, u.header, m.shown, '') AS found, CASE WHEN coalesce(s.key, u.key) IS NOT NULL THEN 1 ELSE coalesce(m.n_many, 0) END AS n_found
   FROM (SELECT DISTINCT wb, sheet, item_no, item, rep FROM names) n LEFT JOIN same s USING (wb, sheet, item_no) LEFT JOIN uniq u USING (wb, sheet, item_no) LEFT JOIN many m USING (wb, sheet, item_no)),
 colmap AS (SELECT * FROM resolved r WHERE NOT EXISTS (SELECT 1 FROM resolved p WHERE p.wb = r.wb AND p.sheet = r.sheet AND p.rep = r.rep AND p.key IS NOT NULL AND p.item_no < r.item_no)),
 mapped AS (SELECT m.wb, m.sheet, m.rep, v.col, count(*) OVER (PARTITION BY m.wb, m.sheet, m.rep) AS n_cols FROM colmap m JOIN covered v ON v.wb = m.wb AND v.sheet = m.sheet AND v.key = m.key),
@@ -134,6 +134,12 @@ def h05(t):
     return H.header_rows(t.cells)
 
 
+@query("h05_missing_headers", """SELECT wb, sheet, cast(min(row) FILTER (value <> '' OR pattern = 'solid') as bigint) AS first_row FROM {cells}
+GROUP BY wb, sheet HAVING count(*) FILTER (row <= 30 AND (value <> '' OR pattern = 'solid')) = 0""")
+def h05_missing(t):
+    return H.missing_headers(t.cells)
+
+
 @query("h06_check_columns", steps("SELECT wb, sheet, header, col FROM checks"))
 def h06(t):
     return checks(t)
@@ -154,14 +160,14 @@ def h09(t):
     return resolved(t).filter(c("how") == H.EXACT).select(*SHEET, "item_no", "found")
 
 
-@query("h10_containing_columns", steps("SELECT wb, sheet, item_no, how, found FROM resolved WHERE how <> 'exact'"))
+@query("h10_containing_columns", steps("SELECT wb, sheet, item_no, how, found, n_found FROM resolved WHERE how <> 'exact'"))
 def h10(t):
-    return resolved(t).filter(c("how") != H.EXACT).select(*SHEET, "item_no", "how", "found")
+    return resolved(t).filter(c("how") != H.EXACT).select(*SHEET, "item_no", "how", "found", "n_found")
 
 
-@query("h11_column_map", steps("SELECT wb, sheet, item_no, rep, how, found FROM colmap"))
+@query("h11_column_map", steps("SELECT wb, sheet, item_no, rep, how, found, n_found FROM colmap"))
 def h11(t):
-    return colmap(t).select(*SHEET, "item_no", "rep", "how", "found")
+    return colmap(t).select(*SHEET, "item_no", "rep", "how", "found", "n_found")
 
 
 @query("h12_resolution_counts", steps("""SELECT wb, sheet, count(*) FILTER (how = 'exact') AS exact, count(*) FILTER (how = 'similar') AS similar,

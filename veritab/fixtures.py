@@ -355,6 +355,7 @@ SELECT wb, sheet, CASE WHEN slot <= 20 THEN row WHEN slot < 39 THEN 4 ELSE slot
        CASE WHEN slot - 20 IN {_CHECKED} THEN 'solid' ELSE '' END AS pattern
 FROM (SELECT *, CASE slot {_slot_value} ELSE '' END AS value FROM (SELECT *, EACH(1, 40) AS slot FROM {{sheet_parts}}) x) y
 WHERE (slot <= 20 OR i = 0) AND (value <> '' OR slot - 20 IN {_CHECKED})
+UNION ALL SELECT wb, '머리글 없음' AS sheet, 31 + i AS row, 2 AS col, p_name AS value, '' AS fill_rgb, '' AS pattern FROM {{sheet_parts}} WHERE i < 5 AND s % 4 = 0
 """
 TABLES["merges"] = """
 SELECT wb, sheet, min(row) AS r1, max(row) AS r2, 3 AS c1, 3 AS c2 FROM {sheet_parts} WHERE i < 39

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from veritab.functions.text import DIGITS_ONLY, loose_sheet_key, name_key, strip, unnumbered_key
 from veritab.operators.first import keep_first, previous_value
+from veritab.session import materialize
 
 SHEET = ["wb", "sheet"]
-HEAD_SCAN, BLANK_RUN = 30, 20
+HEAD_SCAN, BLANK_RUN = 30, 20  # defaults of the arguments ``depth`` and ``run``
+PIECE = 4096
 # The check colour, and headers that are never compared.
 CHECK_COLOURS = ["FFFCE4D6", "FCE4D6", "00FCE4D6"]
 SIDE_HEADERS = ["번호", "연번", "순번", "no", "차년도", "분야", "학교", "비고", "학교 의견", "차수", "구분"]
@@ -29,49 +31,68 @@ filled = lambda: F.coalesce(c("value"), F.lit("")) != ""
 
 # --- sheets -------------------------------------------------------------------------------
 
-def _titles_per_book(titles: DataFrame, key) -> DataFrame:
-    """The sheet list of a workbook as one array in sheet order."""
-    return titles.groupBy("wb").agg(
+def _books(targets: DataFrame, titles: DataFrame, key) -> DataFrame:
+    """A workbook's wanted names and its sheet list in sheet order, in one record: a book has a few hundred sheets at most."""
+    listed = titles.groupBy("wb").agg(
         F.array_sort(F.collect_list(F.struct("ord", "title", key(c("title")).alias("k"), unnumbered_key(c("title")).alias("u")))).alias("titles")
     )
+    wanted = targets.groupBy("wb").agg(F.collect_list(F.struct("name", key(c("name")).alias("k"), unnumbered_key(c("name")).alias("u"))).alias("wanted"))
+    return wanted.join(listed, "wb")
+
+
+def _found_titles(books: DataFrame, title) -> DataFrame:
+    """``title`` of each wanted name, found within the book's record."""
+    found = F.transform("wanted", lambda w: F.struct(w["name"].alias("name"), title(w).alias("title")))
+    return books.select("wb", F.explode(found).alias("x")).select("wb", "x.name", "x.title")
 
 
 def resolve_sheet(targets: DataFrame, titles: DataFrame) -> DataFrame:
     """Exact key, else the only sheet with that name unnumbered, else the only one containing it."""
-    both = targets.join(_titles_per_book(titles, name_key), "wb").withColumns({"k": name_key(c("name")), "u": unnumbered_key(c("name"))})
-    exact = F.filter("titles", lambda t: t["k"] == c("k"))
-    plain = F.filter("titles", lambda t: t["u"] == c("u"))
-    near = F.filter("titles", lambda t: (c("u") != "") & contains_either(t["u"], c("u")))
-    only = lambda ts: F.when(F.size(ts) == 1, F.try_element_at(ts, F.lit(1))["title"])
-    return both.select("wb", "name", F.coalesce(F.try_element_at(exact, F.lit(1))["title"], only(plain), only(near)).alias("title"))
+    first = lambda keep: F.get(F.filter("titles", keep), F.lit(0))["title"]
+    only = lambda keep: F.when(F.size(F.filter("titles", keep)) == 1, first(keep))
+    return _found_titles(_books(targets, titles, name_key), lambda w: F.coalesce(
+        first(lambda t: t["k"] == w["k"]), only(lambda t: t["u"] == w["u"]),
+        only(lambda t: (w["u"] != "") & contains_either(t["u"], w["u"])),
+    ))
 
 
 def resolve_sheet_loosely(targets: DataFrame, titles: DataFrame) -> DataFrame:
     """Write side: same text, else same loose key, else the first containing one."""
-    both = targets.join(_titles_per_book(titles, loose_sheet_key), "wb").withColumn("k", loose_sheet_key(c("name")))
-    first = lambda keep: F.try_element_at(F.filter("titles", keep), F.lit(1))["title"]
-    return both.select("wb", "name", F.coalesce(
-        first(lambda t: t["title"] == c("name")), first(lambda t: t["k"] == c("k")),
-        first(lambda t: (c("k") != "") & contains_either(t["k"], c("k"))),
-    ).alias("title"))
+    first = lambda keep: F.get(F.filter("titles", keep), F.lit(0))["title"]
+    return _found_titles(_books(targets, titles, loose_sheet_key), lambda w: F.coalesce(
+        first(lambda t: t["title"] == w["name"]), first(lambda t: t["k"] == w["k"]),
+        first(lambda t: (w["k"] != "") & contains_either(t["k"], w["k"])),
+    ))
 
 
 # --- header row ---------------------------------------------------------------------------
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """The row with most check-coloured cells near the top, else with most text."""
-    counts = cells.filter(c("row") <= HEAD_SCAN).groupBy(*SHEET, "row").agg(
-        F.count_if(painted()).alias("n_painted"), F.count_if(filled()).alias("n_filled")
+def _top_rows(cells: DataFrame, depth: int) -> DataFrame:
+    """Painted and filled cells of each of the first ``depth`` rows; the rows below count as one without any, so no sheet is missing."""
+    top = c("row") <= depth
+    return cells.groupBy(*SHEET, F.least("row", F.lit(depth + 1)).cast("bigint").alias("row")).agg(
+        F.count_if(top & painted()).alias("n_painted"), F.count_if(top & filled()).alias("n_filled")
     )
-    best = counts.groupBy(*SHEET).agg(
+
+
+def header_rows(cells: DataFrame, depth: int = HEAD_SCAN) -> DataFrame:
+    """The row with most check-coloured cells near the top, else with most text, else the first."""
+    best = _top_rows(cells, depth).groupBy(*SHEET).agg(
         F.max(F.struct("n_painted", (-c("row")).alias("at"))).alias("p"), F.max(F.struct("n_filled", (-c("row")).alias("at"))).alias("t")
     )
     row = F.when(c("p.n_painted") > 0, -c("p.at")).when(c("t.n_filled") > 0, -c("t.at")).otherwise(1)
     return best.select(*SHEET, row.cast("bigint").alias("head_row"))
 
 
-def header_cells(cells: DataFrame) -> DataFrame:
-    heads = header_rows(cells).withColumnRenamed("head_row", "row")
+def missing_headers(cells: DataFrame, depth: int = HEAD_SCAN) -> DataFrame:
+    """Sheets whose first ``depth`` rows hold neither text nor colour, with the first row that has some."""
+    empty = _top_rows(cells, depth).groupBy(*SHEET).agg(F.max(F.greatest("n_painted", "n_filled")).alias("n")).filter("n = 0").select(*SHEET)
+    first = cells.filter(filled() | painted()).groupBy(*SHEET).agg(F.min("row").cast("bigint").alias("first_row"))
+    return empty.join(first, SHEET, "left")
+
+
+def header_cells(cells: DataFrame, depth: int = HEAD_SCAN) -> DataFrame:
+    heads = header_rows(cells, depth).withColumnRenamed("head_row", "row")
     return cells.join(heads, [*SHEET, "row"]).select(*SHEET, "row", "col", F.coalesce("value", F.lit("")).alias("value"), painted().alias("painted"))
 
 
@@ -82,22 +103,34 @@ def check_columns(head: DataFrame) -> DataFrame:
     return keep_first(named.select(*SHEET, "header", "col"), [*SHEET, "header"], ["col"])
 
 
-def data_headers(cells: DataFrame, merges: DataFrame) -> DataFrame:
+def _spans_at(head: DataFrame, merges: DataFrame) -> DataFrame:
+    """Header cells with the merge ``(c1, c2)`` they lie in, null for none.
+
+    Merges that cross the header row and its cells are one stream by column; the widest merge begun
+    so far is carried along it, so nothing is unrolled. A row has at most 16,384 columns.
+    """
+    crossing = merges.join(head.select(*SHEET, "row").distinct(), SHEET).filter("row between r1 and r2")
+    begun = crossing.select(*SHEET, c("c1").alias("col"), F.lit(0).alias("kind"), F.struct(c("c2").alias("to"), c("c1").alias("from")).alias("span"))
+    here = head.select(*SHEET, "col", F.lit(1).alias("kind"), F.lit(None).cast(begun.schema["span"].dataType).alias("span"), "row", "value", "painted")
+    widest = F.max("span").over(Window.partitionBy(*SHEET).orderBy("col", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    swept = here.unionByName(begun, allowMissingColumns=True).withColumn("open", widest).filter("kind = 1")
+    inside = c("open.to") >= c("col")
+    return swept.select(*SHEET, "row", "col", "value", "painted", F.when(inside, c("open.from")).alias("c1"), F.when(inside, c("open.to")).alias("c2"))
+
+
+def data_headers(cells: DataFrame, merges: DataFrame, depth: int = HEAD_SCAN) -> DataFrame:
     """Headers that are not check columns, with the columns each one covers.
 
     A merged header covers its merge and spills right over blank headers up to the next
     header or check column; a single cell never spreads. The leftmost of equals wins.
     """
-    head = header_cells(cells)
+    head = header_cells(cells, depth)
     frame = head.groupBy(*SHEET).agg(
         F.array_sort(F.collect_list(F.when(c("painted") | (c("value") != ""), c("col")))).alias("stops"),
-        F.collect_list(F.when(c("painted"), c("col"))).alias("checks"), F.first("row").alias("head_row"),
+        F.collect_list(F.when(c("painted"), c("col"))).alias("checks"),
     ).join(cells.groupBy(*SHEET).agg(F.max("col").alias("last_col")), SHEET)
-    spans = merges.join(frame.select(*SHEET, "head_row"), SHEET).filter("head_row between r1 and r2").select(
-        *SHEET, "c1", "c2", F.explode(F.sequence("c1", "c2")).alias("col")
-    )
     wide = (
-        head.filter(~c("painted") & (c("value") != "")).join(spans, [*SHEET, "col"], "left").join(frame.drop("head_row"), SHEET)
+        _spans_at(head, merges).filter(~c("painted") & (c("value") != "")).join(frame, SHEET)
         .withColumns({"left": F.coalesce("c1", "col"), "right": F.coalesce("c2", "col")})
     )
     after = F.array_min(F.filter("stops", lambda s: s > c("right")))
@@ -115,27 +148,33 @@ def data_headers(cells: DataFrame, merges: DataFrame) -> DataFrame:
 def resolve_columns(items: DataFrame, headers: DataFrame) -> DataFrame:
     """For each item's names: exact header, else the only containing one, else why not.
 
-    ``items``: (wb, sheet, item_no, item, names). Matching runs inside one record per
-    item against its sheet's header list, so no name-header pairs are ever shuffled.
+    ``items``: (wb, sheet, item_no, item, names). A sheet's items and its headers are one record
+    (at most 16,384 columns), in which all names are matched: no pair of name and header and no
+    copy of a header list is ever a row. ``found`` of an ambiguous item names all of its
+    ``n_found`` candidates in order.
     """
     per_sheet = headers.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("col", "key", "header", "cols"))).alias("headers"))
-    flat = items.filter(F.size("names") > 0).join(per_sheet, SHEET, "left").select(*items.columns, "headers", F.posexplode("names").alias("i", "alias")).withColumn("k", name_key(c("alias")))
-    tried = flat.withColumns({
-        "same": F.filter("headers", lambda h: h["key"] == c("k")),
-        "near": F.filter("headers", lambda h: (c("k") != "") & contains_either(h["key"], c("k"))),
-    }).drop("headers")
-    n_same, n_near = F.size("same"), F.size("near")
-    best = tried.groupBy(*SHEET, "item_no").agg(
-        F.min_by("same", F.when(n_same > 0, c("i"))).alias("same"),
-        F.min_by("near", F.when(n_near == 1, c("i"))).alias("near"),
-        F.min_by("near", F.when(n_near > 1, c("i"))).alias("many"),
-    )
-    hit = F.coalesce(F.try_element_at("same", F.lit(1)), F.try_element_at("near", F.lit(1)))
-    shown = F.array_join(F.transform(F.slice("many", 1, 4), lambda h: h["header"]), " · ")
+    flat = items.select(*SHEET, "item_no", "item", F.posexplode("names").alias("i", "alias")).withColumn("k", name_key(c("alias")))
+    tried_names = flat.groupBy(*SHEET, "item_no", "item").agg(F.array_sort(F.collect_list(F.struct("i", "alias", "k"))).alias("names"))
+    asked = tried_names.groupBy(*SHEET).agg(F.collect_list(F.struct("item_no", "item", "names")).alias("asked"))
+    both = asked.join(per_sheet, SHEET, "left").withColumn("headers", F.coalesce("headers", F.array().cast(per_sheet.schema["headers"].dataType)))
+    first = lambda tried, keep: F.get(F.filter(tried, keep), F.lit(0))
+
+    def tried(item):
+        same = F.transform(item["names"], lambda n: F.filter("headers", lambda h: h["key"] == n["k"]))
+        near = F.transform(item["names"], lambda n: F.filter("headers", lambda h: (n["k"] != "") & contains_either(h["key"], n["k"])))
+        return F.struct(
+            item["item_no"].alias("item_no"), item["item"].alias("item"), F.get(item["names"], F.lit(0))["alias"].alias("rep"),
+            first(same, lambda hs: F.size(hs) > 0).alias("same"), first(near, lambda hs: F.size(hs) == 1).alias("near"), first(near, lambda hs: F.size(hs) > 1).alias("many"),
+        )
+
+    best = both.select(*SHEET, F.explode(F.transform("asked", tried)).alias("x")).select(*SHEET, "x.*")
+    hit = F.coalesce(F.get("same", F.lit(0)), F.get("near", F.lit(0)))
+    shown = F.array_join(F.transform("many", lambda h: h["header"]), " · ")
     how = F.when(c("same").isNotNull(), EXACT).when(c("near").isNotNull(), SIMILAR).when(c("many").isNotNull(), AMBIGUOUS).otherwise(NOT_FOUND)
-    return items.join(best, [*SHEET, "item_no"]).select(
-        *SHEET, "item_no", "item", F.try_element_at("names", F.lit(1)).alias("rep"), how.alias("how"),
-        hit["cols"].alias("cols"), F.coalesce(hit["header"], shown, F.lit("")).alias("found"),
+    return best.select(
+        *SHEET, "item_no", "item", "rep", how.alias("how"), hit["cols"].alias("cols"), F.coalesce(hit["header"], shown, F.lit("")).alias("found"),
+        F.when(hit.isNotNull(), 1).otherwise(F.coalesce(F.size("many"), F.lit(0))).cast("bigint").alias("n_found"),
     )
 
 
@@ -164,33 +203,45 @@ def orphan_headers(headers: DataFrame, colmap: DataFrame) -> DataFrame:
 
 
 def place_items(items: DataFrame, checks: DataFrame) -> DataFrame:
-    """Check column of each rule item: same key, else the only containing one, else null."""
+    """Check column of each rule item: same key, else the only containing one, else null; matched in one record a sheet."""
     keyed = checks.groupBy(*SHEET, name_key(c("header")).alias("key")).agg(F.max("col").alias("col"))  # equal keys: the later header stands
     per_sheet = keyed.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("col", "key"))).alias("checks"))
-    tried = items.join(per_sheet, SHEET, "left").withColumn("k", name_key(c("item")))
-    same = F.filter("checks", lambda h: h["key"] == c("k"))
-    near = F.filter("checks", lambda h: (c("k") != "") & contains_either(h["key"], c("k")))
-    last_same = F.try_element_at(same, F.lit(-1))["col"]
-    return tried.select(
-        *SHEET, "item_no", "item", F.coalesce(last_same, F.when(F.size(near) == 1, F.try_element_at(near, F.lit(1))["col"])).alias("col")
-    )
+    asked = items.groupBy(*SHEET).agg(F.collect_list(F.struct("item_no", "item", name_key(c("item")).alias("k"))).alias("asked"))
+
+    def placed(item):
+        same = F.filter("checks", lambda h: h["key"] == item["k"])
+        near = F.filter("checks", lambda h: (item["k"] != "") & contains_either(h["key"], item["k"]))
+        col = F.coalesce(F.try_element_at(same, F.lit(-1))["col"], F.when(F.size(near) == 1, F.get(near, F.lit(0))["col"]))
+        return F.struct(item["item_no"].alias("item_no"), item["item"].alias("item"), col.alias("col"))
+
+    return asked.join(per_sheet, SHEET, "left").select(*SHEET, F.explode(F.transform("asked", placed)).alias("x")).select(*SHEET, "x.*")
 
 
 # --- claim rows -----------------------------------------------------------------------------
 
 def merged_values(cells: DataFrame, merges: DataFrame, columns: DataFrame, heads: DataFrame) -> DataFrame:
-    """What single-column names inherit inside a merge: one row per covered cell."""
-    single = columns.filter("n_cols = 1").select(*SHEET, "col", "rep")
-    covering = merges.select(*SHEET, "r1", "r2", "c1", F.explode(F.sequence("c1", "c2")).alias("col")).join(single, [*SHEET, "col"]).join(heads, SHEET)
-    corner = cells.filter(filled()).select(*SHEET, c("row").alias("r1"), c("col").alias("c1"), "value")
-    return covering.filter(c("r2") > c("head_row")).join(corner, [*SHEET, "r1", "c1"]).select(
-        *SHEET, F.explode(F.sequence(F.greatest("r1", c("head_row") + 1), "r2")).alias("row"), "rep", strip(c("value")).alias("inherited")
-    )
+    """What single-column names inherit inside a merge: one row for each covered claim row.
 
-
-def read_values(cells: DataFrame, merges: DataFrame, colmap: DataFrame) -> DataFrame:
+    The columns of a merge are compared with the few that a sheet's rules name, in the merge's record.
+    Its rows end at the sheet's last filled row, so a merge down to the end of a
+    worksheet adds none below it; what is left is dealt in pieces of ``PIECE`` rows.
+    """
+    named = columns.filter("n_cols = 1").groupBy(*SHEET).agg(F.collect_list(F.struct("col", "rep")).alias("named"))
+    last = cells.filter(filled()).groupBy(*SHEET).agg(F.max("row").alias("last_row"))
+    under = merges.join(heads.join(named, SHEET).join(last, SHEET), SHEET).withColumns({
+        "first": F.greatest("r1", c("head_row") + 1), "end": F.least("r2", "last_row"),
+        "named": F.filter("named", lambda x: x["col"].between(c("c1"), c("c2"))),
+    }).filter((F.size("named") > 0) & (c("first") <= c("end")))
+    corner = cells.filter(filled()).select(*SHEET, c("row").alias("r1"), c("col").alias("c1"), strip(c("value")).alias("inherited"))
+    pieces = under.join(corner, [*SHEET, "r1", "c1"]).select(*SHEET, "named", "end", "inherited", F.explode(F.sequence("first", "end", F.lit(PIECE).cast("bigint"))).alias("from"))
+    if_long = pieces.repartition(*SHEET, "from")
+    rows = if_long.select(*SHEET, "named", "inherited", F.explode(F.sequence("from", F.least(c("from") + PIECE - 1, c("end")))).alias("row"))
+    return rows.select(*SHEET, "row", F.explode("named.rep").alias("rep"), "inherited")
+
+
+def read_values(cells: DataFrame, merges: DataFrame, colmap: DataFrame, depth: int = HEAD_SCAN) -> DataFrame:
     """Long claims: (wb, sheet, row, rep, text, inherited) before the blank-run stop."""
-    heads, columns = header_rows(cells), mapped_columns(colmap)
+    heads, columns = materialize(header_rows(cells, depth)), mapped_columns(colmap)
     own = (
         cells.filter(filled()).join(heads, SHEET).filter(c("row") > c("head_row"))
         .join(columns.select(*SHEET, "col", "rep", "place"), [*SHEET, "col"])
@@ -204,10 +255,10 @@ def read_values(cells: DataFrame, merges: DataFrame, colmap: DataFrame) -> DataF
     ).filter(c("text") != "")
 
 
-def end_rows(values: DataFrame, heads: DataFrame) -> DataFrame:
-    """Last claim row of each sheet: the one before the first run of 20 empty rows."""
+def end_rows(values: DataFrame, heads: DataFrame, run: int = BLANK_RUN) -> DataFrame:
+    """Last claim row of each sheet: the one before the first run of ``run`` empty rows."""
     kept = values.select(*SHEET, c("row").cast("bigint").alias("row")).unionByName(heads.select(*SHEET, c("head_row").alias("row"))).distinct()
-    gaps = previous_value(kept, SHEET, "row", "before").filter(c("row") - c("before") > BLANK_RUN)
+    gaps = previous_value(kept, SHEET, "row", "before").filter(c("row") - c("before") > run)
     first_gap = gaps.groupBy(*SHEET).agg(F.min("before").alias("last_row"))
     last = kept.groupBy(*SHEET).agg(F.max("row").alias("max_row"))
     return last.join(first_gap, SHEET, "left").select(*SHEET, F.coalesce("last_row", "max_row").alias("last_row"))
