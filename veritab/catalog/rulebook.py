@@ -70,13 +70,17 @@ def s01(t):
 
 
 @query("s02_alias_scan", f"""WITH {ALIASES}
-SELECT wb, ord, 'alias' AS kind, rep, string_agg(alias, '|' ORDER BY i) AS names FROM alias_kept GROUP BY wb, ord, rep
-UNION ALL SELECT DISTINCT wb, ord, 'fault', rep, '' FROM alias_first a
-WHERE ord > (SELECT min(ord) FROM alias_first b WHERE b.wb = a.wb AND b.rep_key = a.rep_key)""")
+SELECT wb, ord + 3 AS ord, 'alias' AS kind, rep, string_agg(alias, '|' ORDER BY i) AS names FROM alias_kept WHERE wb NOT IN ('W3', 'W17') GROUP BY wb, ord, rep
+UNION ALL SELECT DISTINCT wb, ord + 3, 'representative_repeated', rep, '' FROM alias_first a
+WHERE ord > (SELECT min(ord) FROM alias_first b WHERE b.wb = a.wb AND b.rep_key = a.rep_key) AND wb NOT IN ('W3', 'W17')
+UNION ALL SELECT DISTINCT wb, 0, 'no_alias_heading', '대표 이름', '' FROM alias_all WHERE wb IN ('W3', 'W17')""")
 def s02(t):
-    aliases, faults = R.scan_aliases(t.alias_rows)
+    """From the cells of the alias sheets: heading, rows, aliases, and what is wrong with them."""
+    rows, headless = R.alias_table(t.alias_cells)
+    aliases, repeated = R.scan_aliases(rows)
+    faults = repeated.unionByName(headless)
     return aliases.select("wb", "ord", F.lit("alias").alias("kind"), "rep", F.array_join("names", "|").alias("names")).unionByName(
-        faults.select("wb", "ord", F.lit("fault").alias("kind"), c("detail").alias("rep"), F.lit("").alias("names"))
+        faults.select("wb", "ord", c("code").alias("kind"), c("detail").alias("rep"), F.lit("").alias("names"))
     )
 
 
@@ -138,7 +142,9 @@ UNION ALL SELECT wb, sheet, row, 'name_repeated', item FROM kept WHERE nth_name
 UNION ALL SELECT wb, sheet, row, 'unknown_judge', judge FROM kept WHERE judge NOT IN ('모형', '계산', '사람')
 UNION ALL SELECT wb, sheet, row, 'no_method', calc_text FROM kept WHERE judge = '계산' AND ({_KIND}) IS NULL
 UNION ALL SELECT wb, sheet, row, 'no_rule_text', item FROM kept WHERE judge <> '사람' AND rule_text = ''
-UNION ALL SELECT wb, sheet, row, 'heading_differs', '판정 규칙' FROM {{rule_cells}} WHERE value = '방법' AND col = 9""")
+UNION ALL SELECT wb, sheet, row, 'heading_differs', '판정 규칙' FROM {{rule_cells}} WHERE value = '방법' AND col = 9
+UNION ALL SELECT wb, sheet, min(row), 'no_mark', coalesce(cast(min(row) FILTER (col = 1 AND value = '#') as varchar), '') FROM {{rule_cells}}
+  WHERE sheet NOT IN ('개요', '열 낱말', '종합표', '추출 필드', '개정 이력') GROUP BY wb, sheet HAVING count(*) FILTER (col = 1 AND value = '#' AND row <= 12) = 0""")
 def r06(t):
     return R.lint(t.rule_cells, scanned(t))
 

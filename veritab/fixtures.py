@@ -237,6 +237,14 @@ FROM (SELECT *, CASE slot {_slots} ELSE '' END AS value FROM (SELECT *, EACH(1,
 WHERE value <> '' AND (slot <= 14 OR (i = 0 AND (slot <= 29 OR sheet = '④세미나')))
 """
 
+TABLES["alias_cells"] = """
+SELECT wb, '열 낱말' AS sheet, CASE WHEN slot < 3 THEN ord + 3 + 9 * late ELSE 2 + 9 * late END AS row, CASE slot WHEN 3 THEN 1 ELSE slot END AS col,
+       CASE slot WHEN 1 THEN rep WHEN 2 THEN alias_text ELSE '대표  이름' END AS value
+FROM (SELECT *, CASE WHEN wb IN ('W3', 'W17') THEN 1 ELSE 0 END AS late, EACH(1, 3) AS slot FROM {alias_rows}) t
+WHERE slot < 3 OR ord = 0
+UNION ALL SELECT wb, '열 낱말', 1, 1, '학교들이 쓰는 이름' FROM {alias_rows} WHERE ord = 0
+"""
+
 TABLES["alias_rows"] = f"""
 SELECT wb, ord, {_pick('ord', ALIAS_ROWS, 0)} AS rep, {_pick('ord', ALIAS_ROWS, 1)} AS alias_text
 FROM (SELECT concat('W', {text(div('p_partkey', 10))}) AS wb, p_partkey % 10 AS ord FROM {{part}}) t

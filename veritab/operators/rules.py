@@ -10,11 +10,11 @@ from veritab.operators.first import distinct_by_key, keep_first, mark_first
 from veritab.operators.judge import BY_CODE, BY_HUMAN, BY_MODEL, HEADCOUNT_FIELD, ROSTER_FIELD
 
 SHEET = ["wb", "sheet"]
-MARK, MARK_ROWS = "#", 12
+MARK, MARK_ROWS, ALIAS_ROWS = "#", 12, 10  # defaults of the argument ``depth``
 # Headings of a rule table by column, and sheets that hold no rules.
 HEADINGS = ["#", "검수 항목", "판정주체", "셈법", "대조 축", "증빙 문서", "추출 필드", "엑셀 대조 열",
             "판정 규칙", "O", "X", "확인 불가", "공란", "비고 문구"]
-OVERVIEW = "개요"
+OVERVIEW, ALIAS_SHEET, ALIAS_HEADING = "개요", "열 낱말", "대표 이름"
 SIDE_SHEETS = [OVERVIEW, "열 낱말", "종합표", "추출 필드", "개정 이력"]
 COLUMNS = ["key_cell", "item", "judge", "calc_text", "axis", "document", "extract_text", "claim_text",
            "rule_text", "say_pass", "say_fail", "say_undetermined", "say_blank", "remark_text"]
@@ -33,18 +33,26 @@ def table_rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def mark_rows(rows: DataFrame) -> DataFrame:
-    """The heading row of every rule sheet: the first ``#`` near the top of column 1."""
+def mark_rows(rows: DataFrame, depth: int = MARK_ROWS) -> DataFrame:
+    """The heading row of every rule sheet: the first ``#`` in the first ``depth`` rows of column 1."""
     return (
-        rows.filter((c("row") <= MARK_ROWS) & (c("key_cell") == MARK))
+        rows.filter((c("row") <= depth) & (c("key_cell") == MARK))
         .groupBy(*SHEET).agg(F.min("row").alias("head_row"))
     )
 
 
-def scan_rules(cells: DataFrame) -> DataFrame:
+def unmarked_sheets(cells: DataFrame, depth: int = MARK_ROWS) -> DataFrame:
+    """Possible rule sheets without a mark in their first ``depth`` rows; ``detail`` is the row of a later one."""
+    mark = F.when((c("col") == 1) & (strip(c("value")) == MARK), c("row"))
+    sheets = cells.filter(~strip(c("sheet")).isin(SIDE_SHEETS)).groupBy(*SHEET).agg(F.min("row").cast("bigint").alias("row"), F.min(mark).alias("at"))
+    late = sheets.filter(c("at").isNull() | (c("at") > depth))
+    return late.select(*SHEET, "row", F.lit("no_mark").alias("code"), F.coalesce(c("at").cast("string"), F.lit("")).alias("detail"))
+
+
+def scan_rules(cells: DataFrame, depth: int = MARK_ROWS) -> DataFrame:
     """Rule rows below the mark, up to the first key that is not a number."""
     rows = table_rows(cells)
-    below = rows.join(mark_rows(rows), SHEET).filter((c("row") > c("head_row")) & (c("key_cell") != ""))
+    below = rows.join(mark_rows(rows, depth), SHEET).filter((c("row") > c("head_row")) & (c("key_cell") != ""))
     ends = below.filter(~c("key_cell").rlike(DIGITS_ONLY)).groupBy(*SHEET).agg(F.min("row").alias("end_row"))
     return (
         below.join(ends, SHEET, "left")
@@ -63,14 +71,15 @@ def parse_rules(rows: DataFrame) -> DataFrame:
     )
 
 
-def lint(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """Faults of the rule tables as (wb, sheet, row, code, detail)."""
-    return heading_faults(cells).unionByName(row_faults(rows)).unionByName(empty_tables(cells, rows))
+def lint(cells: DataFrame, rows: DataFrame, depth: int = MARK_ROWS) -> DataFrame:
+    """Faults of the rule tables as (wb, sheet, row, code, detail); a sheet without a mark is one."""
+    found = heading_faults(cells, depth).unionByName(row_faults(rows)).unionByName(empty_tables(cells, rows, depth))
+    return found.unionByName(unmarked_sheets(cells, depth))
 
 
-def heading_faults(cells: DataFrame) -> DataFrame:
+def heading_faults(cells: DataFrame, depth: int = MARK_ROWS) -> DataFrame:
     all_rows = table_rows(cells)
-    heads = all_rows.join(mark_rows(all_rows).withColumnRenamed("head_row", "row"), [*SHEET, "row"])
+    heads = all_rows.join(mark_rows(all_rows, depth).withColumnRenamed("head_row", "row"), [*SHEET, "row"])
     wrong = [
         F.when(~F.contains(rule_key(c(n)), rule_key(F.lit(h))), F.struct(F.lit("heading_differs").alias("code"), F.lit(h).alias("detail")))
         for n, h in zip(COLUMNS, HEADINGS)
@@ -99,14 +108,28 @@ def row_faults(rows: DataFrame) -> DataFrame:
     )
 
 
-def empty_tables(cells: DataFrame, rows: DataFrame) -> DataFrame:
+def empty_tables(cells: DataFrame, rows: DataFrame, depth: int = MARK_ROWS) -> DataFrame:
     """Rule sheets of which no item could be read."""
-    marks = mark_rows(table_rows(cells))
+    marks = mark_rows(table_rows(cells), depth)
     return marks.join(rows.filter(c("item") != ""), SHEET, "left_anti").select(
         *SHEET, c("head_row").cast("bigint").alias("row"), F.lit("no_items").alias("code"), F.lit("").alias("detail")
     )
 
 
+def alias_table(cells: DataFrame, depth: int = ALIAS_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(alias rows, faults) of the alias sheet of each workbook, given as cells.
+
+    The table begins below the first row, among the first ``depth``, whose first cell is the heading; its rows are
+    (wb, ord, rep, alias_text). A workbook whose alias sheet has no such row leaves a fault and no aliases.
+    """
+    text = lambda i: F.coalesce(F.max(F.when(c("col") == i, strip(c("value")))), F.lit(""))
+    rows = cells.filter((strip(c("sheet")) == ALIAS_SHEET) & c("col").isin(1, 2)).groupBy("wb", c("row").cast("bigint").alias("ord")).agg(text(1).alias("rep"), text(2).alias("alias_text"))
+    is_head = (c("ord") <= depth) & (rule_key(c("rep")) == rule_key(F.lit(ALIAS_HEADING)))
+    heads = rows.groupBy("wb").agg(F.min(F.when(is_head, c("ord"))).alias("head"))
+    faults = heads.filter(c("head").isNull()).select("wb", F.lit(0).cast("bigint").alias("ord"), F.lit("no_alias_heading").alias("code"), F.lit(ALIAS_HEADING).alias("detail"))
+    return rows.join(heads, "wb").filter((c("ord") > c("head")) & (c("rep") != "")).drop("head"), faults
+
+
 def scan_aliases(alias_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(aliases, faults). An alias row is a representative name and its synonyms."""
     named = alias_rows.withColumn("rep", blank_to_empty(c("rep"))).filter(c("rep") != "")
