@@ -89,6 +89,32 @@ def test_costs_choose_the_boundary(p):
             assert b - a <= 1 and n + m - 2 * ngramjoin.need(n, m, p) <= ngramjoin.differences(a, p) < ngramjoin.parts_of(a, p)
 
 
+@pytest.mark.parametrize("side", [2, 7, 1024])
+def test_members_around_a_hub_are_compared_in_blocks(spark, side, monkeypatch):
+    r = random.Random(side)
+    hub = set(range(1000, 1100))
+    sets = {}
+    for k in range(40):  # three families around one hub, far from it, and loners
+        own = hub - set(r.sample(sorted(hub), 30)) if k < 3 else set(sets[k % 3]) if k < 34 else set(range(5000 + 100 * k, 5100 + 100 * k))
+        sets[k] = own ^ set(r.sample(range(2000, 2040), r.randrange(6)))
+    rows = [(0, k, len(s), sorted(s ^ hub), len(s ^ hub), 190 * len(s ^ hub) <= 10 * (len(s) + 100)) for k, s in sets.items()]
+    far = spark.createDataFrame(rows, "hub long, node long, n long, delta array<long>, d long, linked boolean")
+    got = ngramjoin._around_hubs(far, spark.createDataFrame([], "node long, root long"), 90, side)
+    want = [(x, y) for x in sets for y in range(x) if 100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y])]
+    both = [sorted(map(tuple, components(spark.createDataFrame(e, "a long, b long")).collect())) for e in ([tuple(e) for e in got.collect()], want)]
+    assert both[0] == both[1]
+
+
+def test_overlaps_count_shared_tokens(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(ngramjoin, "FEW", 3)
+    monkeypatch.setattr(ngramjoin, "COLUMNS", 4)
+    tokens = [np.unique(rng.integers(0, 60, rng.integers(0, 30))) for _ in range(25)]
+    for mine, theirs in ((np.arange(25), np.arange(25)), (np.arange(0, 25, 2), np.arange(1, 25, 2))):
+        want = [[len(np.intersect1d(tokens[x], tokens[y])) if x != y else got for y, got in zip(theirs, line)] for x, line in zip(mine, ngramjoin._overlaps(tokens, mine, theirs))]
+        assert (np.array(want) == ngramjoin._overlaps(tokens, mine, theirs)).all()
+
+
 def test_only_lists_of_several_sets_leave_the_shuffle():
     r = random.Random(4)
     rows = sorted((r.randrange(40), r.randrange(3)) for _ in range(90))

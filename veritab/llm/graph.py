@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,18 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(ordered(joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))))
         before, mark = mark, print_of(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links ``(a, b)`` and the least node that each is connected with."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[:len(a)], ends[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        least = np.minimum(root[x], root[y])
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        root = root[root]
+        if np.array_equal(root, before):
+            return nodes, nodes[root]

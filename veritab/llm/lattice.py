@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.llm.common import cut
-from veritab.llm.graph import components
+from veritab.llm.graph import components, forest
 from veritab.llm.shingles import U, mix
 
 COSINE = 0.9
@@ -297,21 +297,6 @@ def _once(a_keys: np.ndarray, b_keys: np.ndarray, key: int, per_table: int) -> n
     return shared.min((1, 2, 3)) == key
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node of the links ``(a, b)`` to the least one it is connected with."""
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = ends[:len(a)], ends[len(a):]
-    root = np.arange(len(nodes))
-    while True:
-        before = root.copy()
-        least = np.minimum(root[x], root[y])
-        np.minimum.at(root, x, least)
-        np.minimum.at(root, y, least)
-        root = root[root]
-        if np.array_equal(root, before):
-            return nodes, nodes[root]
-
-
 def _verify(members: DataFrame, cosine: float, per_table: int) -> DataFrame:
     """``(node, links, root)`` from ``members (key, i, j, side, node, ball, copies, vector, keys)``, one group for a pair of blocks."""
 
@@ -335,7 +320,7 @@ def _verify(members: DataFrame, cosine: float, per_table: int) -> DataFrame:
                 x, y = x[first], y[first]
             if len(x):
                 a, b = node[0][x], node[1][y]
-                roots = dict(zip(*_forest(a, b), strict=True))
+                roots = dict(zip(*forest(a, b), strict=True))
                 count = pd.Series(np.concatenate((copies[1][y], copies[0][x]))).groupby(np.concatenate((a, b))).sum()
                 out += [(n, int(c), int(roots[n])) for n, c in count.items()]
         return pd.DataFrame(out, columns=["node", "links", "root"]).astype("int64")

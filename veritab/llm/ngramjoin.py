@@ -21,11 +21,10 @@ Lists are scanned in two steps instead of pairing their members:
 
 1. every member is compared with one hub, the member that meets most others, and keeps its
    difference from the hub;
-2. two members that are not both linked to the hub can only be linked if their differences share
-   shingles: all but ``n/9`` of either difference (at 90 in 100) and ``9/19`` of the difference of a
-   member whose partner is not linked to the hub. Their differences' rarest shingles (a prefix
-   filter) form lists again, in which only members of different components are paired, and
-   verified on the differences.
+2. two members that are not both linked to the hub may still be linked with each other. Where a
+   hub's members lie in several components, their differences from the hub are compared: in one
+   task for each pair of blocks of at most ``SIDE`` members, by counting shared shingles with numpy. No pair
+   leaves the task, only a forest of the links that join components.
 
 The boundary is the largest size up to which announcing subsets costs less than entering lists
 and comparing (``light_cost`` against ``heavy_cost``). No list is capped and nothing is dropped.
@@ -51,7 +50,7 @@ from pyspark.sql import types as T
 
 from veritab.llm import shingles
 from veritab.llm.common import cut
-from veritab.llm.graph import components
+from veritab.llm.graph import components, forest
 from veritab.llm.shingles import U, mix
 
 PERCENT = 90
@@ -61,6 +60,9 @@ SPARE = 2
 VERIFY = 2
 BITS_A_SET = 16
 SEEN = 1 << 20
+SIDE = 1024
+FEW = 24
+COLUMNS = 4096
 
 
 def need(n: int, m: int, percent: int = PERCENT) -> int:
@@ -312,34 +314,78 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     return row_class.select("row", "id", "n", "node"), edges.union(more)
 
 
-def _around_hubs(far: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between members of one hub that are in different components so far."""
+def _overlaps(tokens: list[np.ndarray], mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """How many tokens each of the sets ``mine`` (places in ``tokens``) shares with each of ``theirs``.
+
+    Tokens of one set do not matter. Of those of a few sets the pairs are counted, the
+    others are multiplied as matrices, some thousand tokens at a time.
+    """
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+    x, y = np.full(len(tokens), -1), np.full(len(tokens), -1)
+    x[mine], y[theirs] = np.arange(len(mine)), np.arange(len(theirs))
+    out = np.zeros((len(mine), len(theirs)), np.float32)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(flat)))
+    few = np.repeat(size <= FEW, size)
+    token, member = flat[few], row[few]
+    for step in range(1, min(FEW, len(token))):
+        same = token[step:] == token[:-step]
+        if not same.any():
+            break
+        p, q = member[:-step][same], member[step:][same]
+        for u, v in ((p, q), (q, p)):
+            fits = (x[u] >= 0) & (y[v] >= 0)
+            np.add.at(out, (x[u[fits]], y[v[fits]]), 1)
+    place = np.repeat(np.cumsum(size > FEW) - 1, size)[~few]
+    member = row[~few]
+    for at in range(0, int((size > FEW).sum()), COLUMNS):
+        here = (place >= at) & (place < at + COLUMNS)
+        held = np.zeros((len(tokens), min(COLUMNS, int((size > FEW).sum()) - at)), np.float32)
+        held[member[here], place[here] - at] = 1
+        out += held[mine] @ held[theirs].T
+    return out
+
+
+def _linked(name: tuple, part: pa.Table, percent: int) -> pa.Table:
+    """``(a, b)``: a forest of the links between members of different components in a pair of blocks of one hub."""
     a, b = 100 + percent, 100 - percent
+    i, j = name[1].as_py(), name[2].as_py()
+    side = part["side"].to_numpy()
+    node, n, d, root = (part[c].to_numpy() for c in ("node", "n", "d", "root"))
+    near = part["linked"].to_numpy()
+    tokens = [x.values.to_numpy() for x in part["delta"]]
+    mine, theirs = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(mine) or not len(theirs):
+        return none
+    shared = _overlaps(tokens, mine, theirs)
+    apart = d[mine][:, None] + d[theirs][None, :] - 2 * shared
+    hit = (a * apart <= b * (n[mine][:, None] + n[theirs][None, :])) & (root[mine][:, None] != root[theirs][None, :]) & ~(near[mine][:, None] & near[theirs][None, :])
+    x, y = np.nonzero(hit)
+    if not len(x):
+        return none
+    ends, least = forest(node[mine][x], node[theirs][y])
+    return pa.table({"a": pa.array(ends), "b": pa.array(least)})
+
+
+def _around_hubs(far: DataFrame, roots: DataFrame, percent: int, side: int = SIDE) -> DataFrame:
+    """Links ``(a, b)`` between members of one hub that are in different components so far.
+
+    Members are compared by their differences from the hub. A hub of more than ``side`` open
+    members has them in blocks, and the pairs of its blocks are dealt over tasks; pairs of members stay there.
+    """
     named = roots.withColumnsRenamed({"node": "node_", "root": "root_"})
-    slim = far.select("hub", "node", "n", "d", "linked").join(named, F.col("node") == F.col("node_"), "left")
-    slim = cut(slim.select("hub", "node", "n", "d", "linked", F.coalesce("root_", "node").alias("root")))
-    open_ = slim.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("hub")
-    around = far.join(open_, "hub", "left_semi").select("hub", "node", "delta")
-    # shared shingles that a link with at least one member far from the hub needs at least; the
-    # share of the difference holds only where the partner is far, as that of a linked member is
-    least = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * b / percent), F.when(F.col("linked"), F.ceil(F.col("d") * percent / a)))
-    tokens = around.select("hub", "node", F.explode("delta").alias("token"))
-    count = tokens.groupBy("hub", "token").agg(F.count("*").alias("c")).filter("c > 1")
-    ranked = tokens.join(count, ["hub", "token"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("ranked"))
-    # shingles of one member alone come first in the order, so the prefix ends as far before the end without them
-    prefix = F.expr("slice(ranked, 1, cast(greatest(0, size(ranked) - least + 1) as int))")
-    listed = slim.filter("d > 0").withColumn("least", least.cast("long")).join(ranked, ["hub", "node"]).select("hub", "node", "linked", "root", F.explode(prefix).alias("x"))
-    listed = cut(listed.select("hub", "node", "linked", "root", "x.token"))
-    several = listed.groupBy("hub", "token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("hub", "token")
-    listed = listed.join(several, ["hub", "token"])
-    other = listed.withColumnsRenamed({c: f"{c}_2" for c in listed.columns})
-    meet = F.expr("hub = hub_2 AND token = token_2 AND node < node_2 AND root <> root_2 AND NOT (linked AND linked_2)")
-    pairs = listed.join(other, meet).select("hub", "node", "node_2").distinct()
-    left = far.select("hub", "node", "n", "d", "delta")
-    right = left.select("hub", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "d", "delta")])
-    found = pairs.join(left, ["hub", "node"]).join(right, ["hub", "node_2"])
-    d = F.col("d") + F.col("d_2") - 2 * F.size(F.array_intersect("delta", "delta_2"))
-    return found.filter(a * d <= b * (F.col("n") + F.col("n_2"))).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+    slim = far.select("hub", "node").join(named, F.col("node") == F.col("node_"), "left").select("hub", "node", F.coalesce("root_", "node").alias("root"))
+    slim = cut(slim)
+    open_ = slim.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / side).cast("int").alias("blocks")).filter("x < y").select("hub", "blocks")
+    members = slim.join(open_, "hub").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("hub", "node", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    members = members.join(far.filter("d > 0"), ["hub", "node"]).select("hub", "i", "j", "side", "node", "n", "d", "root", "linked", "delta")
+    return members.groupBy("hub", "i", "j").applyInArrow(lambda name, part: _linked(name, part, percent), "a long, b long").filter("a <> b").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
