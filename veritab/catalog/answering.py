@@ -244,6 +244,33 @@ def g17(t):
     return G.ask_again(G.row_batches(f.rows.select(*ROW)), f.answers, attempt=1)
 
 
+_ATTEMPTS = """WITH asked AS (SELECT wb, sheet, batch, count(*) AS asked FROM {sheet_rows} GROUP BY ALL),
+log AS (SELECT a.wb, a.sheet, a.batch, a.attempt, any_value(asked) - count(DISTINCT r.row) AS missing, max(finish) AS finish,
+    count(DISTINCT r.row) > 0 AND NOT coalesce(bool_or(tags <> '' OR trim(link_reason) <> '') FILTER (r.row IS NOT NULL), false) AS blank
+  FROM {attempts} a JOIN asked q ON q.wb = a.wb AND q.sheet = a.sheet AND q.batch = a.batch
+  LEFT JOIN {sheet_rows} r ON r.wb = a.wb AND r.sheet = a.sheet AND r.batch = a.batch AND r.row = a.row GROUP BY 1, 2, 3, 4),
+picked AS (SELECT *, row_number() OVER (PARTITION BY wb, sheet, batch ORDER BY missing = 0 AND NOT blank DESC,
+    CASE WHEN missing = 0 AND NOT blank THEN attempt ELSE -attempt END) AS nth FROM log WHERE attempt <= 3),
+outcome AS (SELECT wb, sheet, batch, attempt, attempt - 1 AS repeats, missing, blank, CASE WHEN missing = 0 AND NOT blank THEN 'answered' WHEN attempt <= 2 THEN 'ask again'
+    WHEN blank AND missing = 0 THEN 'blank to the end' ELSE 'limit' END AS stop, finish FROM picked WHERE nth = 1)"""
+
+
+def outcomes(t):
+    said = t.attempts.withColumn("tags", F.when(c("tags") == "", F.array().cast("array<string>")).otherwise(F.split("tags", "\\|")))
+    return G.attempt_outcomes(G.attempt_log(t.sheet_rows.select(*ROW, "batch"), said))
+
+
+@query("g17_attempt_outcomes", _ATTEMPTS + " SELECT * FROM outcome")
+def g17_outcomes(t):
+    return outcomes(t)
+
+
+@query("g17_batches_to_ask", _ATTEMPTS + """ SELECT DISTINCT r.wb, r.sheet, r.batch, coalesce(attempt, 0) + 1 AS attempt FROM {sheet_rows} r
+LEFT JOIN outcome o ON o.wb = r.wb AND o.sheet = r.sheet AND o.batch = r.batch WHERE stop IS NULL OR stop = 'ask again'""")
+def g17_due(t):
+    return G.batches_to_ask(t.sheet_rows, outcomes(t))
+
+
 @query("g18_unlinked_reasons", steps("""
 SELECT u.wb, u.sheet, coalesce(t.name, u.ref) AS file, u.batch, u.ord, u.reason FROM {unlinked_files} u
 LEFT JOIN tagged t ON t.wb = u.wb AND t.sheet = u.sheet AND t.tag = u.ref

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veritab.catalog.registry import query
 from veritab.functions.text import jamo_ratio, natural_key, repair_name, safe_name, squeeze
 from veritab.operators import grid as H, ingest as I, pack as P
 from veritab.operators.guards import file_tags
-from veritab.session import materialize
+from veritab.session import materialize, shared_folder
 from veritab.sources import files as S
 
 c = F.col
@@ -34,20 +36,41 @@ def s03(t):
     return I.list_files(t.files.select("ord", "path"))
 
 
-@query("s04_manifest_scan", """SELECT concat('M', cast(ord as string)) AS wb, CASE WHEN ord % 10 <> 0 THEN 1 ELSE 0 END AS sheets, CASE WHEN ord % 10 = 0 THEN 1 ELSE 0 END AS rows_of_skipped_sheets,
-  CASE WHEN ord % 10 <> 0 AND ord % 7 <> 0 THEN 1 ELSE 0 END AS rows, CASE WHEN ord % 10 <> 0 AND ord % 7 = 0 THEN 1 ELSE 0 END AS rows_in_collision,
-  CASE WHEN ord % 10 <> 0 AND ord % 7 <> 0 THEN 1 ELSE 0 END AS folders FROM {files}""")
+# Ten files a manifest, on three sheets of which one is skipped; each row names its file twice, a folder, and one file that all share.
+_ENTRIES = """entries AS (SELECT 'M' || ord // 10 AS wb, ord % 3 AS s, ord, path FROM {files} WHERE ord % 3 <> 2 AND ord % 7 <> 0),
+named AS (SELECT wb, s, ord, 0 AS e, 0 AS f, path FROM entries UNION ALL SELECT wb, s, ord, 0, 1, upper(path) FROM entries
+  UNION ALL SELECT wb, s, ord, 1, 0, CASE WHEN ord % 2 = 0 THEN 'Shared/A.pdf' ELSE 'shared/a.PDF' END FROM entries),
+firsts AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY wb, lower(path) ORDER BY s, ord, e, f) = 1)"""
+
+
+def manifests(t):
+    files = lambda *xs: F.struct(F.array(*xs).alias(S.FILES))
+    shared = F.when(c("ord") % 2 == 0, "Shared\\A.pdf").otherwise("shared/a.PDF")
+    row = F.struct((c("ord") % 7 == 0).alias(S.COLLISION), F.array(files(c("path"), F.upper("path"), F.lit("묶음/")), files(shared)).alias(S.SUBMITTED))
+    in_order = lambda x, field: F.transform(F.array_sort(F.collect_list(x)), lambda y: y[field])
+    rows = t.files.select(F.concat(F.lit("M"), F.expr("ord div 10").cast("string")).alias("wb"), (c("ord") % 3).alias("s"), "ord", row.alias("row"))
+    sheets = rows.groupBy("wb", "s").agg(in_order(F.struct("ord", "row"), "row").alias("rows"))
+    sheet = F.struct(F.when(c("s") == 2, S.ROSTER_SHEET).otherwise(F.concat(F.lit("S"), c("s").cast("string"))).alias("sheet"), "rows")
+    books = sheets.groupBy("wb").agg(in_order(F.struct("s", sheet.alias("sheet")), "sheet").alias("sheets"))
+    return books.select("wb", F.to_json(F.struct("sheets")).alias("body"))
+
+
+@query("s04_manifest_scan", f"WITH {_ENTRIES} SELECT wb, cast(row_number() OVER (PARTITION BY wb ORDER BY s, ord, e, f) as int) AS place, path FROM firsts")
 def s04(t):
-    """A manifest per document source, put together from its file names."""
-    entry = F.to_json(F.array(F.struct(
-        F.when(c("ord") % 10 == 0, F.lit(S.ROSTER_SHEET)).otherwise(F.concat(F.lit("S"), (c("ord") % 8).cast("string"))).alias("sheet"),
-        F.array(F.struct(
-            (c("ord") % 7 == 0).alias(S.COLLISION),
-            F.array(F.struct(F.array(c("path"), F.upper("path"), F.lit("묶음/")).alias(S.FILES))).alias(S.SUBMITTED),
-        )).alias("rows"),
-    )))
-    manifests = t.files.select(F.concat(F.lit("M"), c("ord").cast("string")).alias("wb"), F.concat(F.lit('{"sheets":'), entry, F.lit("}")).alias("body"))
-    return S.scan_manifest(manifests)[1]
+    """The files to open, in order."""
+    return S.scan_manifest(manifests(t))[0].drop("key")
+
+
+@query("s04_manifest_counts", """SELECT 'M' || ord // 10 AS wb, count(DISTINCT CASE WHEN ord % 3 <> 2 THEN ord % 3 END) AS sheets, count(*) FILTER (ord % 3 = 2) AS rows_of_skipped_sheets,
+  count(*) FILTER (ord % 3 <> 2 AND ord % 7 <> 0) AS rows, count(*) FILTER (ord % 3 <> 2 AND ord % 7 = 0) AS rows_in_collision,
+  count(*) FILTER (ord % 3 <> 2 AND ord % 7 <> 0) AS folders FROM {files} GROUP BY 1""")
+def s04_counts(t):
+    return S.scan_manifest(manifests(t))[1]
+
+
+@query("s04_missing_files", f"WITH {_ENTRIES} SELECT wb, cast(place as int) AS place, path FROM (SELECT *, row_number() OVER (PARTITION BY wb ORDER BY s, ord, e, f) AS place FROM firsts) x WHERE path NOT IN (SELECT path FROM {{files}})")
+def s04_missing(t):
+    return S.missing_files(S.scan_manifest(manifests(t))[0].drop("key"), t.files)
 
 
 _BOOK = base("concat(path, '_검증본_2단계판정')")
@@ -57,6 +80,21 @@ def s05(t):
     return t.files.select("ord", S.output_name(path, c("name"), "보조_검사결과").alias("out"))
 
 
+def sink(t, name: str) -> str:
+    """A new folder below the session's shared one; it goes when that one is removed."""
+    return f"{shared_folder(t.spark)}/sinks/{name}-{uuid.uuid4()}"
+
+
+@query("s05_sheet_sink", "SELECT wb, sheet, row, CASE WHEN sheet = 'S1' THEN upper(company) ELSE company END AS company FROM {claims}")
+def s05_sink(t):
+    """All sheets are written, then a later run writes some anew, twice as after a failure; read back."""
+    folder, rows = sink(t, "sheets"), t.claims.select("wb", "sheet", "row", "company")
+    S.write_per_sheet(rows, folder)
+    for _ in range(2):
+        S.write_per_sheet(rows.filter("sheet = 'S1'").withColumn("company", F.upper("company")), folder)
+    return S.read_per_sheet(t.spark, folder).select("wb", "sheet", "row", "company")
+
+
 @query("s08_cached_texts", f"""SELECT cast(doc_id as string) AS stem, CASE WHEN doc_id % 4 = 0 THEN cast(doc_id as string) WHEN doc_id % 4 = 1 THEN {base("concat('/a/', name)")} ELSE name END AS name, sha256(text) AS sha
 FROM {{docs}} WHERE {trimmed('text')} <> ''""")
 def s08(t):
@@ -136,6 +174,18 @@ def t10(t):
     return I.assemble_pages(t.doc_pages).select("doc_id", "pages", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"))
 
 
+_HEAD = "CASE WHEN i > 1 THEN chr(10) ELSE '' END || '===== [p.' || i || '] =====' || chr(10)"
+@query("t10_page_chunks", rf"""WITH n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM {{doc_pages}}),
+pieces AS (SELECT doc_id, i, CASE WHEN n = 1 THEN {trimmed('text')} || chr(10) WHEN i = n THEN regexp_replace({_HEAD} || text, '\s+$', '') || chr(10)
+  ELSE {_HEAD} || text || CASE WHEN suffix(text, chr(10)) THEN '' ELSE chr(10) END END AS piece FROM n),
+chunks AS (SELECT doc_id, (i - 1) // 3 AS chunk, string_agg(piece, '' ORDER BY i) AS txt FROM pieces GROUP BY ALL),
+slices AS (SELECT *, unnest(range(0, greatest(len(txt) - 1, 0) // 2000 + 1)) AS slice FROM chunks)
+SELECT doc_id, chunk, slice, sha256(substr(txt, slice * 2000 + 1, 2000)) AS sha FROM slices""")
+def t10_chunks(t):
+    """Three pages a chunk and 2,000 characters a row, so that most documents have several of both."""
+    return I.page_chunks(t.doc_pages, per_chunk=3, most=2000).select("doc_id", "chunk", "slice", F.sha2("text", 256).alias("sha"))
+
+
 _SUMS = "count(*) AS files, cast(sum(n_chars) as bigint) AS chars, cast(sum(requests) as bigint) AS requests, count(*) FILTER (requests > 0) AS ocr_files"
 @query("t11_read_summary", f"""WITH {ROUTED} SELECT 'status' AS what, status AS value, {_SUMS} FROM readf GROUP BY status
 UNION ALL SELECT 'method', method, {_SUMS} FROM readf WHERE method <> '' GROUP BY method UNION ALL SELECT 'all', '', {_SUMS} FROM readf""")
@@ -149,10 +199,13 @@ def t12(t):
     return I.problem_list(I.route(t.files))
 
 
-@query("t13_name_repair", "SELECT doc_id, name AS repaired FROM {docs}")
+@query("t13_name_repair", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '보고 ' || doc_id || '.pdf' WHEN 3 THEN '' ELSE name END AS repaired FROM {docs}""")
 def t13(t):
-    garbled = F.decode(F.encode("name", "UTF-8"), "ISO-8859-1")
-    return t.docs.select("doc_id", repair_name(garbled).alias("repaired"))
+    """Read with each of the wrong charsets, and names that were never garbled."""
+    garbled = lambda x, charset: F.decode(F.encode(x, "UTF-8"), charset)
+    short = F.concat(F.lit("보고 "), c("doc_id").cast("string"), F.lit(".pdf"))  # its bytes are whole CP949 characters
+    name = F.when(c("doc_id") % 4 == 0, garbled(short, "x-windows-949")).when(c("doc_id") % 4 == 1, garbled(c("name"), "IBM437"))
+    return t.docs.select("doc_id", repair_name(name.when(c("doc_id") % 4 == 2, garbled(c("name"), "ISO-8859-1")).otherwise(c("name"))).alias("repaired"))
 
 
 @query("t14_secret_scan", r"""WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 45 = 0 THEN '.env' WHEN doc_id % 46 = 0 THEN 'a.json' ELSE name END AS n, doc_id % 46 = 0 AS sec FROM {docs}),
@@ -251,6 +304,35 @@ def p05(t):
     return P.fit_budgets(files, SOURCE, other, materialize, limit=P.LIMIT_FLOOR)
 
 
+_MOST = int(P.LIMIT_FLOOR * P.SAFE_SHARE)
+
+
+def _batch_round(i: int) -> str:
+    """What open batches keep at the totals of ``b<i>``, their tokens, and the totals of the next round."""
+    return f"""
+bcaps{i} AS (SELECT source, batch, ord, n, total, least(len, greatest(per_file, total // n)) AS cap FROM lens JOIN b{i} USING (source) WHERE open),
+branked{i} AS (SELECT *, row_number() OVER w - 1 AS k, sum(cap) OVER (PARTITION BY source, batch) AS want,
+  coalesce(sum(cap) OVER (PARTITION BY source, batch ORDER BY cap, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM bcaps{i} WINDOW w AS (PARTITION BY source, batch ORDER BY cap, ord)),
+bbrim{i} AS (SELECT source, batch, min(k) AS ks, arg_min(p, k) AS ps FROM branked{i} WHERE want > total AND cap > (total - p) // (n - k) GROUP BY ALL),
+bkept{i} AS (SELECT source, batch, sum(CASE WHEN ks IS NULL OR k < ks THEN cap ELSE 0 END) + max(coalesce(total - ps, 0)) AS kept FROM branked{i} LEFT JOIN bbrim{i} USING (source, batch) GROUP BY source, batch),
+bm{i} AS (SELECT b.* EXCLUDE (tokens), CASE WHEN open THEN cast(floor((kept + chars) * 0.65::DOUBLE) AS bigint) ELSE tokens END AS tokens FROM b{i} b LEFT JOIN bkept{i} USING (source, batch)),
+bt{i} AS (SELECT *, cast(floor(total * {_MOST} / greatest(tokens, 1)) AS bigint) - 4000 AS smaller FROM bm{i}),
+bg{i} AS (SELECT *, open AND tokens > {_MOST} AND smaller >= 20000 AS go FROM bt{i}),
+b{i + 1} AS (SELECT source, batch, chars, CASE WHEN go THEN smaller ELSE total END AS total, per_file, rounds + CASE WHEN go THEN 1 ELSE 0 END AS rounds, go AS open, tokens FROM bg{i})"""
+
+
+@query("p05_batch_fit", _FIT + "".join(_round(i) + (_next(i) if i < 6 else "") for i in range(7)) + """,
+b0 AS (SELECT source, batch, chars + batch * 9000 AS chars, total, per_file, 0 AS rounds, true AS open, cast(NULL AS bigint) AS tokens FROM e6, (SELECT unnest(range(0, 8)) AS batch) x),""" + ",".join(_batch_round(i) for i in range(5)) + f"""
+SELECT source, batch, b4.total, bm4.tokens, b4.rounds, bm4.tokens <= {_MOST} AS fits FROM b4 JOIN bm4 USING (source, batch)""")
+def p05_batches(t):
+    """Batches of every source with more and more text of their own, up to four rounds each."""
+    files = materialize(t.docs.select("source", "ord", F.length("text").cast("bigint").alias("len")))
+    other = t.docs.groupBy("source").agg(F.sum(F.length("name")).alias("chars"))
+    totals = P.fit_budgets(files, SOURCE, other, materialize, limit=P.LIMIT_FLOOR)
+    batches = totals.join(other, SOURCE).select("source", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("batch"), "chars", "total", "per_file")
+    return P.fit_batches(files, SOURCE, batches.withColumn("chars", c("chars") + c("batch") * 9000), materialize, limit=P.LIMIT_FLOOR)
+
+
 @query("p09_claim_lines", """SELECT k, CASE WHEN len(cast(row as string)) < 4 THEN lpad(cast(row as string), 4, ' ') ELSE cast(row as string) END || ' |  ' ||
   coalesce(nullif(concat_ws('  |  ', CASE WHEN trim(period) <> '' THEN '기간=' || period END, CASE WHEN trim(hours) <> '' THEN '시간=' || hours END, CASE WHEN trim(isbn) <> '' THEN 'ISBN=' || isbn END), ''), '(빈 줄)') AS line FROM {claims}""")
 def p09(t):
@@ -276,6 +358,27 @@ def p11(t):
     return P.roster_line(H.read_roster(t.roster_cells), ["wb"])
 
 
+@query("p11_roster_chunks", """WITH p AS (SELECT wb, row, max(value) FILTER (col = 2) AS name, coalesce(max(value) FILTER (col = 3), '') AS category FROM {roster_cells} WHERE row > 1 GROUP BY ALL),
+  q AS (SELECT p.wb, name, CASE WHEN h.value = '비고' THEN '' ELSE category END AS category, min(p.row) AS row FROM p JOIN (SELECT wb, value FROM {roster_cells} WHERE row = 1 AND col = 3) h ON h.wb = p.wb
+        WHERE len(name) BETWEEN 2 AND 12 AND NOT regexp_full_match(name, '[0-9]+') GROUP BY 1, 2, 3),
+  r AS (SELECT *, (row_number() OVER (PARTITION BY wb ORDER BY row) - 1) // 20 AS chunk, CASE WHEN category <> '' THEN name || '(' || category || ')' ELSE name END AS said FROM q),
+  k AS (SELECT wb, chunk, CASE WHEN chunk > 0 THEN ' · ' ELSE '' END || string_agg(said, ' · ' ORDER BY row) AS txt FROM r GROUP BY wb, chunk)
+SELECT wb, chunk, slice, substr(txt, slice * 100 + 1, 100) AS text FROM (SELECT *, unnest(range(0, greatest(len(txt) - 1, 0) // 100 + 1)) AS slice FROM k) x""")
+def p11_chunks(t):
+    return P.roster_chunks(H.read_roster(t.roster_cells), ["wb"], per_chunk=20, most=100)
+
+
+@query("s10_index_sink", f"""WITH {ROUTED} SELECT r.path, sha256(d.text) AS sha256, r.method, r.n_chars FROM readf r JOIN {{docs}} d ON d.ord = r.ord
+WHERE r.status IN ('ok', 'empty', 'skipped') QUALIFY row_number() OVER (PARTITION BY r.path, sha256(d.text) ORDER BY r.method, r.n_chars) = 1""")
+def s10_sink(t):
+    """A first run over some files, then the whole twice, as after a failure: each file and content is there once."""
+    folder, hashes = sink(t, "index"), t.docs.select("ord", F.sha2("text", 256).alias("sha256"))
+    read = I.route(t.files).join(hashes, "ord")
+    for part in (read.filter("ord % 3 = 0"), read, read):
+        S.append_index(part, folder)
+    return S.read_index(t.spark, folder).drop("at")
+
+
 @query("s10_read_index", f"""WITH {ROUTED} SELECT r.path, sha256(d.text) AS sha256, r.method, r.n_chars FROM readf r JOIN {{docs}} d ON d.ord = r.ord
 WHERE r.status IN ('ok', 'empty', 'skipped')""")
 def s10(t):

@@ -104,7 +104,7 @@ RULE: dict[int, tuple[str, str]] = {
     9: _row(_NOLINK, ("total_hours = ''", "UNDETERMINED", "'no evidence value'"), ("eh IS NULL", "UNDETERMINED", "'number not readable'"),
             ("eh >= 40", "PASS", f"'evidence ' || {D.num_text('eh')} || ' ≥ 40'"), last=("FAIL", f"'evidence ' || {D.num_text('eh')} || ' < 40'")),
     10: _row(("isbn = '' AND ev_isbn = ''", "BLANK", "'claim is blank'"),
-             ("CASE WHEN isbn <> '' THEN iok ELSE eiok END IS NULL", "UNDETERMINED", "substr(CASE WHEN isbn <> '' THEN isbn ELSE ev_isbn END, 1, 24)"),
+             ("CASE WHEN isbn <> '' THEN iok ELSE eiok END IS NULL", "UNDETERMINED", "CASE WHEN isbn <> '' THEN isbn ELSE ev_isbn END"),
              ("CASE WHEN isbn <> '' THEN iok ELSE eiok END", "PASS", "'check digit fits ' || CASE WHEN isbn <> '' THEN ci ELSE ei END"),
              last=("FAIL", "'check digit differs'")),
     11: _row(_NOLINK, ("isbn = ''", "BLANK", "'claim is blank'"), ("ev_isbn = ''", "UNDETERMINED", "'no evidence value'"),

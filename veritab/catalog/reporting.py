@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritab.catalog import answering as A, judging as Q, worksheets as W
-from veritab.catalog.evidence import SHARES, shared
+from veritab.catalog.evidence import SHARES, shared, sink
 from veritab.catalog.registry import query
 from veritab.functions import values as V
-from veritab.operators import guards as G, judge as J, pack as P, report as R, writeplan as WP
+from veritab.operators import grid as H, guards as G, judge as J, pack as P, report as R, writeplan as WP
 
 c = F.col
 ALL_ITEMS = (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)
@@ -33,15 +33,18 @@ def o01(t):
     return R.verdict_totals(judged(t), Q.cases(t).select(*R.SHEET, "row", "links"))
 
 
-@query("o02_attention", f"WITH {A.STEPS}, " + W.STEPS.replace("resolved AS", "wresolved AS").replace("FROM resolved", "FROM wresolved").replace("own AS", "wown AS").replace("FROM own", "FROM wown").replace("names AS", "wnames AS").replace("FROM names", "FROM wnames") + f""", {SHARES}
-SELECT wb, sheet, 1 AS section, 'unknown row' AS code, cast(row as string) AS detail FROM {{answers}} WHERE ord NOT IN (SELECT ord FROM known)
-UNION ALL SELECT wb, sheet, 1, 'invented file', shown FROM (SELECT wb, sheet, row, array_to_string(list(ref ORDER BY place), ', ') AS shown FROM resolved WHERE name IS NULL GROUP BY ALL)
-UNION ALL SELECT wb, sheet, 2, 'lowered: ' || reason, item || ' ' || row FROM lowered WHERE reason IS NOT NULL
-UNION ALL SELECT wb, sheet, 1, 'column unresolved', CASE WHEN found = '' THEN item || ' · ' ELSE item || ' · ' || found END FROM colmap WHERE key IS NULL
-UNION ALL SELECT '', source, 1, 'text cut', name || ' ' || len || ' ' || share FROM shares WHERE len > share""")
+_ALL_STEPS = f"WITH {A.STEPS}, " + W.STEPS.replace("resolved AS", "wresolved AS").replace("FROM resolved", "FROM wresolved").replace("own AS", "wown AS").replace("FROM own", "FROM wown").replace("names AS", "wnames AS").replace("FROM names", "FROM wnames")
+
+
+@query("o02_attention", _ALL_STEPS + f""", {SHARES}
+SELECT wb, sheet, 1 AS section, cast(row as bigint) AS place, 'unknown row' AS code, cast(row as string) AS detail FROM {{answers}} WHERE ord NOT IN (SELECT ord FROM known)
+UNION ALL SELECT wb, sheet, 1, row, 'invented file', shown FROM (SELECT wb, sheet, row, array_to_string(list(ref ORDER BY place), ', ') AS shown FROM resolved WHERE name IS NULL GROUP BY ALL)
+UNION ALL SELECT wb, sheet, 2, row, 'lowered: ' || reason, item || ' ' || row FROM lowered WHERE reason IS NOT NULL
+UNION ALL SELECT wb, sheet, 1, item_no, 'column unresolved', CASE WHEN found = '' THEN item || ' · ' ELSE item || ' · ' || found END FROM colmap WHERE key IS NULL
+UNION ALL SELECT '', source, 1, ord, 'text cut', name || ' ' || len || ' ' || share FROM shares WHERE len > share""")
 def o02(t):
     f = A.Flow(t)
-    tell = lambda df, level, code, detail: df.select(*R.SHEET, F.lit(level).alias("level"), code.alias("code"), detail.alias("detail"))
+    tell = lambda df, level, code, detail: df.select(*R.SHEET, c("row").cast("bigint").alias("place"), F.lit(level).alias("level"), code.alias("code"), detail.alias("detail"))
     signals = (
         tell(G.unknown_rows(f.answers, f.rows), "warn", F.lit("unknown row"), c("row").cast("string"))
         .unionByName(tell(G.invented_tags(f.resolved), "warn", F.lit("invented file"), c("shown")))
@@ -51,14 +54,18 @@ def o02(t):
     return R.attention(signals, W.colmap(t).filter("cols is null"), cuts)
 
 
-@query("o03_side_by_side", """SELECT wb, sheet, row, side, CASE WHEN side = 'claim' THEN links ELSE '' END AS linked_files,
+@query("o03_side_by_side", A.steps("""SELECT wb, sheet, row, side, CASE WHEN side = 'claim' THEN links ELSE '' END AS linked_files,
+  CASE WHEN side = 'claim' THEN coalesce(confidence, '') ELSE '' END AS confidence, CASE WHEN side = 'claim' THEN coalesce(link_reason, '') ELSE '' END AS link_reason,
   CASE WHEN side = 'claim' THEN coalesce(nullif(trim(period), ''), '(부재)') ELSE '' END AS claim_period,
   CASE WHEN side = 'claim' THEN coalesce(nullif(trim(hours), ''), '(부재)') ELSE '' END AS claim_hours,
-  CASE WHEN side = 'evidence' THEN coalesce(nullif(trim(total_hours), ''), '(부재)') ELSE '' END AS evidence_hours,
-  CASE WHEN side = 'evidence' THEN CASE WHEN roster_status <> '찾음' THEN '(' || roster_status || ')' WHEN roster_names = '' THEN '(부재)' ELSE replace(roster_names, '|', ', ') END ELSE '' END AS evidence_roster
-FROM {claims} JOIN {evidence} USING (k), (SELECT unnest(['claim', 'evidence']) AS side)""")
+  CASE WHEN side = 'evidence' THEN coalesce(nullif(trim(e_hours), ''), '(부재)') ELSE '' END AS evidence_hours,
+  CASE WHEN side = 'evidence' THEN CASE WHEN e_status <> '찾음' THEN '(' || e_status || ')' WHEN e_names = '' THEN '(부재)' ELSE replace(e_names, '|', ', ') END ELSE '' END AS evidence_roster,
+  CASE WHEN side = 'claim' THEN coalesce(memo, '') ELSE '' END AS memo
+FROM (SELECT c.wb, c.sheet, c.row, e.links, c.period, c.hours, e.total_hours AS e_hours, e.roster_status AS e_status, e.roster_names AS e_names, f.confidence, f.link_reason, f.memo
+  FROM {claims} c JOIN {evidence} e ON e.k = c.k LEFT JOIN firsta f ON f.wb = c.wb AND f.sheet = c.sheet AND f.row = c.row) x, (SELECT unnest(['claim', 'evidence']) AS side) y"""))
 def o03(t):
-    rows = t.claims.join(t.evidence, "k").withColumnRenamed("links", "linked_files")
+    said = A.Flow(t).first.select(*G.ROW, "confidence", "link_reason", "memo")
+    rows = t.claims.join(t.evidence, "k").withColumnRenamed("links", "linked_files").join(said, G.ROW, "left")
     return R.side_by_side(rows, ["period", "hours"], {
         "hours": V.show_value(c("total_hours")), "roster": V.show_roster(c("roster_status"), F.split("roster_names", "\\|")),
     })
@@ -88,16 +95,32 @@ def o06(t):
     return R.unused_file_reasons(G.unlinked_reasons(t.unlinked_files, A.Flow(t).refs))
 
 
-@query("o07_run_metrics", A.steps("""SELECT 'rows' AS metric, count(*) AS value FROM {sheet_rows} UNION ALL SELECT 'batches', count(*) FROM (SELECT DISTINCT wb, sheet, batch FROM {sheet_rows})
+@query("o07_run_metrics", _ALL_STEPS + ", " + A._ATTEMPTS[len("WITH "):].replace("log AS", "alog AS").replace("FROM log", "FROM alog") + f""", {W.PEOPLE}
+SELECT 'rows' AS metric, count(*) AS value FROM {{sheet_rows}} UNION ALL SELECT 'batches', count(*) FROM asked
 UNION ALL SELECT 'answered', count(*) FROM firsta UNION ALL SELECT 'lowered', count(*) FROM lowered WHERE reason IS NOT NULL
-UNION ALL SELECT 'tokens', cast(sum(cast(floor(len(text) * 0.65) as bigint)) as bigint) FROM {docs}"""))
+UNION ALL SELECT 'tokens', cast(sum(cast(floor(len(text) * 0.65) as bigint)) as bigint) FROM {{docs}}
+UNION ALL SELECT 'header ' || how, count(*) FROM colmap GROUP BY how
+UNION ALL SELECT 'repeats', sum(repeats) FROM outcome UNION ALL SELECT 'stop: ' || stop, count(*) FROM outcome GROUP BY stop
+UNION ALL SELECT CASE judge WHEN '계산' THEN 'cells computed' WHEN '사람' THEN 'cells not asked' ELSE 'cells asked' END, count(*) FROM {{judge_rules}} j JOIN {{sheet_rows}} r ON r.sheet = j.sheet GROUP BY 1
+UNION ALL SELECT 'people', count(*) FROM (SELECT DISTINCT wb, name, category FROM people WHERE {W.A_NAME}) x""")
 def o07(t):
-    f = A.Flow(t)
-    n = F.count(F.lit(1)).alias("n")
-    return R.metrics({
-        "rows": f.rows.agg(n), "batches": f.rows.select(*R.SHEET, "batch").distinct().agg(n), "answered": f.first.agg(n),
-        "lowered": f.lowered.filter("reason is not null").agg(n), "tokens": t.docs.agg(F.sum(P.token_estimate(F.length("text"))).alias("n")),
-    })
+    """Every table is scanned once, and its rows say which metrics they count for."""
+    f, one = A.Flow(t), F.lit(1)
+    rows = f.rows.groupBy("sheet", "wb", "batch").agg(F.count(one).alias("n"))
+    asked = Q.rules(t).groupBy("sheet").agg(*[F.count_if(w).alias(n) for n, w in (
+        ("code", c("judge") == J.BY_CODE), ("human", c("judge") == J.BY_HUMAN), ("model", ~c("judge").isin(J.BY_CODE, J.BY_HUMAN)))])
+    done = A.outcomes(t)
+    return R.metrics(
+        R.metric_rows(rows, rows=c("n"), batches=one),
+        R.metric_rows(rows.join(asked, "sheet"), **{"cells asked": c("n") * c("model"), "cells computed": c("n") * c("code"), "cells not asked": c("n") * c("human")}),
+        R.metric_rows(f.lowered.withColumn("hit", F.when(c("reason").isNotNull(), 1)), lowered=c("hit")),
+        R.metric_rows(f.first, answered=one),
+        R.metric_rows(t.docs, tokens=P.token_estimate(F.length("text"))),
+        W.colmap(t).select(F.concat(F.lit("header "), "how").alias("metric"), one.cast("bigint").alias("value")),
+        R.metric_rows(done, repeats=c("repeats")),
+        done.select(F.concat(F.lit("stop: "), "stop").alias("metric"), one.cast("bigint").alias("value")),
+        R.metric_rows(H.read_roster(t.roster_cells), people=one),
+    ).filter("value > 0 OR metric = 'repeats'")
 
 
 _ECHO = r"^\s*\[([^\]]{1,40})\]\s*"
@@ -195,3 +218,16 @@ def s11(t):
     text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     shown = F.transform("cells", lambda x: F.concat_ws(":", text(x["col"]), text(x["verdict"]), text(x["remark"])))
     return report.select("wb", "title", "row", F.size("cells").alias("n_cells"), F.array_join(shown, "|").alias("cells"))
+
+
+@query("s11_report_sink", f"""WITH {PLAN} SELECT wb, title AS sheet, row, count(*) AS n_cells, string_agg(coalesce(cast(col as string), '') || ':' || coalesce(verdict, '') || ':' || remark, '|' ORDER BY item_no) AS cells
+FROM wdone WHERE outcome IN ('write', 'remark only') GROUP BY ALL""")
+def s11_sink(t):
+    """Written for all sheets, then for some again, and read back."""
+    folder = sink(t, "report")
+    report = R.judgement_report(done(t).filter(c("outcome").isin("write", "remark only")), ["wb", "title"]).withColumnRenamed("title", "sheet")
+    R.write_report(report, folder)
+    R.write_report(report.filter(c("sheet").startswith("③")), folder)
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    shown = F.transform("cells", lambda x: F.concat_ws(":", text(x["col"]), text(x["verdict"]), text(x["remark"])))
+    return R.read_report(t.spark, folder, report.schema).select("wb", "sheet", "row", F.size("cells").alias("n_cells"), F.array_join(shown, "|").alias("cells"))

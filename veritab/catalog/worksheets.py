@@ -207,10 +207,14 @@ def h17(t):
     return H.dropped_rows(t.cells, values, heads, H.end_rows(values, heads))
 
 
-@query("h18_roster", f"""WITH hd AS (SELECT wb, col, {nk('value')} AS key FROM {{roster_cells}} WHERE row = 1),
+# People of the roster sheets: the columns of names and categories, then one record a row.
+PEOPLE = f"""hd AS (SELECT wb, col, {nk('value')} AS key FROM {{roster_cells}} WHERE row = 1),
 cols AS (SELECT wb, coalesce(min(col) FILTER (key = '성명'), min(col) FILTER (contains(key, '참여학생'))) AS nc, min(col) FILTER (contains(key, '구분')) AS cc FROM hd GROUP BY ALL),
-people AS (SELECT c.wb, c.row, max(value) FILTER (col = nc) AS name, coalesce(max(value) FILTER (col = cc), '') AS category FROM {{roster_cells}} c JOIN cols USING (wb) WHERE row > 1 GROUP BY ALL)
-SELECT wb, '별첨1 명단' AS sheet, min(row) AS row, name, category FROM people WHERE len(name) BETWEEN 2 AND 12 AND NOT regexp_full_match(name, '[0-9]+') GROUP BY wb, name, category""")
+people AS (SELECT c.wb, c.row, max(value) FILTER (col = nc) AS name, coalesce(max(value) FILTER (col = cc), '') AS category FROM {{roster_cells}} c JOIN cols USING (wb) WHERE row > 1 GROUP BY ALL)"""
+A_NAME = "len(name) BETWEEN 2 AND 12 AND NOT regexp_full_match(name, '[0-9]+')"
+
+
+@query("h18_roster", f"WITH {PEOPLE} SELECT wb, '별첨1 명단' AS sheet, min(row) AS row, name, category FROM people WHERE {A_NAME} GROUP BY wb, name, category")
 def h18(t):
     return H.read_roster(t.roster_cells)
 

@@ -265,6 +265,18 @@ SELECT k, wb, sheet, k AS row, rank, {div('rank', 8)} AS batch, {div('rank', 3)}
 FROM {{claim_base}}
 """
 
+# Attempts at each batch, by its number: answered at once; a row missing, then answered; blank to the end; a row
+# missing to the end; blank once so far; blank, then answered, and one more that nobody needs.
+TABLES["attempts"] = """
+SELECT wb, sheet, batch, attempt, CASE WHEN p = 5 AND attempt = 3 THEN row + 1000000000 ELSE row END AS row,
+       CASE WHEN p = 2 OR (p IN (4, 5) AND attempt = 1) THEN '' ELSE 'file_01' END AS tags,
+       CASE WHEN p = 2 AND attempt = 2 THEN '  ' ELSE '' END AS link_reason,
+       CASE WHEN p = 3 OR (p = 1 AND attempt = 1) THEN 'length' ELSE 'stop' END AS finish
+FROM (SELECT *, batch % 6 AS p, EACH(1, 3) AS attempt FROM {sheet_rows}) t
+WHERE attempt <= CASE p WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 3 END
+  AND NOT ((p = 3 OR (p = 1 AND attempt = 1)) AND rank % 8 = 0)
+"""
+
 TABLES["sheet_files"] = """
 SELECT wb, sheet, grp AS ord, concat('doc_', cast(k as string), '.pdf') AS name FROM {sheet_rows} WHERE rank % 3 = 0
 """

@@ -168,20 +168,21 @@ def base_name(c: Column) -> Column:
 
 # --- file names garbled by a wrong charset ------------------------------------------
 
-@F.pandas_udf(StringType())
-def repair_name(names: pd.Series) -> pd.Series:
-    """Undo UTF-8 read as CP949, CP437 or Latin-1; empty when nothing fits."""
-
-    def fix(name):
-        if name is None:
-            return None
-        for wrong in ("cp949", "cp437", "latin-1"):
-            try:
-                text = name.encode(wrong).decode("utf-8")
-            except UnicodeError:
-                continue
-            if text != name and any("가" <= ch <= "힣" for ch in text):
-                return text
-        return ""
-
-    return names.map(fix)
+# The charsets that UTF-8 names were read with, tried in this order.
+WRONG_CHARSETS = ["x-windows-949", "IBM437", "ISO-8859-1"]
+
+
+def repair_name(name: Column) -> Column:
+    """Undo UTF-8 read as CP949, CP437 or Latin-1; empty when nothing fits.
+
+    A charset fits if the name comes back from its bytes and these are whole UTF-8 with Hangul in
+    it. Needs the charset switches of ``session.SETTINGS``.
+    """
+
+    def undone(charset: str) -> Column:
+        raw = F.encode(name, charset)
+        text = F.decode(raw, "UTF-8")
+        fits = (F.decode(raw, charset) == name) & (F.encode(text, "UTF-8") == raw)
+        return F.when(fits & (text != name) & text.rlike("[\uac00-\ud7a3]"), text)
+
+    return F.when(name.isNotNull(), F.coalesce(*[undone(x) for x in WRONG_CHARSETS], F.lit("")))

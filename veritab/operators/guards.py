@@ -115,7 +115,9 @@ def rescue_links(row_links: DataFrame, judged: DataFrame) -> tuple[DataFrame, Da
     """(links with the files that only a judgement cites, the rescued ones)."""
     cited = judged.filter(c("provenance") != "").groupBy(*ROW, c("provenance").alias("name")).agg(F.min("item_no").alias("item_no"))
     rescued = cited.join(row_links, [*ROW, "name"], "left_anti")
-    return row_links.unionByName(rescued.select(*ROW, "name", (c("item_no") + 100000).alias("place"))), rescued
+    after = row_links.groupBy(*ROW).agg(F.max("place").alias("_last"))  # behind all own links, however many there are
+    placed = rescued.join(after, ROW, "left").select(*ROW, "name", (F.coalesce("_last", F.lit(-1)) + 1 + c("item_no")).alias("place"))
+    return row_links.unionByName(placed), rescued
 
 
 def rescue_signals(rescued: DataFrame) -> DataFrame:
@@ -257,6 +259,55 @@ def row_batches(rows: DataFrame, size: int = BATCH_ROWS) -> DataFrame:
     return with_position(rows, SHEET, "row").withColumn("batch", F.floor((c("pos") - 1) / size)).drop("pos")
 
 
+def attempt_log(requested: DataFrame, attempts: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+    """What became of each attempt at a batch: (keys, batch, attempt, missing, blank, finish).
+
+    ``requested``: keys, row, batch. ``attempts``: keys, batch, attempt, row, tags, link_reason, finish, one record for
+    each row answered, or one with a null row for an attempt without any.
+    """
+    at = [*keys, "batch", "attempt"]
+    asked = requested.groupBy(*keys, "batch").agg(F.count(F.lit(1)).alias("asked"))
+    known = attempts.join(requested.select(*keys, "batch", "row", F.lit(True).alias("was_asked")), [*keys, "batch", "row"], "left")
+    real = c("was_asked").isNotNull()
+    said = real & ((F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0) | (blank_to_empty(c("link_reason")) != ""))
+    once = known.groupBy(*at, F.when(real, c("row")).alias("row")).agg(F.bool_or(said).alias("said"), F.max("finish").alias("finish"))
+    seen = once.groupBy(*at).agg(F.count("row").alias("answered"), F.bool_or("said").alias("said"), F.max("finish").alias("finish"))
+    return seen.join(asked, [*keys, "batch"]).select(
+        *at, (c("asked") - c("answered")).alias("missing"), ((c("answered") > 0) & ~c("said")).alias("blank"), F.coalesce("finish", F.lit("")).alias("finish")
+    )
+
+
+ANSWERED, BLANK_TO_THE_END, LIMIT, ASK_AGAIN = "answered", "blank to the end", "limit", "ask again"
+
+
+def attempt_outcomes(log: DataFrame, retries: int = 2, keys: list[str] = SHEET) -> DataFrame:
+    """Per batch: which attempt counts, how many there were, and why it stopped.
+
+    An attempt counts when no row is missing and not all are blank. Without one, the last attempt counts: after
+    ``retries`` repeats a blank one stands as *blank to the end* and one with missing rows stops at the *limit*;
+    before that the batch is to be asked again. Attempts behind the one that counts are left out.
+    """
+    at = [*keys, "batch"]
+    good = (c("missing") == 0) & ~c("blank")
+    inside = log.filter(c("attempt") <= retries + 1)
+    fold = inside.groupBy(*at).agg(F.min(F.when(good, c("attempt"))).alias("good"), F.max("attempt").alias("last"))
+    chosen = fold.withColumn("attempt", F.coalesce("good", "last"))
+    facts = chosen.join(inside, [*at, "attempt"])
+    reason = (
+        F.when(c("good").isNotNull(), ANSWERED).when(c("attempt") <= retries, ASK_AGAIN)
+        .when(c("blank") & (c("missing") == 0), BLANK_TO_THE_END).otherwise(LIMIT)
+    )
+    return facts.select(*at, "attempt", (c("attempt") - 1).alias("repeats"), "missing", "blank", reason.alias("stop"), "finish")
+
+
+def batches_to_ask(requested: DataFrame, outcomes: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+    """Batches whose next attempt is due, with its number; each batch by its own count."""
+    known = outcomes.select(*keys, "batch", "attempt", "stop")
+    return requested.select(*keys, "batch").distinct().join(known, [*keys, "batch"], "left").filter(c("stop").isNull() | (c("stop") == ASK_AGAIN)).select(
+        *keys, "batch", (F.coalesce("attempt", F.lit(0)) + 1).alias("attempt")
+    )
+
+
 def ask_again(requested: DataFrame, answers: DataFrame, attempt: int, limit: int = 2) -> DataFrame:
     """Batches to ask again: some row is missing, or the whole answer is blank."""
     absent = requested.join(answers, ROW, "left_anti").groupBy(*SHEET, "batch").agg(F.count(F.lit(1)).alias("missing"))

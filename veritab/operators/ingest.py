@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritab.functions.text import WHITESPACE, base_name, file_ext, file_stem, nfc, safe_name, strip
-from veritab.operators.first import keep_first
+from veritab.operators.chunks import MOST_CHARS, ONE_STRING, PIECES, in_chunks, one_string
+from veritab.operators.first import keep_first, with_position
 
 # Kinds of files, and the limits of a usable text layer.
 NATIVE, PDF = [".hwp", ".hwpx", ".docx"], [".pdf"]
@@ -96,16 +97,28 @@ def text_layer_quality(pages: DataFrame) -> DataFrame:
     )
 
 
-def assemble_pages(pages: DataFrame) -> DataFrame:
-    """One text per document; several pages get marks. A document is one string by nature."""
-    mark = lambda i: F.concat(F.lit("===== [p."), i.cast("string"), F.lit("] =====\n"))  # fixed value
-    ended = lambda t: F.when(t.endswith("\n"), t).otherwise(F.concat(t, F.lit("\n")))
-    listed = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("ps"))
-    many = F.size("ps") > 1
-    parts = F.transform("ps", lambda p, i: F.concat(
-        F.when(many & (i > 0), F.lit("\n")).otherwise(""), F.when(many, mark(i + 1)).otherwise(""), ended(p["text"])
-    ))
-    return listed.select("doc_id", F.size("ps").alias("pages"), F.concat(strip(F.array_join(parts, "")), F.lit("\n")).alias("text"))
+def page_chunks(pages: DataFrame, per_chunk: int = PIECES, most: int = MOST_CHARS) -> DataFrame:
+    """``(doc_id, chunk, slice, text)``: each document's pages in order, with marks where it has several.
+
+    No row holds more than ``most`` characters, so a document may have any number of pages.
+    """
+    mark = F.concat(F.lit("===== [p."), c("at").cast("string"), F.lit("] =====\n"))  # fixed value
+    text = F.coalesce("text", F.lit(""))
+    ended = F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+    counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "_doc")
+    placed = with_position(pages.select("doc_id", "page", "text"), ["doc_id"], "page", "at").join(counts, c("doc_id").eqNullSafe(c("_doc")))
+    many = F.concat(F.when(c("at") > 1, F.lit("\n")).otherwise(""), mark, F.when(c("at") < c("n"), ended).otherwise(text))
+    # blanks go at both ends of the whole: a mark is at the front of it, so only the last page has some
+    last = F.concat(F.rtrim(many, F.lit(WHITESPACE)), F.lit("\n"))
+    piece = F.when(c("n") == 1, F.concat(strip(text), F.lit("\n"))).when(c("at") == c("n"), last).otherwise(many)
+    return in_chunks(placed.select("doc_id", "at", piece.alias("piece")), ["doc_id"], "at", "piece", "", per_chunk, most)
+
+
+def assemble_pages(pages: DataFrame, most: int = ONE_STRING) -> DataFrame:
+    """``(doc_id, pages, chars, text)``: one text for each document of at most ``most`` characters, null for longer ones."""
+    counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("doc_id", "_doc")
+    whole = one_string(page_chunks(pages), ["doc_id"], most)
+    return whole.join(counts, c("doc_id").eqNullSafe(c("_doc"))).select("doc_id", "pages", "chars", "text")
 
 
 def route(files: DataFrame) -> DataFrame:

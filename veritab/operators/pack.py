@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veritab.operators.chunks import MOST_CHARS, ONE_STRING, in_chunks, one_string
 from veritab.operators.first import with_position
 
 TOKENS_PER_CHAR = 0.65
@@ -26,13 +27,22 @@ def token_estimate(chars: Column) -> Column:
     return F.floor(chars * TOKENS_PER_CHAR)
 
 
+def lengths_of(files: DataFrame, keys: list[str]) -> DataFrame:
+    """How many files of a group have which length."""
+    return files.groupBy(*keys, "len").agg(F.count(F.lit(1)).alias("m"))
+
+
 def levels(files: DataFrame, keys: list[str], budgets: DataFrame) -> DataFrame:
     """Distinct capped lengths per group with how full each gets.
 
     ``files``: keys, ord, len. ``budgets``: keys, total, per_file. Result per (keys, cap):
     count, the group's split, and how many files of the level get one character more.
     """
-    hist = files.groupBy(*keys, "len").agg(F.count(F.lit(1)).alias("m"))
+    return levels_of(lengths_of(files, keys), keys, budgets)
+
+
+def levels_of(hist: DataFrame, keys: list[str], budgets: DataFrame) -> DataFrame:
+    """The same from the length counts ``(keys, len, m)``."""
     sizes = hist.groupBy(*keys).agg(F.sum("m").alias("n"))
     facts = sizes.join(budgets, keys).withColumn("most", F.greatest("per_file", F.expr("total div n")))
     caps = (
@@ -156,6 +166,37 @@ def safe_total(total: Column, tokens: Column, limit: int | None = None) -> Colum
     return F.when(tokens <= most, total).when(smaller >= 20000, smaller)
 
 
+def fit_batches(files: DataFrame, keys: list[str], batches: DataFrame, keep, limit: int | None = None, rounds: int = 4) -> DataFrame:
+    """The total that each batch really uses: its group's, made smaller while its own text does not fit.
+
+    ``batches``: keys, batch, chars (of everything besides the files in this batch), total, per_file. A round
+    measures every batch that is still open from the length counts of its group, and closes those that are safe
+    or have no smaller total left; ``keep`` writes a round's small result. Returns keys, batch, total, tokens,
+    rounds (how often it was made smaller) and ``fits``.
+    """
+    most = int(input_limit(limit) * SAFE_SHARE)
+    at = [*keys, "batch"]
+    hist = keep(lengths_of(files, keys))
+    # a batch of a group without files keeps its own text only
+    state = batches.select(*at, "chars", "total", "per_file", F.lit(0).alias("rounds"), F.lit(True).alias("open"), F.lit(None).cast("bigint").alias("tokens"))
+
+    def measured(state: DataFrame) -> DataFrame:
+        todo = state.filter("open")
+        own = hist.join(todo.select(*at), keys)
+        kept = levels_of(own, at, todo.select(*at, "total", "per_file")).groupBy(*at).agg(F.sum(c("m") * c("base") + c("plus")).alias("kept"))
+        said = token_estimate(F.coalesce("kept", F.lit(0)) + c("chars"))
+        return state.join(kept, at, "left").withColumn("tokens", F.when(c("open"), said).otherwise(c("tokens"))).drop("kept")
+
+    for _ in range(rounds):
+        now = measured(state).withColumn("next", safe_total(c("total"), c("tokens"), limit))
+        go = c("open") & (c("tokens") > most) & c("next").isNotNull()
+        state = keep(now.withColumn("go", go).select(
+            *at, "chars", F.when(c("go"), c("next")).otherwise(c("total")).alias("total"), "per_file",
+            (c("rounds") + F.when(c("go"), 1).otherwise(0)).alias("rounds"), c("go").alias("open"), "tokens",
+        ))
+    return measured(state).select(*at, "total", "tokens", "rounds", (c("tokens") <= most).alias("fits"))
+
+
 def claim_line(row: Column, values: Column) -> Column:
     """``row |  k=v  |  k=v`` from an ordered array of (k, v), empty values left out."""
     said = F.array_join(F.transform(F.filter(values, lambda p: F.trim(p["v"]) != ""), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "  |  ")
@@ -164,8 +205,13 @@ def claim_line(row: Column, values: Column) -> Column:
     return F.concat(number, F.lit(" |  "), body)
 
 
-def roster_line(people: DataFrame, keys: list[str]) -> DataFrame:
-    """``name(category) · …`` per roster; a roster is one worksheet, at most 2^20 rows."""
+def roster_chunks(people: DataFrame, keys: list[str], per_chunk: int = 1024, most: int = MOST_CHARS) -> DataFrame:
+    """``name(category) · …`` of each roster in ``(keys, chunk, slice, text)``, whatever its size."""
     one = F.when(c("category") != "", F.concat(c("name"), F.lit("("), c("category"), F.lit(")"))).otherwise(c("name"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("row", one.alias("said")))), lambda p: p["said"])
-    return people.groupBy(*keys).agg(F.count(F.lit(1)).alias("people"), F.array_join(listed, " · ").alias("line"))
+    return in_chunks(people.select(*keys, "row", one.alias("said")), keys, "row", "said", " · ", per_chunk, most)
+
+
+def roster_line(people: DataFrame, keys: list[str], most: int = ONE_STRING) -> DataFrame:
+    """``(keys, people, line)``: the roster as one line, null where it has more than ``most`` characters."""
+    counts = people.groupBy(*keys).agg(F.count(F.lit(1)).alias("people"))
+    return counts.join(one_string(roster_chunks(people, keys), keys, most), keys).select(*keys, "people", c("text").alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from veritab.functions.text import blank_to_empty, name_key, short_item
 from veritab.functions.values import ABSENT, ROSTER_FOUND
@@ -18,7 +18,7 @@ c = F.col
 
 
 def verdict_totals(judged: DataFrame, rows: DataFrame, keys: list[str] = SHEET) -> DataFrame:
-    """Rows, linked and unlinked rows, files used, and how often each verdict."""
+    """Rows, linked and unlinked rows, files linked, and how often each verdict."""
     linked = F.coalesce(F.size("links"), F.lit(0)) > 0
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(linked).alias("linked"), F.count_if(~linked).alias("unlinked"))
     files = rows.select(*keys, F.explode("links").alias("file")).groupBy(*keys).agg(F.countDistinct("file").alias("files"))
@@ -29,25 +29,28 @@ def verdict_totals(judged: DataFrame, rows: DataFrame, keys: list[str] = SHEET)
 def attention(signals: DataFrame, unresolved: DataFrame, cuts: DataFrame) -> DataFrame:
     """Errors, warnings, unresolved columns and cut files first; the rest is for information.
 
-    ``signals``: wb, sheet, level, code, detail. Sort by section, then place, to read.
+    ``signals``: wb, sheet, place, level, code, detail. Sort by section, then place (a row, an item or a file), to read.
     """
-    shape = lambda df, section, code, detail: df.select(*SHEET, section.alias("section"), code.alias("code"), detail.alias("detail"))
+    shape = lambda df, section, place, code, detail: df.select(
+        *SHEET, section.alias("section"), place.cast("bigint").alias("place"), code.alias("code"), detail.alias("detail")
+    )
     urgent = F.when(c("level").isin("err", "warn"), 1).otherwise(2)
     return (
-        shape(signals, urgent, c("code"), c("detail"))
-        .unionByName(shape(unresolved, F.lit(1), F.lit("column unresolved"), F.concat_ws(" · ", "item", "found")))
-        .unionByName(shape(cuts, F.lit(1), F.lit("text cut"), F.concat_ws(" ", "name", c("total_chars").cast("string"), c("kept_chars").cast("string"))))
+        shape(signals, urgent, c("place"), c("code"), c("detail"))
+        .unionByName(shape(unresolved, F.lit(1), c("item_no"), F.lit("column unresolved"), F.concat_ws(" · ", "item", "found")))
+        .unionByName(shape(cuts, F.lit(1), c("ord"), F.lit("text cut"), F.concat_ws(" ", "name", c("total_chars").cast("string"), c("kept_chars").cast("string"))))
     )
 
 
 def side_by_side(rows: DataFrame, claimed: list[str], extracted: dict[str, Column]) -> DataFrame:
-    """Two records per claim, the claimed values above the extracted ones."""
+    """Two records per claim, the claimed values above the extracted ones; how it was linked stands with the claim."""
     shown = lambda v: F.coalesce(F.nullif(blank_to_empty(v), F.lit("")), F.lit(ABSENT))
     claim = c("side") == "claim"
     return rows.withColumn("side", F.explode(F.array(F.lit("claim"), F.lit("evidence")))).select(
-        *SHEET, "row", "side", F.when(claim, c("linked_files")).otherwise("").alias("linked_files"),
+        *SHEET, "row", "side", *[F.when(claim, F.coalesce(n, F.lit(""))).otherwise("").alias(n) for n in ("linked_files", "confidence", "link_reason")],
         *[F.when(claim, shown(c(n))).otherwise("").alias(f"claim_{n}") for n in claimed],
         *[F.when(~claim, v).otherwise("").alias(f"evidence_{n}") for n, v in extracted.items()],
+        F.when(claim, F.coalesce("memo", F.lit(""))).otherwise("").alias("memo"),
     )
 
 
@@ -82,13 +85,18 @@ def unused_file_reasons(reasons: DataFrame) -> DataFrame:
     return reasons.select(*SHEET, "file", "reason")
 
 
-def metrics(parts: dict[str, DataFrame]) -> DataFrame:
-    """Run metrics, one per line; each part is a one-row, one-column aggregate."""
-    out = None
-    for name, df in parts.items():
-        line = df.select(F.lit(name).alias("metric"), F.coalesce(F.col(df.columns[0]).cast("bigint"), F.lit(0)).alias("value"))
-        out = line if out is None else out.unionByName(line)
-    return out
+def metric_rows(df: DataFrame, **values: Column) -> DataFrame:
+    """``(metric, value)`` rows of one table, several for each of its rows; a null value is none."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("bigint").alias("value")) for n, v in values.items()])
+    return df.select(F.inline(F.filter(pairs, lambda p: p["value"].isNotNull())))
+
+
+def metrics(*tagged: DataFrame) -> DataFrame:
+    """Sums of all metric rows in one aggregation; each table is scanned once, whatever it counts."""
+    out = tagged[0]
+    for more in tagged[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("metric").agg(F.sum("value").alias("value"))
 
 
 def cell_remark(item: Column, verdict: Column, remark: Column) -> Column:
@@ -128,4 +136,10 @@ def judgement_report(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
+    """Replace only the sheets that this run produced."""
     report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wb", "sheet").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The report as written; ``schema`` is that of ``judgement_report``."""
+    return spark.read.schema(schema).json(path)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veritab.functions.text import blank_to_empty
 from veritab.operators import grid as H, guards as G, judge as J, report as R, rules as RB, writeplan as WP
+from veritab.plans.evidence import Evidence
 from veritab.session import materialize
 from veritab.sources import answers as A
 
@@ -33,35 +34,50 @@ class Checked:
     writes: DataFrame
 
 
-def rules_for_sheets(rules: DataFrame, titles: DataFrame) -> DataFrame:
-    """Rules under the workbook and sheet title they apply to. One rule book serves all."""
-    names = rules.agg(F.collect_set("sheet")).scalar()  # the sheets of one rule book
-    targets = titles.select("wb").distinct().select("wb", names.alias("names")).select("wb", F.explode("names").alias("name"))
-    found = H.resolve_sheet(targets, titles).filter(c("title").isNotNull())
-    book = rules.drop("wb").withColumnRenamed("sheet", "name")
-    return found.join(book, "name").drop("name").withColumnRenamed("title", "sheet")
+def book_of_workbooks(rules: DataFrame, titles: DataFrame) -> DataFrame:
+    """``(wb, book)``: the rule book with the workbook's own name, else the first by name."""
+    books = rules.select(c("wb").alias("book")).distinct()
+    own = titles.select("wb").distinct().join(books, c("wb") == c("book"), "left")
+    return own.select("wb", F.coalesce("book", books.agg(F.min("book")).scalar()).alias("book"))
 
 
-def claims_of(cells: DataFrame, merges: DataFrame, rules: DataFrame, keep) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(column map, claim rows with their values as a map, rows left out)."""
+def rules_for_sheets(rules: DataFrame, titles: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    """Rules under the workbook and sheet title they apply to; ``books`` (wb, book) says which rule book serves which workbook."""
+    books = book_of_workbooks(rules, titles) if books is None else books
+    named = rules.withColumnsRenamed({"wb": "book", "sheet": "name"})
+    targets = books.join(named.select("book", "name").distinct(), "book").select("wb", "name")
+    found = H.resolve_sheet(targets, titles).filter(c("title").isNotNull()).join(books, "wb")
+    return found.join(named, ["book", "name"]).drop("book", "name").withColumnRenamed("title", "sheet")
+
+
+def claims_of(cells: DataFrame, merges: DataFrame, rules: DataFrame, keep) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(column map, claim rows with their values as a map, rows left out, headers no rule asked for)."""
     items = rules.select(*SHEET, "item_no", "item", c("claim_cols").alias("names"))
     wanted = cells.join(rules.select(*SHEET).distinct(), SHEET, "left_semi")
-    columns = keep(H.column_map(H.resolve_columns(items, H.data_headers(wanted, merges))))
+    headers = keep(H.data_headers(wanted, merges))
+    columns = keep(H.column_map(H.resolve_columns(items, headers)))
     values = keep(H.read_values(wanted, merges, columns))
     heads = H.header_rows(wanted)
     ends = keep(H.end_rows(values, heads))
     rows = H.claim_values(values, ends).groupBy(*ROW).agg(  # one entry per rule column of the row
         F.map_from_entries(F.collect_list(F.struct("rep", "text"))).alias("vals")
     )
-    return columns, keep(rows), H.dropped_rows(wanted, values, heads, ends)
+    return columns, keep(rows), H.dropped_rows(wanted, values, heads, ends), H.orphan_headers(headers, columns)
 
 
 def run(cells: DataFrame, merges: DataFrame, titles: DataFrame, rule_cells: DataFrame, alias_rows: DataFrame,
-        files: DataFrame, answer_json: DataFrame, overwrite: bool = True, keep=materialize) -> Checked:
-    """``titles``: wb, ord, title. ``files``: wb, sheet, ord, name. ``answer_json``: wb, sheet, ord, batch, body."""
-    book = RB.expand_claim_columns(RB.parse_rules(RB.scan_rules(rule_cells)), RB.scan_aliases(alias_rows)[0])
-    rules = keep(rules_for_sheets(book, titles))
-    columns, claims, dropped = claims_of(cells, merges, rules, keep)
+        files: DataFrame, answer_json: DataFrame, overwrite: bool = True, keep=materialize, books: DataFrame | None = None,
+        unlinked: DataFrame | None = None, evidence: Evidence | None = None) -> Checked:
+    """``titles``: wb, ord, title. ``files``: wb, sheet, ord, name. ``answer_json``: wb, sheet, ord, batch, body.
+
+    ``books`` (wb, book) names the rule book of a workbook. ``unlinked`` (wb, sheet, batch, ord, ref, reason): why the
+    answers left a file unlinked. ``evidence``: what reading and packing the files found, see ``plans.evidence``.
+    """
+    scanned = keep(RB.scan_rules(rule_cells))
+    aliases, alias_faults = RB.scan_aliases(alias_rows)
+    book = RB.expand_claim_columns(RB.parse_rules(scanned), aliases)
+    rules = keep(rules_for_sheets(book, titles, books))
+    columns, claims, dropped, orphans = claims_of(cells, merges, rules, keep)
 
     answers = A.scan_answers(answer_json)
     known = G.known_rows(answers, claims)
@@ -97,7 +113,17 @@ def run(cells: DataFrame, merges: DataFrame, titles: DataFrame, rule_cells: Data
         .unionByName(tell(G.unused_files(files, links), "info", "unused file", c("name")))
         .unionByName(tell(dropped, "warn", "row in unknown columns only", number))
         .unionByName(tell(columns.filter("cols is null"), "warn", "column unresolved", F.concat_ws(" · ", "item", "how", "found")))
+        .unionByName(tell(orphans, "info", "header no rule asks for", c("header")))
+        .unionByName(tell(H.missing_headers(cells.join(rules.select(*SHEET).distinct(), SHEET, "left_semi")), "err", "no header found", c("first_row").cast("string")))
+        .unionByName(tell(RB.lint(rule_cells, scanned), "warn", "rule book", F.concat_ws(" · ", "code", number, "detail")))
+        .unionByName(tell(alias_faults.withColumn("sheet", F.lit(RB.ALIAS_SHEET)), "warn", "alias sheet", F.concat_ws(" · ", "code", "detail")))
     )
+    if unlinked is not None:
+        signals = signals.unionByName(tell(G.unlinked_reasons(unlinked, refs), "info", "file left unlinked", F.concat_ws(" · ", "file", "reason")))
+    if evidence is not None:
+        signals = signals.unionByName(tell(evidence.cuts, "warn", "text cut", F.concat_ws(" ", "name", c("total_chars").cast("string"), c("kept_chars").cast("string"))))
+        signals = signals.unionByName(tell(evidence.problems, "err", "file not read", F.concat_ws(" · ", "name", "status")))
+        signals = signals.unionByName(tell(evidence.over, "err", "evidence over the limit", F.concat_ws(" ", c("batch").cast("string"), c("tokens").cast("string"))))
     return Checked(rules, columns, claims, links, judged, signals, writes(cells, titles, rules, judged, first, per_row, overwrite))
 
 

@@ -15,6 +15,9 @@ SETTINGS = {
     # Rows are costly to judge, so even small inputs are worth spreading over all cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
+    # ``encode`` and ``decode`` take every charset of the JVM and replace what does not fit (see ``repair_name``).
+    "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 # Static options, for sessions that are built here. Recording the Python call site of
@@ -41,17 +44,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a result that several later steps read, and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder below ``spark.checkpoint.dir``, which all executors see.
 
-    It goes to the cluster's shared checkpoint folder, so a lost executor costs nothing
-    but a re-read. Without such a folder only a local session (tests) gets a temporary
-    one; on a cluster executors would not see each other's files, so that is an error.
+    Without that setting only a local session (tests) gets a temporary folder; on a cluster
+    executors would not see each other's files, so that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veritab-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read to the shared folder, and cut its lineage.
+
+    A lost executor costs nothing but a re-read.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from veritab.functions.text import base_name, blank_to_empty, file_stem, strip
+from veritab.operators.first import keep_first
 
 c = F.col
 # Endings that earlier stages leave on a workbook's name.
@@ -23,15 +25,23 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_manifest(manifests: DataFrame, skip_sheets=(ROSTER_SHEET,), skip_collision: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(files to open, counters) from nested manifests in column ``body``."""
+    """(files to open, counters) from nested manifests in column ``body``.
+
+    Files: ``(wb, key, place, path)``, places from 1 on in order of sheet, row, entry and file; of paths that differ in
+    case or slashes only the first in that order stays, as it is written there.
+    """
     parsed = manifests.select("wb", F.from_json("body", MANIFEST).alias("m"))
-    sheets = parsed.select("wb", F.inline("m.sheets")).withColumn("skipped", F.coalesce(c("sheet").isin(list(skip_sheets)), F.lit(False)))
-    rows = sheets.select("wb", "sheet", "skipped", F.explode("rows").alias("r")).withColumn(
-        "collides", F.coalesce(c(f"r.{COLLISION}"), F.lit(False)) & F.lit(skip_collision)
+    sheets = parsed.select("wb", F.posexplode("m.sheets").alias("s", "x")).select("wb", "s", "x.sheet", "x.rows").withColumn("skipped", F.coalesce(c("sheet").isin(list(skip_sheets)), F.lit(False)))
+    rows = sheets.select("wb", "sheet", "skipped", "s", F.posexplode("rows").alias("r", "x")).withColumn(
+        "collides", F.coalesce(c(f"x.{COLLISION}"), F.lit(False)) & F.lit(skip_collision)
     )
-    paths = rows.filter(~c("skipped") & ~c("collides")).select("wb", F.explode(f"r.{SUBMITTED}").alias("s")).select("wb", F.explode(f"s.{FILES}").alias("path"))
+    entries = rows.filter(~c("skipped") & ~c("collides")).select("wb", "s", "r", F.posexplode(f"x.{SUBMITTED}").alias("e", "y"))
+    paths = entries.select("wb", "s", "r", "e", F.posexplode(f"y.{FILES}").alias("f", "path"))
     folder = F.coalesce(c("path"), F.lit("")).rlike("^$|[/\\\\]$")
-    files = paths.filter(~folder).withColumn("path", F.replace("path", F.lit("\\"), F.lit("/"))).groupBy("wb", F.lower("path").alias("key")).agg(F.min("path").alias("path"))
+    slashed = paths.filter(~folder).withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
+    order = F.struct("s", "r", "e", "f")
+    first = slashed.groupBy("wb", F.lower("path").alias("key")).agg(F.min(order).alias("at"), F.min_by("path", order).alias("path"))
+    files = first.select("wb", "key", F.row_number().over(Window.partitionBy("wb").orderBy("at")).alias("place"), "path")  # a manifest is one JSON value
     per_book = lambda df, **aggs: df.groupBy("wb").agg(*[e.alias(n) for n, e in aggs.items()])
     counters = per_book(
         sheets, sheets=F.count_if(~c("skipped") & (F.size("rows") > 0)), rows_of_skipped_sheets=F.sum(F.when(c("skipped"), F.size("rows")).otherwise(0))
@@ -41,6 +51,12 @@ def scan_manifest(manifests: DataFrame, skip_sheets=(ROSTER_SHEET,), skip_collis
     return files, counters
 
 
+def missing_files(files: DataFrame, present: DataFrame, root: str = "") -> DataFrame:
+    """Files of manifests that are not among the listed paths."""
+    full = F.concat(F.lit(root), c("path"))
+    return files.withColumn("full", full).join(present.select(c("path").alias("full")), "full", "left_anti").drop("full")
+
+
 # --- cached texts and sinks -----------------------------------------------------------------
 
 def cached_texts(texts: DataFrame, metas: DataFrame) -> DataFrame:
@@ -69,13 +85,39 @@ def output_name(path: Column, sheet: Column, kind: str) -> Column:
 
 
 def write_per_sheet(df: DataFrame, path: str) -> None:
-    """Replace only the sheets that this run produced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wb", "sheet").parquet(path)
+    """Replace only the sheets that this run produced; a repeated or retried run gives the same files."""
+    dealt = df.hint("rebalance", "wb", "sheet")  # a sheet in few files, a large one over several tasks
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wb", "sheet").parquet(path)
+
+
+def read_per_sheet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).schema(_sheets_as_text(spark.read.parquet(path).schema)).parquet(path)
+
+
+def _sheets_as_text(schema: T.StructType) -> T.StructType:
+    """Folder names that look like numbers are still names."""
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("wb", "sheet") else f for f in schema])
+
+
+INDEX = "path string, sha256 string, method string, n_chars bigint, at timestamp"
 
 
 def index_rows(read: DataFrame) -> DataFrame:
     return read.filter(c("status").isin("ok", "empty", "skipped")).select("path", "sha256", "method", "n_chars")
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index so far; empty where none has been written."""
+    try:
+        return spark.read.schema(INDEX).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], INDEX)
+
+
 def append_index(read: DataFrame, path: str) -> None:
-    index_rows(read).withColumn("at", F.current_timestamp()).write.mode("append").json(path)
+    """Add what the index does not hold yet: a file is named by path and content, so a repeated run adds nothing."""
+    known = read_index(read.sparkSession, path).select("path", "sha256")
+    new = keep_first(index_rows(read), ["path", "sha256"], ["method", "n_chars"]).join(known, ["path", "sha256"], "left_anti")
+    new.withColumn("at", F.current_timestamp()).write.mode("append").json(path)
