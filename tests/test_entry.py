@@ -23,6 +23,13 @@ def test_without_the_subpackage():
     assert int(n) >= 126 and rest.strip() == "[] True", out.stderr
 
 
+def test_without_what_the_subpackage_needs():
+    code = BLOCKED.replace('name == "corpus_pipeline" or name.startswith("veritab.llm")', 'name == "tiktoken"')
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    n, rest = out.stdout.split(" ", 1)
+    assert int(n) >= 126 and rest.strip() == "[] True", out.stderr
+
+
 def test_nothing_else_imports_the_subpackage():
     own = [p for p in ROOT.glob("veritab/**/*.py") if "llm" not in p.parts]
     assert len(own) > 20 and not any("veritab.llm" in p.read_text() or "import llm" in p.read_text() for p in own)
