@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from check_oracles import database
 from veritab.llm import exactdup
@@ -28,6 +29,16 @@ def test_equals_brute_force_with_a_hot_group(spark, parts):
     assert exactdup.keep_first(df).columns == df.columns
 
 
+def test_of_equal_ids_the_first_raw_text_stays_and_every_range_is_a_task(spark):
+    rows = [(1, f"same{' ' * (k % 5 + 1)}text") for k in range(40)] + [(k, f"word{k * 7919 % 1000:04}") for k in range(2, 3000)] + [(5000, "long " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3, 8):
+        kept = exactdup.mark(df.repartition(parts), parts=37).filter("__kept AND doc_id = 1").collect()
+        assert [(r["text"], r["__group_size"]) for r in kept] == [(min(t for _, t in rows[:40]), 40)]
+    spread = exactdup.mark(df, parts=37).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 25  # ranges are placed as they are numbered, not hashed together
+
+
 def test_empty_table(spark):
     assert exactdup.mark(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

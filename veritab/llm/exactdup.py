@@ -15,8 +15,8 @@
 
 Normalising replaces each run of ``[\\x20\\x09-\\x0D]`` by one space. Defined cases: a null text
 counts as empty, and empty texts are equal to each other; null ids come after all others, so
-one is kept only where the whole group has no other; of rows that repeat the smallest id one
-stays; an empty table gives no rows; other columns pass through.
+one is kept only where the whole group has no other; of rows that repeat the smallest id the one
+whose raw text comes first stays; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -71,11 +71,11 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     borders = _borders(docs, F.concat(start, _fixed(F.xxhash64(id_col))), parts)
     keyed = docs.withColumn("__norm", normalised(text_col)).withColumn("__start", _start(F.col("__norm"))).drop("__norm")
     part = _range_of(F.concat("__start", _fixed(F.xxhash64(id_col))), borders)
-    rows = keyed.withColumn("__part", part).repartition(parts, "__part")
+    rows = keyed.withColumn("__part", part).repartitionById(parts, "__part")
     rows = rows.withColumn("__norm", normalised(text_col))
     run = Window.partitionBy("__part", "__norm")
     rows = rows.withColumns({
-        "__nth": F.row_number().over(run.orderBy(F.col(id_col).asc_nulls_last())),
+        "__nth": F.row_number().over(run.orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_first())),
         "__keep_id": F.min(id_col).over(run),
         "__group_size": F.count(F.lit(1)).over(run),
     })
