@@ -5,8 +5,8 @@ text's grams (term frequency) times inverse document frequency. Document frequen
 learning document; each partition adds up its own, and the sums have at most ``DIM`` rows.
 
 The weights are fitted by follow-the-regularised-leader with per-coordinate steps and an elastic
-net (``L1`` keeps them sparse). The learning rows are a bounded sample, about ``FIT_ROWS`` for
-each language chosen by a hash of the row's id; ``WORKERS`` tasks each train on their part and
+net (``L1`` keeps them sparse). The learning rows are a bounded sample, at most ``FIT_ROWS`` for
+each language chosen by a hash of id and text; ``WORKERS`` tasks each train on their part and
 their weights are averaged, so no task or driver sees the whole sample. A temperature, fitted on
 another ``CALIBRATE_ROWS`` of each language, turns the scores into probabilities.
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,11 +106,22 @@ def _frequencies(learn: DataFrame) -> np.ndarray:
     return out
 
 
-def _sample(learn: DataFrame, per_label: dict[str, int], first: int, rows: int) -> DataFrame:
-    """About ``rows`` rows of each language, those whose hash comes after the first ``first``; of few rows the same shares."""
-    spot = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    low, high = (F.coalesce(*[F.when(F.col("lang") == k, F.lit(x / max(n, FIT_ROWS + CALIBRATE_ROWS))) for k, n in per_label.items()]) for x in (first, first + rows))
-    return learn.filter((spot >= low) & (spot < high))
+def _sample(learn: DataFrame) -> DataFrame:
+    """``(nth, text, lang, use)``: at most ``FIT_ROWS`` rows of each language to fit and ``CALIBRATE_ROWS`` to calibrate.
+
+    A language's rows are ordered by a hash of id and text; the first ones are taken, of few rows the same
+    shares. The hash that bounds them is found on hashes alone, so only the chosen texts are moved; rows that share
+    it are counted off, so no set of ids or copies makes the sample longer.
+    """
+    most = FIT_ROWS + CALIBRATE_ROWS
+    hashed = learn.withColumn("hash", F.xxhash64("id", "text"))
+    by_hash = Window.partitionBy("lang").orderBy("hash")
+    ranked = hashed.select("lang", "hash").withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= most)
+    bounds = ranked.groupBy("lang").agg(F.max("hash").alias("last"))  # one row a language
+    few = hashed.join(F.broadcast(bounds), "lang").filter("hash <= last")
+    few = few.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= most)
+    n = F.count("*").over(Window.partitionBy("lang"))
+    return few.withColumn("use", F.when(F.col("nth") * most <= n * FIT_ROWS, "fit").otherwise("calibrate")).select("nth", "text", "lang", "use")
 
 
 def _train(labels: list[str], idf: np.ndarray):
@@ -162,7 +173,7 @@ def _temperature(model: Model, sample: DataFrame) -> float:
             s = [model.scores(t).tolist() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.list_(pa.float64())), pa.array([place[x] for x in b["lang"].to_pylist()], pa.int64())], ["s", "y"])
 
-    rows = sample.select("text", "lang").mapInArrow(scored, "s array<double>, y long").collect()
+    rows = sample.select("text", "lang").mapInArrow(scored, "s array<double>, y long").collect()  # CALIBRATE_ROWS a language
     if not rows:
         return 1.0
     s, y = np.array([r["s"] for r in rows]), np.array([r["y"] for r in rows])
@@ -184,8 +195,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not labels:
         return None
     idf = np.log((1 + sum(per_label.values())) / (1 + _frequencies(learn))) + 1
-    sample = _sample(learn, per_label, 0, FIT_ROWS).select("text", "lang").repartition(WORKERS, F.xxhash64("text"))
-    parts = sample.mapInArrow(_train(labels, idf), "bucket long, label long, w double")
+    sample = cut(_sample(learn))
+    # dealt by place, so copies of a text do not meet in one task
+    dealt = sample.filter("use = 'fit'").repartitionById(WORKERS, F.pmod("nth", F.lit(WORKERS)).cast("int")).sortWithinPartitions("lang", "nth")
+    parts = dealt.select("text", "lang").mapInArrow(_train(labels, idf), "bucket long, label long, w double")
     weights, bias, workers = np.zeros((DIM, len(labels))), np.zeros(len(labels)), 1.0
     for r in cut(parts.groupBy("bucket", "label").agg(F.sum("w").alias("w"))).collect():  # at most DIM times labels
         if r["bucket"] < 0:
@@ -195,7 +208,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         else:
             weights[r["bucket"], r["label"]] = r["w"]
     model = Model(labels, idf, weights / workers, bias / workers)
-    model.temperature = _temperature(model, _sample(learn, per_label, FIT_ROWS, CALIBRATE_ROWS))
+    model.temperature = _temperature(model, sample.filter("use = 'calibrate'").orderBy("lang", "nth"))
     return model
 
 
