@@ -85,3 +85,13 @@ def test_packing_cuts_into_powers_of_two(spark):
     assert packing.pack(df.limit(0), vocabulary()).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, vocabulary(), length=1000)
+
+
+def test_equal_lengths_lie_together(spark, tmp_path):
+    df = spark.createDataFrame([(k, "word " * k) for k in range(70)], "doc_id long, text string").repartition(5)
+    packed = packing.pack(df, vocabulary(), length=64)
+    packing.write_buckets(packed, f"{tmp_path}/buckets")
+    key = lambda r: (r["id"], r["start"], r["length"], bytes(r["ids"]))
+    want = sorted(key(r) for r in packed.collect())
+    got = [sorted(key(r) for r in packing.read_bucket(spark, f"{tmp_path}/buckets", b).collect()) for b in range(7)]
+    assert sorted(x for b in got for x in b) == want and all(x[2] == 2 ** b for b, rows in enumerate(got) for x in rows)

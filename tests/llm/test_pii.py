@@ -2,6 +2,8 @@ import datetime
 import random
 import re
 
+import pytest
+
 from veritab.llm import pii
 
 
@@ -94,3 +96,12 @@ def test_longer_names_other_dates_and_national_numbers_are_found(spark):
     texts = [f"{d.day} {d:%B} {d.year}" for d in days]
     new = [r["text"] for r in found(spark, texts).values()]
     assert len(set(new)) == 400 and all(datetime.datetime.strptime(x, "%d %B %Y") for x in new)
+
+
+def test_there_is_no_public_key(spark):
+    docs = spark.createDataFrame([(1, "mail me: jane.doe@example.com")], "doc_id long, text string")
+    for bad in ("", "set a secret key here"):
+        with pytest.raises(ValueError):
+            pii.pseudonymise(docs, key=bad)
+    one = [pii.pseudonymise(docs).first()["text"] for _ in range(2)]
+    assert one[0] == one[1] != "mail me: jane.doe@example.com" and len(spark.conf.get(pii.KEY_OPTION)) >= 32

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,5 +68,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def write_buckets(packed: DataFrame, folder: str) -> None:
-    """Parquet with one folder for each sequence length."""
-    packed.write.partitionBy("bucket").parquet(folder)
+    """Parquet with one folder for each sequence length; a length that most have is dealt over several tasks."""
+    packed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+
+
+def read_bucket(spark: SparkSession, folder: str, bucket: int) -> DataFrame:
+    """The sequences of one length, ``2 ** bucket`` ids each, without reading the others."""
+    return spark.read.parquet(folder).filter(F.col("bucket") == bucket)

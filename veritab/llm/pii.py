@@ -11,7 +11,9 @@ adds to each symbol of one half, modulo its alphabet, a number drawn from a keye
 other half, so different values stay different and equal values get the same pseudonym in every
 document, which keeps them linked. All of it is Spark expressions, row by row, without a shuffle.
 
-The key is a parameter: whoever has it can undo the mapping. Defined cases: null text stays null
+Whoever has the key can undo the mapping, so there is no built-in one: it is a parameter, else the
+session's option ``veritab.pii.key``, else a random one that is made for the session and lost with
+it (pseudonyms of two such sessions differ). Defined cases: null text stays null
 and has no findings; numbers that fail their check and dates outside the 73,170 days from
 1900-01-01 stay as they are; empty texts and tables pass; extra columns pass through.
 """
@@ -19,11 +21,12 @@ and has no findings; numbers that fail their check and dates outside the 73,170
 from __future__ import annotations
 
 import re
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "set a secret key here"
+KEY_OPTION = "veritab.pii.key"
 ROUNDS = 8
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1900-01-01", 271, 270
 
@@ -257,8 +260,19 @@ def _kind(hit: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY_OPTION, "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_OPTION, key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with the text replaced, and ``__found``: kind, value and pseudonym of each finding."""
+    key = session_key(docs.sparkSession) if key is None else key
+    if key in ("", "set a secret key here"):  # the latter is public: it was once the default
+        raise ValueError("set a secret key")
     pattern = _candidate()
     text = F.col(text_col)
 

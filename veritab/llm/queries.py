@@ -125,9 +125,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_training_order(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The shards are written to ``folder``, by default a new one below the session's own part of the checkpoint folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/training-order-{uuid.uuid4()}"
+    folder = folder or f"{shared_folder(spark)}/training-order-{uuid.uuid4()}"
     trainorder.write_shards(trainorder.records(docs, vocabulary()), folder)
     read = trainorder.read_shards(spark, folder, id_type=docs.schema["doc_id"].dataType)
     return trainorder.in_order(read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("record").alias("record_crc32"), "slot", "shard", "offset"))
