@@ -27,10 +27,11 @@ UNION ALL SELECT wb, sheet, row, 2, prior2, 'model' FROM span WHERE prior2 <> ''
 
 @query("o01_verdict_totals", _JUDGED + """, r AS (SELECT wb, sheet, count(*) AS n_rows, count(*) FILTER (links <> '') AS linked, count(*) FILTER (links = '') AS unlinked,
   count(DISTINCT nullif(links, '')) AS files FROM span GROUP BY ALL)
-SELECT r.*, pass, fail, undetermined, blank FROM r JOIN (SELECT wb, sheet, count(*) FILTER (verdict = 'PASS') AS pass, count(*) FILTER (verdict = 'FAIL') AS fail,
+SELECT r.*, pass, fail, undetermined, blank, coalesce(g.given, 0) AS given FROM r LEFT JOIN (SELECT wb, sheet, count(*) AS given FROM {sheet_files} GROUP BY ALL) g ON g.wb = r.wb AND g.sheet = r.sheet JOIN (SELECT wb, sheet, count(*) FILTER (verdict = 'PASS') AS pass, count(*) FILTER (verdict = 'FAIL') AS fail,
   count(*) FILTER (verdict = 'UNDETERMINED') AS undetermined, count(*) FILTER (verdict = 'BLANK') AS blank FROM judged GROUP BY ALL) v ON v.wb = r.wb AND v.sheet = r.sheet""")
 def o01(t):
-    return R.verdict_totals(judged(t), Q.cases(t).select(*R.SHEET, "row", "links"))
+    rows = t.claims.select(*R.SHEET, "row", "k").join(t.evidence.select("k", F.when(c("links") == "", F.array().cast("array<string>")).otherwise(F.array("links")).alias("links")), "k")
+    return R.verdict_totals(judged(t), rows, files=t.sheet_files)
 
 
 _ALL_STEPS = f"WITH {A.STEPS}, " + W.STEPS.replace("resolved AS", "wresolved AS").replace("FROM resolved", "FROM wresolved").replace("own AS", "wown AS").replace("FROM own", "FROM wown").replace("names AS", "wnames AS").replace("FROM names", "FROM wnames")

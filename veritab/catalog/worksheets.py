@@ -219,6 +219,16 @@ def h18(t):
     return H.read_roster(t.roster_cells)
 
 
+@query("h18_roster_sheets", f"""WITH g AS (SELECT DISTINCT wb, n, CASE n WHEN 1 THEN '별첨1 명단' ELSE '별첨1' END AS name FROM {{sheet_titles}}, (SELECT unnest([1, 2]) AS n) x),
+pairs AS (SELECT g.wb, g.n, s.title, s.ord, {nk('g.name')} = {nk('s.title')} AS same, {un('g.name')} = {un('s.title')} AS plain,
+  {_EITHER(un('g.name'), un('s.title'))} AS near FROM g JOIN {{sheet_titles}} s ON s.wb = g.wb),
+found AS (SELECT wb, n, coalesce(arg_min(title, ord) FILTER (same), CASE WHEN count(*) FILTER (plain) = 1 THEN any_value(title) FILTER (plain) END,
+  CASE WHEN count(*) FILTER (near) = 1 THEN any_value(title) FILTER (near) END) AS title FROM pairs GROUP BY wb, n)
+SELECT wb, arg_min(title, n) AS title FROM found WHERE title IS NOT NULL GROUP BY wb""")
+def h18_sheets(t):
+    return H.roster_sheets(t.sheet_titles)
+
+
 @query("h19_sheet_overview", steps("""SELECT s.wb, s.sheet, (SELECT count(DISTINCT row) FROM vals v WHERE v.wb = s.wb AND v.sheet = s.sheet) AS n_rows,
   (SELECT count(*) FROM checks k WHERE k.wb = s.wb AND k.sheet = s.sheet) AS n_checks FROM (SELECT DISTINCT wb, sheet FROM {grid_items}) s"""))
 def h19(t):

@@ -395,6 +395,8 @@ SHEET_TARGETS = ["③프로젝트", "④세미나", "⑤인턴십", "⑤현장
 TABLES["sheet_titles"] = """
 SELECT wb, s % 4 AS ord, sheet AS title FROM {sheet_parts} WHERE i = 0
 UNION ALL SELECT wb, 3 + n, concat('현장실습 ', cast(n as string)) FROM (SELECT wb, EACH(1, 2) AS n FROM {sheet_parts} WHERE i = 0 AND s % 4 = 0) t
+UNION ALL SELECT wb, 6, CASE wbno % 4 WHEN 0 THEN '별첨1. 명 단' WHEN 1 THEN '⑨별첨1' ELSE '별첨1 (참여 학생)' END FROM {sheet_parts} WHERE i = 0 AND s % 4 = 0 AND wbno % 4 < 3
+UNION ALL SELECT wb, 7, '별첨1 명단 사본' FROM {sheet_parts} WHERE i = 0 AND s % 4 = 0 AND wbno % 8 = 4
 """
 TABLES["sheet_targets"] = f"""
 SELECT wb, {case('n - 1', *[f"'{x}'" for x in SHEET_TARGETS])} AS name

@@ -16,9 +16,10 @@ from veritab.session import materialize
 SHEET = ["wb", "sheet"]
 HEAD_SCAN, BLANK_RUN = 30, 20  # defaults of the arguments ``depth`` and ``run``
 PIECE = 4096
-# The check colour, and headers that are never compared.
+# The check colour, headers that are never compared, and names of the roster and its columns.
 CHECK_COLOURS = ["FFFCE4D6", "FCE4D6", "00FCE4D6"]
 SIDE_HEADERS = ["번호", "연번", "순번", "no", "차년도", "분야", "학교", "비고", "학교 의견", "차수", "구분"]
+ROSTER_SHEETS = ("별첨1 명단", "별첨1")
 ROSTER_NAMES = ["성명", "이름", "학생명", "참여학생"]
 ROSTER_CATEGORIES = ["학생분류", "구분", "재직", "유형"]
 EXACT, SIMILAR, AMBIGUOUS, NOT_FOUND = "exact", "similar", "ambiguous", "not found"
@@ -65,6 +66,14 @@ def resolve_sheet_loosely(targets: DataFrame, titles: DataFrame) -> DataFrame:
     ))
 
 
+def roster_sheets(titles: DataFrame, names: tuple[str, ...] = ROSTER_SHEETS) -> DataFrame:
+    """``(wb, title)`` of each workbook's roster: the sheet of the first of ``names`` that finds one."""
+    wanted = titles.select("wb").distinct().select("wb", F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), c("name"))
+    found = resolve_sheet(wanted, titles).filter(c("title").isNotNull())
+    return found.groupBy("wb").agg(F.min_by("title", place).alias("title"))
+
+
 # --- header row ---------------------------------------------------------------------------
 
 def _top_rows(cells: DataFrame, depth: int) -> DataFrame:

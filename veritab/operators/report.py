@@ -17,13 +17,16 @@ ECHO = "(?U)^\\s*\\[([^\\]]{1,40})\\]\\s*"
 c = F.col
 
 
-def verdict_totals(judged: DataFrame, rows: DataFrame, keys: list[str] = SHEET) -> DataFrame:
-    """Rows, linked and unlinked rows, files linked, and how often each verdict."""
+def verdict_totals(judged: DataFrame, rows: DataFrame, keys: list[str] = SHEET, files: DataFrame | None = None) -> DataFrame:
+    """Rows, linked and unlinked rows, files linked, and how often each verdict; with ``files`` also how many a sheet has."""
     linked = F.coalesce(F.size("links"), F.lit(0)) > 0
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(linked).alias("linked"), F.count_if(~linked).alias("unlinked"))
-    files = rows.select(*keys, F.explode("links").alias("file")).groupBy(*keys).agg(F.countDistinct("file").alias("files"))
+    used = rows.select(*keys, F.explode("links").alias("file")).groupBy(*keys).agg(F.countDistinct("file").alias("files"))
     verdicts = judged.groupBy(*keys).agg(*[F.count_if(c("verdict") == v).alias(v.lower()) for v in VERDICTS])
-    return counts.join(files, keys, "left").join(verdicts, keys, "left").na.fill(0)
+    out = counts.join(used, keys, "left").join(verdicts, keys, "left")
+    if files is not None:
+        out = out.join(files.groupBy(*keys).agg(F.count(F.lit(1)).alias("given")), keys, "left")
+    return out.na.fill(0)
 
 
 def attention(signals: DataFrame, unresolved: DataFrame, cuts: DataFrame) -> DataFrame:
