@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Fixed values, here and in the functions below: the notations of days, months, hours, names, ISBNs and terms,
+# as in ``functions/values.py``, restated for this engine's pattern language.
 _DAY = r"\d{2,4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}"
 
 

@@ -64,7 +64,7 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_nfc(F.when(~c.rlike(_NFC_SAFE), c)), c)
 
 
-# Decomposed spellings of the units that the date and term readers look for, with the
+# Decomposed spellings of the units that the date and term readers look for, with the
 # final consonant that must not follow. Exact for those readers, and stays in the JVM.
 _UNIT_SYLLABLES = ["년", "월", "일", "학", "도", "기"]
 
@@ -81,6 +81,7 @@ def compose_units(c: Column) -> Column:
 
 # --- keys ---------------------------------------------------------------------------
 
+# The characters that comparison keys leave out.
 _KEY_DROP = "(?U)[\\s·,\\[\\]{}~\\-_.:;\"'’‘“”/\\\\「」]+"
 _RULE_KEY_DROP = "(?U)[\\s·,\\[\\]{}~\\-_.:;/\\\\「」'\"]+"
 _LOOSE_KEY_DROP = "(?U)[\\s.·\\-_()①②③④⑤⑥⑦⑧⑨⑩0-9]+"
