@@ -177,7 +177,7 @@ def j08(t):
         "sheet", "item", c("calc.kind").alias("kind"), c("calc.predecessor").alias("predecessor"),
         c("calc.name_col").alias("name_col"), c("calc.threshold").alias("threshold"), "extract_fields", "claim_cols",
     )
-    read = J.read_values(cases(t).join(wanted, "sheet")).filter(
+    read = J.read_values(cases(t), wanted, SHEET).filter(
         (c("claim") != "") & (c("evidence") != "") & (F.size("links") > 0)
         & ((F.size("c_days") == 0) | (F.size("e_days") == 0))
     )

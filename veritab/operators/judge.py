@@ -2,7 +2,7 @@
 
 ``judge`` takes one row per claim and one row per rule and returns one row per pair of
 the same sheet. Everything is a column expression; the only shuffle is the join of the
-rules, a table of a few dozen rows per sheet.
+rules, one record per sheet. Each text of a claim is read once, however many rules look at it.
 """
 
 from __future__ import annotations
@@ -34,50 +34,84 @@ def _out(verdict: str, rationale: Column | str, remark: Column | str = "") -> Co
     )
 
 
-def read_values(df: DataFrame) -> DataFrame:
-    """Add what each kind of check reads, every reading once and only where its kind asks.
+# How a text is read; a reading fills one field of ``_reading`` besides the text itself.
+DAYS, HOURS, NUMBER, ISBN, TERM, TEXT = "days", "hours", "number", "isbn", "term", "text"
 
-    Expects the rule columns (kind, threshold, predecessor, name_col, item,
-    extract_fields, claim_cols) next to the claim's (vals, ext, roster, links, prior).
-    The steps build on each other, which keeps Catalyst from inlining long expressions.
+
+def _needs(asked: DataFrame) -> DataFrame:
+    """Rules with what they read: ``c_need`` of the claim, ``e_need`` of the evidence, each how and from which fields."""
+    kind = F.col("kind")
+    claimed = (
+        F.when(kind.isin("날짜", "기간"), DAYS).when((kind == "수") & F.col("item").contains(HOUR_WORD), HOURS)
+        .when(kind.isin("수", "이름개수"), NUMBER).when(kind.isin("ISBN유효", "ISBN같음"), ISBN).when(kind == "학기", TERM).otherwise(TEXT)
+    )
+    given = (
+        F.when(kind == "날짜", DAYS).when(kind.isin("수", "값"), HOURS).when(kind.isin("ISBN유효", "ISBN같음"), ISBN).when(kind == "학기", TERM).otherwise(TEXT)
+    )
+    fields = F.when(kind.isin("ISBN유효", "ISBN같음"), F.array(F.lit(ISBN_FIELD))).when(kind == "학기", F.array(F.lit(TERM_FIELD))).otherwise(F.col("extract_fields"))
+    need = lambda how, cols: F.struct(how.alias("how"), F.coalesce(cols, F.array().cast("array<string>")).alias("cols"))
+    return asked.withColumns({"c_need": need(claimed, F.col("claim_cols")), "e_need": need(given, fields)})
+
+
+def _reading(how: Column, text: Column) -> Column:
+    return F.struct(
+        text.alias("text"), F.when(how == DAYS, V.dates_in(text)).alias("days"),
+        F.when(how == HOURS, V.hours(text)).when(how == NUMBER, V.single_number(text)).alias("number"),
+        F.when(how == ISBN, V.isbn_digits(text)).alias("isbn"), F.when(how == ISBN, V.isbn_valid(text)).alias("isbn_ok"),
+        F.when(how == TERM, V.term(text)).alias("term"),
+    )
+
+
+def read_values(claims: DataFrame, asked: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per claim and rule with everything that a check of its kind reads.
+
+    ``claims``: keys, row, carried columns, vals, ext, roster, links, prior. ``asked``: keys and the rule columns (kind,
+    threshold, predecessor, name_col, item, extract_fields, claim_cols and any others). The rules of a sheet
+    are one record, so each claim meets them once; what several rules read alike (how, and from which
+    columns) is read once for each claim, and rules pick their readings before they become rows.
     """
-    c, kind = F.col, F.col("kind")
-    for_kinds = lambda kinds, reading: F.when(kind.isin(kinds), reading)
-    field = lambda name: blank_to_empty(F.try_element_at(c("ext"), F.lit(name)))
+    c = F.col
+    told = [n for n in asked.columns if n not in keys]
+    books = _needs(asked).groupBy(*keys).agg(F.collect_list(F.struct(*told, "c_need", "e_need")).alias("_rules"))  # a few dozen rules a sheet
+    each = lambda side: F.array_distinct(F.transform("_rules", lambda r: r[f"{side}_need"]))
+    books = books.withColumns({"_c": each("c"), "_e": each("e")})
+    at = lambda side: lambda r: F.array_position(f"_{side}", r[f"{side}_need"]) - 1
+    placed = F.transform("_rules", lambda r: F.struct(*[r[n].alias(n) for n in told], at("c")(r).cast("int").alias("_ci"), at("e")(r).cast("int").alias("_ei")))
+    books = books.withColumn("_rules", placed)
+
     # Lists and objects are no scalars: a look-up for one value goes on to the next field.
-    scalar_fields = F.filter(
-        c("extract_fields"),
-        lambda f: ~((f == ROSTER_FIELD) & c("roster").isNotNull()) & ~V.is_nested(F.try_element_at(c("ext"), f)),
-    )
+    scalar = lambda fields: F.filter(fields, lambda f: ~((f == ROSTER_FIELD) & c("roster").isNotNull()) & ~V.is_nested(F.try_element_at(c("ext"), f)))
+    evidence = lambda n: F.when(n["how"] == DAYS, V.joined_filled(c("ext"), n["cols"])).when(n["how"].isin(ISBN, TERM), V.first_filled(c("ext"), n["cols"])).otherwise(
+        V.first_filled(c("ext"), scalar(n["cols"])))
     listed = F.try_element_at(c("ext"), F.lit(ROSTER_FIELD))
     roster_n = F.coalesce(
         V.roster_count(c("roster.status"), c("roster.names")),
         F.when(c("roster").isNull() & V.is_nested(listed), V.roster_count_of_list(F.from_json(listed, "array<string>")))
         .when(c("roster").isNull(), V.roster_count_of_text(listed)),
     )
-    texts = df.withColumns({
-        "claim": V.first_filled(c("vals"), c("claim_cols")),
-        "evidence": F.when(kind == "날짜", V.joined_filled(c("ext"), c("extract_fields")))
-        .when(kind.isin("ISBN유효", "ISBN같음"), field(ISBN_FIELD))
-        .when(kind == "학기", field(TERM_FIELD))
-        .otherwise(V.first_filled(c("ext"), scalar_fields)),
-        "name_text": for_kinds(["이름개수"], blank_to_empty(F.try_element_at(c("vals"), c("name_col")))),
-        "prior_verdict": F.try_element_at(c("prior"), c("predecessor")),
-        "roster_n": F.when((kind == "수") & F.array_contains(c("extract_fields"), ROSTER_FIELD), roster_n),
+    counts_people = F.exists("_rules", lambda r: (r["kind"] == "수") & F.array_contains(r["extract_fields"], ROSTER_FIELD))
+    read = claims.join(books, keys).withColumns({
+        "_c": F.transform("_c", lambda n: let(V.first_filled(c("vals"), n["cols"]), lambda text: _reading(n["how"], text))),
+        "_e": F.transform("_e", lambda n: let(evidence(n), lambda text: _reading(n["how"], text))),
+        "_people": F.when(counts_people, roster_n),
     })
-    reads = texts.withColumns({
-        "c_days": for_kinds(["날짜", "기간"], V.dates_in(c("claim"))),
-        "e_days": for_kinds(["날짜"], V.dates_in(c("evidence"))),
-        "c_number": F.when((kind == "수") & c("item").contains(HOUR_WORD), V.hours(c("claim")))
-        .when(kind.isin("수", "이름개수"), V.single_number(c("claim"))),
-        "e_number": for_kinds(["수", "값"], F.when(c("evidence") != "", V.hours(c("evidence")))),
+    picked = F.transform("_rules", lambda r: F.struct(
+        *[r[n].alias(n) for n in told], F.get("_c", r["_ci"]).alias("_cr"), F.get("_e", r["_ei"]).alias("_er"),
+        F.when(r["kind"] == "이름개수", blank_to_empty(F.try_element_at(c("vals"), r["name_col"]))).alias("name_text"),
+        F.try_element_at(c("prior"), r["predecessor"]).alias("prior_verdict"),
+        F.when((r["kind"] == "수") & F.array_contains(r["extract_fields"], ROSTER_FIELD), c("_people")).alias("roster_n"),
+    ))
+    rows = read.select(*keys, *carry, "row", "links", F.explode(picked).alias("_x")).select(*keys, *carry, "row", "links", "_x.*")
+    kind = c("kind")
+    for_kinds = lambda kinds, reading: F.when(kind.isin(kinds), reading)
+    reads = rows.withColumns({
+        "claim": c("_cr.text"), "evidence": c("_er.text"), "c_days": c("_cr.days"), "e_days": c("_er.days"),
+        "c_number": c("_cr.number"), "e_number": F.coalesce(F.when(c("_er.text") != "", c("_er.number")), c("roster_n").cast("double")),
         "n_names": for_kinds(["이름개수"], V.name_count(c("name_text"))),
-        "isbn_text": for_kinds(["ISBN유효"], F.when(c("claim") != "", c("claim")).otherwise(c("evidence"))),
-        "c_isbn": for_kinds(["ISBN같음"], V.isbn_digits(c("claim"))),
-        "e_isbn": for_kinds(["ISBN같음"], V.isbn_digits(c("evidence"))),
-        "c_term": for_kinds(["학기"], V.term(c("claim"))),
-        "e_term": for_kinds(["학기"], V.term(c("evidence"))),
-    })
+        "isbn_text": for_kinds(["ISBN유효"], F.when(c("_cr.text") != "", c("_cr.text")).otherwise(c("_er.text"))),
+        "isbn_ok": for_kinds(["ISBN유효"], F.when(c("_cr.text") != "", c("_cr.isbn_ok")).otherwise(c("_er.isbn_ok"))),
+        "c_isbn": c("_cr.isbn"), "e_isbn": c("_er.isbn"), "c_term": c("_cr.term"), "e_term": c("_er.term"),
+    }).drop("_cr", "_er")
     month = lambda ds: F.array_distinct(F.transform(ds, lambda d: F.substring(d, 1, 6)))
     months = lambda text, ds: let(
         V.months_in(text), lambda m: F.when(F.size(m) > 0, F.array_distinct(m)).otherwise(month(ds))
@@ -86,8 +120,6 @@ def read_values(df: DataFrame) -> DataFrame:
     a, b = F.array_min("c_days"), F.array_max("c_days")
     short = (kind == "날짜") & ((F.size("c_days") == 0) | (F.size("e_days") == 0))
     return reads.withColumns({
-        "isbn_ok": for_kinds(["ISBN유효"], V.isbn_valid(c("isbn_text"))),
-        "e_number": F.coalesce(c("e_number"), c("roster_n").cast("double")),
         "first_day": for_kinds(["기간"], a),
         "last_day": for_kinds(["기간"], b),
         "length": F.when(
@@ -260,7 +292,7 @@ def judge(claims: DataFrame, rules: DataFrame, keys: list[str], carry: tuple[str
         F.col("calc.predecessor").alias("predecessor"), F.col("calc.name_col").alias("name_col"),
     )
     return (
-        read_values(claims.join(asked, keys))
+        read_values(claims, asked, keys, carry)
         .withColumn("out", F.when(F.col("judge") == BY_HUMAN, human).otherwise(dispatch()))
         .select(
             *keys, *carry, "row", "item_no", "item", "out.verdict", "out.remark",
