@@ -36,7 +36,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -297,35 +296,72 @@ def _once(a_keys: np.ndarray, b_keys: np.ndarray, key: int, per_table: int) -> n
     return shared.min((1, 2, 3)) == key
 
 
+def _compared(part: pa.RecordBatch, name: tuple[int, int, int], cosine: float, per_table: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(nodes, links, roots)`` of the members of one pair of blocks that link across balls, for each length of vectors."""
+    key, i, j = name
+    out = []
+    for same in _same_length(part, "vector"):
+        unit, side = _matrix(same["vector"]), same["side"].to_numpy()
+        node, ball, copies = (same[c].to_numpy() for c in ("node", "ball", "copies"))
+        mine, theirs = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        hit = (unit[mine] @ unit[theirs].T >= cosine) & (ball[mine][:, None] != ball[theirs][None, :])
+        x, y = np.nonzero(np.triu(hit, 1) if i == j else hit)
+        x, y = mine[x], theirs[y]
+        if len(x):
+            keys = same["keys"].flatten().to_numpy().reshape(len(same), -1)
+            first = np.concatenate([_once(keys[x[k:k + 4096]], keys[y[k:k + 4096]], key, per_table) for k in range(0, len(x), 4096)])
+            x, y = x[first], y[first]
+        if len(x):
+            nodes, roots = forest(node[x], node[y])
+            links = np.zeros(len(nodes), np.int64)
+            np.add.at(links, np.searchsorted(nodes, node[x]), copies[y])
+            np.add.at(links, np.searchsorted(nodes, node[y]), copies[x])
+            out.append((nodes, links, roots))
+    return out
+
+
 def _verify(members: DataFrame, cosine: float, per_table: int) -> DataFrame:
-    """``(node, links, root)`` from ``members (key, i, j, side, node, ball, copies, vector, keys)``, one group for a pair of blocks."""
-
-    def compared(name: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        key, i, j = (int(x) for x in name)
-        for _, same in part.groupby(part["vector"].map(len)):
-            sides = [same] * 2 if i == j else [same[same["side"] == s] for s in (i, j)]
-            if not len(sides[0]) or not len(sides[1]):
+    """``(node, links, root)`` from ``members (key, i, j, side, node, ball, copies, vector, keys)``, one group for a pair of blocks.
+
+    Groups stream through their task in order; at most two blocks are held.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, done, size = None, [], [], 0
+
+        def close() -> None:
+            nonlocal size
+            if held:
+                part = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                if part.num_rows > 1:
+                    found = _compared(part, now, cosine, per_table)
+                    done.extend(found)
+                    size += sum(len(f[0]) for f in found)
+
+        def ready() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate([d[k] for d in done])) for k in range(3)]
+            return pa.RecordBatch.from_arrays(columns, ["node", "links", "root"])
+
+        for b in batches:
+            key, i, j = (b[c].to_numpy() for c in ("key", "i", "j"))
+            if not len(key):
                 continue
-            units = [_unit(np.stack(s["vector"].to_numpy())) for s in sides]
-            node, ball, copies = ([s[c].to_numpy() for s in sides] for c in ("node", "ball", "copies"))
-            keys = [np.stack(s["keys"].to_numpy()) for s in sides]
-            hit = (units[0] @ units[1].T >= cosine) & (ball[0][:, None] != ball[1][None, :])
-            if i == j:
-                hit = np.triu(hit, 1)
-            x, y = np.nonzero(hit)
-            first = [_once(keys[0][x[k:k + 4096]], keys[1][y[k:k + 4096]], key, per_table) for k in range(0, len(x), 4096)]
-            if first:
-                first = np.concatenate(first)
-                x, y = x[first], y[first]
-            if len(x):
-                a, b = node[0][x], node[1][y]
-                roots = dict(zip(*forest(a, b), strict=True))
-                count = pd.Series(np.concatenate((copies[1][y], copies[0][x]))).groupby(np.concatenate((a, b))).sum()
-                out += [(n, int(c), int(roots[n])) for n, c in count.items()]
-        return pd.DataFrame(out, columns=["node", "links", "root"]).astype("int64")
-
-    return members.groupBy("key", "i", "j").applyInPandas(compared, "node long, links long, root long")
+            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                name = int(key[x]), int(i[x]), int(j[x])
+                if name != now:
+                    close()
+                    now, held = name, []
+                held.append(b.slice(x, y - x))
+            if size > 10_000:
+                yield ready()
+                done, size = [], 0
+        close()
+        if done:
+            yield ready()
+
+    group = ["key", "i", "j"]
+    return members.repartition(*group).sortWithinPartitions(*group).mapInArrow(made, "node long, links long, root long")
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, side: int = SIDE) -> DataFrame:
