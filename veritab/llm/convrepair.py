@@ -60,6 +60,7 @@ def damage(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
 
 def examine(rows: DataFrame) -> DataFrame:
     """``rows (conv_id, turn, role, text, there)`` with ``pos``, ``fault`` and ``before``, the role before; rows not there come last."""
+    rows = rows.withColumns({x: F.coalesce(x, F.lit(" ")) for x in ("role", "text")})
     order = [~F.col("there"), F.col("turn").asc_nulls_first(), "role", "text"]
     conv = Window.partitionBy("conv_id").orderBy(*order)
     same = Window.partitionBy("conv_id", "there", "role", "text").orderBy("pos")
